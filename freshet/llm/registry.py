@@ -1,11 +1,14 @@
 """The queries of this subpackage by name, and their SQL twins."""
 
-from freshet.llm import mixing, packing, url_filters
+from freshet.llm import license_scan, mixing, packing, quality, toxicity, url_filters
 
 _NUMBERED = {
     "op4_packing": packing,
     "op5_url_filters": url_filters,
     "op6_mixing": mixing,
+    "op7_toxicity": toxicity,
+    "op8_license_scan": license_scan,
+    "op10_quality_rules": quality,
 }
 QUERIES = {name: module.query for name, module in _NUMBERED.items()}
 ORACLES = {name: module.ORACLE for name, module in _NUMBERED.items() if hasattr(module, "ORACLE")}
