@@ -1,10 +1,11 @@
 """The queries of this subpackage by name, and their SQL twins."""
 
-from freshet.llm import license_scan, main_text, mixing, packing, quality, toxicity, url_filters, warc
+from freshet.llm import license_scan, main_text, mixing, ngram_join, packing, quality, toxicity, url_filters, warc
 
 _NUMBERED = {
     "op1_warc": warc,
     "op2_main_text": main_text,
+    "op3_ngram_join": ngram_join,
     "op4_packing": packing,
     "op5_url_filters": url_filters,
     "op6_mixing": mixing,
