@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm.shared import stored, table
-from freshet.llm.shingles import mix, word_hashes
+from freshet.llm.shingles import mix, portions, word_hashes
 
 #: Labelled documents that the regression learns from at most, those with the smallest hash of doc_id; a quarter of them calibrates.
 TRAIN_DOCS = 6_000
@@ -60,6 +60,11 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 def hashed(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each text's feature indices: of its character n-grams (over UTF-8 bytes), and of its words and word pairs."""
+    for part in portions(texts):
+        yield from _hashed(part)
+
+
+def _hashed(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     words, bounds = word_hashes(texts)
     shift = np.uint64(64 - BITS)
     with np.errstate(over="ignore"):

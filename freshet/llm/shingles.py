@@ -57,6 +57,18 @@ def _slice_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix(values + (ends - starts).astype(np.uint64))
 
 
+def portions(texts: pa.Array, size: int = 2 << 20) -> Iterator[pa.Array]:
+    """The texts in turn, about ``size`` bytes at a time (a longer text alone), nulls as empty texts."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1)
+        yield texts.slice(a, min(b, len(texts)) - a)
+        a = min(b, len(texts))
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and each text's bounds in them (nulls: no words)."""
     texts = texts.cast(pa.large_string())
@@ -87,6 +99,11 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     Fewer than five words make one shingle of the whole sequence; no words make
     an empty set.
     """
+    for part in portions(texts):
+        yield from _portion_sets(part)
+
+
+def _portion_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     words, bounds = word_hashes(texts)
     with np.errstate(over="ignore"):
         n = len(words) - WIDTH + 1
