@@ -221,9 +221,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return sets.select(F.col("sig").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
     near = pairs.join(side("x", "b", "c"), "x").join(side("y", "b", "c"), "y").select("x", "y", "x_b", "y_b", "x_c", "y_c")
-    left = stored(near.mapInArrow(meets, "x long, y long"))
+    left = stored(near.mapInArrow(meets, "x long, y long"), 1_000)
     whole = left.join(side("x", "tokens"), "x").join(side("y", "tokens"), "y").select("x", "y", "x_tokens", "y_tokens")
-    return stored(whole.mapInArrow(links, "x long, y long"))
+    return stored(whole.mapInArrow(links, "x long, y long"), 250)
 
 
 def candidates(rows: DataFrame, every: bool, seed: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and their SQL twins."""
 
-from freshet.llm import license_scan, main_text, mixing, ngram_join, packing, quality, toxicity, url_filters, warc
+from freshet.llm import embedding_dedup, license_scan, main_text, mixing, ngram_join, packing, quality, toxicity, url_filters, warc
 
 _NUMBERED = {
     "op1_warc": warc,
@@ -11,6 +11,7 @@ _NUMBERED = {
     "op6_mixing": mixing,
     "op7_toxicity": toxicity,
     "op8_license_scan": license_scan,
+    "op9_embedding_dedup": embedding_dedup,
     "op10_quality_rules": quality,
 }
 QUERIES = {name: module.query for name, module in _NUMBERED.items()}

@@ -26,11 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/freshet-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it: lineage ends there, and any executor can reread it."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it: lineage ends there, and any executor can reread it.
+
+    ``arrow_rows``: rows that Spark hands to Python at a time while it writes,
+    for rows of large binaries.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if arrow_rows:
+            spark.conf.set(key, str(arrow_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
