@@ -1 +1,6 @@
+"""The registered queries by name."""
 
+from freshet.plans import analytics, feeds, forecasting
+from freshet.plans.catalog import REGISTRY
+
+__all__ = ["REGISTRY", "analytics", "feeds", "forecasting"]
