@@ -19,8 +19,8 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, valu
     ``within``: how old a value may be.  ``oldest``: a left row before all right
     rows gets the oldest value.  A right row without value is not seen.
     """
-    r = right.where(F.col(value).isNotNull()).select(*keys, F.col(time).alias("_t"), F.struct(F.col(time).alias("t"), *tie, F.col(value).alias("v")).alias("_r"))
-    order = Window.partitionBy(*keys).orderBy("_t", F.col("_side"), *[f"_r.{c}" for c in tie])
+    r = right.where(F.col(value).isNotNull()).select(*keys, F.col(time).alias("_t"), F.struct(F.col(time).alias("t"), *[F.col(c).alias(f"tie{i}") for i, c in enumerate(tie)], F.col(value).alias("v")).alias("_r"))
+    order = Window.partitionBy(*keys).orderBy("_t", F.col("_side"), *[f"_r.tie{i}" for i in range(len(tie))])
     l_rows = left.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))
     both = l_rows.unionByName(r.withColumn("_side", F.lit(0)), allowMissingColumns=True)
     last = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
