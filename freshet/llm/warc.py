@@ -158,7 +158,9 @@ class WarcReader(DataSourceReader):
         found = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
         return [WarcFile(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and x.path.endswith(".warc.gz")]
 
-    def read(self, partition: WarcFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: WarcFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without archives
+            return
         fs, _ = pafs.FileSystem.from_uri(self.uri)
         schema = pa.schema([(c, pa.int64() if c in ("page_id", "refers_to", "payload_bytes") else pa.string()) for c in _COLUMNS] + [("payload", pa.binary())])
         rows: list[dict] = []
