@@ -23,7 +23,7 @@ _TOKEN = re.compile(
     re.I | re.S,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_PART = re.compile(r"[a-z]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PUNCTUATION = ".,;:!?"
 
@@ -40,6 +40,8 @@ FURNITURE_NAMES = frozenset(
     " sidebar aside widget footer header masthead topbar cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login search"
     " share sharing social related recommended recommendations comment comments reply replies discussion disqus respond form copyright legal skip contentinfo complementary".split()
 )
+#: Names that make furniture of an element even where another of its names says content.
+STRONG_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsored promo comment comments reply replies related cookie cookies consent newsletter share sharing nav menu footer sidebar".split())
 CONTENT_TAGS = frozenset({"article", "main"})
 CONTENT_NAMES = frozenset("article main content post entry story body text".split())
 
@@ -54,6 +56,26 @@ class Node:
     furniture: bool
 
 
+def _names(attrs: str) -> list[list[str]]:
+    """The words of each class, id and role of an element: ``class="post sidebar-right"`` is [[post], [sidebar, right]]."""
+    if "=" not in attrs:
+        return []
+    return [[w.lower() for w in _PART.findall(name)] for m in _NAMED.findall(attrs) for name in " ".join(m).split()]
+
+
+def _is_furniture(names: list[list[str]]) -> bool:
+    """Whether an element is called by a furniture name.
+
+    ``has-sidebar`` and ``sidebar-right`` say how a page is laid out, and
+    ``entry-header`` holds an article's title; neither counts.  A content name
+    on the same element outweighs all but the strong names.
+    """
+    called = [set(w) for w in names if w and not FURNITURE_NAMES.isdisjoint(w) and w[0] not in ("has", "with", "no", "is") and w[-1] not in ("left", "right", "layout")]
+    called = [w for w in called if not ("header" in w and w & CONTENT_NAMES)]
+    content = any(w and not CONTENT_NAMES.isdisjoint(w) and FURNITURE_NAMES.isdisjoint(w) for w in names)
+    return bool(called) and (not content or any(w & STRONG_NAMES for w in called))
+
+
 def blocks(page: str) -> Iterator[Node]:
     """The text blocks of a page in order; inline elements do not break a block and take no part in its path."""
     stack: list[tuple[int, str, str, bool]] = []  # place, tag, label, furniture
@@ -101,17 +123,14 @@ def blocks(page: str) -> Iterator[Node]:
         while stack and stack[-1][1] in closed:
             stack.pop()
         attrs = m["attrs"]
-        names = set(_PART.findall(" ".join(x for g in _NAMED.findall(attrs) for x in g).lower())) if "=" in attrs else set()
+        names = _names(attrs)
         inside = any(s[1] in CONTENT_TAGS for s in stack)
-        content = tag in CONTENT_TAGS or (names & CONTENT_NAMES and not names & {"comment", "comments", "sidebar", "ad", "ads"})
-        furniture = (
-            tag in FURNITURE_TAGS
-            or (tag == "header" and not inside)
-            or (bool(names & FURNITURE_NAMES) and not (content and tag in CONTENT_TAGS and not names & {"comment", "comments", "reply"}) and tag not in ("html", "body"))
-            or bool(attrs and _HIDDEN.search(attrs))
-        )
+        named = tag not in ("html", "body") and _is_furniture(names)
+        if named and tag in CONTENT_TAGS:  # an article called by a furniture name is one only as a comment
+            named = any(not {"comment", "comments", "reply", "replies"}.isdisjoint(w) for w in names)
+        furniture = tag in FURNITURE_TAGS or (tag == "header" and not inside) or named or bool(attrs and _HIDDEN.search(attrs))
         made += 1
-        stack.append((made, tag, tag + ("." + ".".join(sorted(names)) if names else ""), furniture))
+        stack.append((made, tag, ".".join([tag, *sorted({w for n in names for w in n})]), furniture))
     add(page[at:])
     yield from flush()
 

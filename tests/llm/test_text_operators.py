@@ -218,6 +218,14 @@ def test_main_text_leaves_furniture_out():
     assert main_text.main_text(PAGE) == "Head & line First, with bold and more. Next line. Short. Caption, here."
 
 
+def test_layout_names_do_not_hide_the_content():
+    body = "<p>One, two; three.</p><p>Four.</p>"
+    for names in ('class="content sidebar-right"', 'class="site-main has-sidebar"', 'id=main class="post no-comments"', 'class="entryBody"'):
+        assert main_text.main_text(f"<body class='single footer'><div {names}><div class='entry-header'><h1>Head</h1></div>{body}</div><div class='comment-content'><p>Nice, really; yes.</p></div>") == "Head One, two; three. Four."
+    for names in ('class="AdSlot"', 'id="googleAd"', 'class="post-comments"', 'class="related posts"', 'role="navigation"'):
+        assert main_text.main_text(f"<article>{body}</article><div {names}><p>Gone, all; of it. And this, too.</p></div>") == "One, two; three. Four."
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
