@@ -12,7 +12,7 @@ from freshet.llm.shared import stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one bucket of a source holds on average; a bucket is the unit that one task sorts.
-BUCKET_ROWS = 2_000
+BUCKET_ROWS = 400
 
 
 def with_size_and_weight(docs: DataFrame, text: str = "text") -> DataFrame:

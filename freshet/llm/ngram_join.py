@@ -7,8 +7,10 @@ so a pair that misses in one order is out:
 
 1. order A puts frequent tokens last and is hashed otherwise; pairs that share a
    token of their A prefixes are candidates, if their sizes allow the similarity;
-2. under orders B and C, hashed differently, the prefixes have to meet as well;
-3. what is left is verified on the whole sets.
+2. under order B, hashed differently, the prefixes have to meet so often that no
+   more tokens are missing than two linked sets of these sizes can lack;
+3. under order C the prefixes have to meet, and what is left is verified on the
+   whole sets.
 
 Equal sets are one node throughout.  Candidates come in rounds: first each set
 meets one partner per shared token, then only sets of different components meet,
@@ -38,6 +40,8 @@ MAX_FREQUENT = 1 << 20
 LOCAL_FREQUENT = 4
 #: Tasks that the rows of a frequent token are dealt to.
 SALTS = 32
+#: Bits of the filter over the ids whose texts are wanted (1 MB).
+FILTER_BITS = 1 << 23
 #: Rows of one token from which its run is cut into parts.
 RUN_ROWS = 50_000
 #: Sets whose tokens a task counts at a time.
@@ -67,18 +71,46 @@ def _prefix(s: np.ndarray, seed: int, last: np.ndarray | None = None) -> np.ndar
     return s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """The B keys of a set's prefix under order B, cut to 16 bits, sorted."""
+    key = mix(s, 2)
+    p = _prefix_length(len(s))
+    key = key[np.argpartition(key, p - 1)[:p]] if p < len(s) else key
+    return np.sort(key >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
+def may_link(bx: np.ndarray, nx: int, by: np.ndarray, ny: int) -> bool:
+    """Whether two sets can link, from their sketches and sizes; never false for sets that do.
+
+    Below the lower of the two last keys both sketches are complete.  Of a set's
+    tokens there, those without an equal cut key in the other are surely missing
+    from it, and linked sets lack no more than their sizes allow.
+    """
+    need = -(-PERCENT * (nx + ny) // (100 + PERCENT))
+    end = min(int(b[-1]) if len(b) < n else 1 << 16 for b, n in ((bx, nx), (by, ny)))
+    x, y = bx[: np.searchsorted(bx, end)], by[: np.searchsorted(by, end)]
+    if len(x) == 0 or len(y) == 0:
+        both = 0
+    else:
+        # equal cut keys meet as often as both sides have them
+        kx, cx = np.unique(x, return_counts=True)
+        at = np.searchsorted(y, kx), np.searchsorted(y, kx, side="right")
+        both = int(np.minimum(cx, at[1] - at[0]).sum())
+    return len(x) - both <= nx - need and len(y) - both <= ny - need
+
+
 def _batch(schema: list[tuple[str, pa.DataType]], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
 
 
 def classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, sig, n_shingles) for every row, and the frequent tokens, sorted.
+    """(doc_id, sig, n_shingles, b) for every row, and the frequent tokens, sorted; b, the B sketch, stands at a set's first row in a task.
 
     One pass over the texts; the tokens of equal sets count once in a task.  A
     token that many sets hold is held by many sets of some task, so tasks only
     report what is frequent among their own.
     """
-    schema = [("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("token", pa.int64())]
+    schema = [("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("b", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -88,31 +120,33 @@ def classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, np.ndar
         def frequent() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
             token, n = token[n >= LOCAL_FREQUENT], n[n >= LOCAL_FREQUENT]
-            return _batch(schema, [None] * len(token), [None] * len(token), n, token.view(np.int64))
+            return _batch(schema, [None] * len(token), [None] * len(token), n, token.view(np.int64), [None] * len(token))
 
         for b in batches:
-            sigs, sizes = [], []
+            sigs, sizes, sketches = [], [], []
             for s in shingle_sets(b.column(1)):
                 sigs.append(_signature(s))
                 sizes.append(len(s))
+                sketches.append(None)
                 if len(s) and sigs[-1] not in seen:
                     seen.add(sigs[-1])
+                    sketches[-1] = _sketch(s)
                     held.append(s)
                     size += len(s)
-            yield _batch(schema, b.column(0).cast(pa.int64()), sigs, sizes, [None] * len(sigs))
+            yield _batch(schema, b.column(0).cast(pa.int64()), sigs, sizes, [None] * len(sigs), sketches)
             if size >= COUNT_TOKENS:
                 yield frequent()
                 held.clear()
                 size = 0
         yield frequent()
 
-    both = stored(docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, "doc_id long, sig long, n long, token long"))
+    both = stored(docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, "doc_id long, sig long, n long, token long, b binary"))
     counts = stored(both.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT))
     bar = FREQUENT
     while counts.where(F.col("n") >= bar).count() > MAX_FREQUENT:
         bar *= 2
     tokens = counts.where(F.col("n") >= bar).select("token").toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64)
-    return both.where("token is null").select("doc_id", "sig", F.col("n").alias("n_shingles")), np.sort(tokens)
+    return both.where("token is null").select("doc_id", "sig", F.col("n").alias("n_shingles"), "b"), np.sort(tokens)
 
 
 def shared_tokens(docs: DataFrame, frequent: np.ndarray, text: str) -> DataFrame:
@@ -169,8 +203,24 @@ def shared_tokens(docs: DataFrame, frequent: np.ndarray, text: str) -> DataFrame
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """(sig, n, tokens, b, c) of the wanted sets, once each: tokens sorted, and the prefixes under orders B and C cut to 32 bits."""
-    schema = [("sig", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
+    """(sig, tokens) of the sets that ``wanted(doc_id, sig)`` names, tokens in order C.
+
+    A bit filter of fixed size over the wanted ids thins the texts before they
+    are shuffled; beyond its size it lets more through, never less.
+    """
+    spark = docs.sparkSession
+    schema = [("sig", pa.int64()), ("tokens", pa.binary())]
+    marks = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("m")).distinct()
+    words = marks.groupBy(F.floor(F.col("m") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(m % 64 as int))")).alias("v")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bits[words["w"].to_numpy(dtype=np.int64)] = words["v"].to_numpy(dtype=np.int64)
+    mask = spark.sparkContext.broadcast(bits)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = b.column(2).to_numpy()
+            hit = (mask.value[m // 64].view(np.uint64) >> (m % 64).astype(np.uint64)) & np.uint64(1)
+            yield b.select([0, 1]).filter(pa.array(hit.astype(bool)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -181,8 +231,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
                 if sig in seen or _signature(s) != sig:  # a repeated row, or another text under the same doc_id
                     continue
                 seen.add(sig)
-                b, c = (np.unique(_prefix(s, k).astype(np.uint32)).tobytes() for k in (2, 3))
-                rows.append((sig, len(s), s.tobytes(), b, c))
+                rows.append((sig, s[mix(s, 3).argsort()].tobytes()))
                 size += len(s)
                 if size >= COUNT_TOKENS // 4:
                     yield _batch(schema, *zip(*rows, strict=True))
@@ -190,40 +239,48 @@ def token_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
             if rows:
                 yield _batch(schema, *zip(*rows, strict=True))
 
-    texts = docs.join(wanted, "doc_id").select("sig", text)
-    return stored(texts.mapInArrow(run, "sig long, n long, tokens binary, b binary, c binary"))
+    marked = docs.where("doc_id is not null").select("doc_id", text, F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("m"))
+    texts = marked.mapInArrow(thin, f"doc_id long, {text} string").join(wanted, "doc_id").select("sig", text)
+    return stored(texts.mapInArrow(run, "sig long, tokens binary"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose sets link: first the prefixes under B and C have to meet, then the whole sets are compared."""
+def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, text: str, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The pairs (x, y) whose sets link: sketches first, then order C and the whole sets; and all sets fetched so far.
+
+    ``first(sig, doc_id, n, b)`` has a row per set; ``sets`` are those of the
+    rounds before, whose texts are not read again.
+    """
 
     def meets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            columns = [batch.column(i) for i in range(2, 6)]
-            for i in range(batch.num_rows):
-                xb, yb, xc, yc = (np.frombuffer(c[i].as_buffer(), np.uint32) for c in columns)
-                if np.isin(xb, yb, assume_unique=True).any() and np.isin(xc, yc, assume_unique=True).any():
-                    keep.append(i)
-            yield batch.select(["x", "y"]).take(pa.array(keep, pa.int64()))
+            xb, yb, xn, yn = (batch.column(c) for c in ("x_b", "y_b", "x_n", "y_n"))
+            sizes = zip(xn.to_pylist(), yn.to_pylist(), strict=True)
+            keep = [may_link(np.frombuffer(xb[i].as_buffer(), np.uint16), n, np.frombuffer(yb[i].as_buffer(), np.uint16), m) for i, (n, m) in enumerate(sizes)]
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= PERCENT * (len(a) + len(b) - both):
-                    keep.append(i)
-            yield batch.select(["x", "y"]).take(pa.array(keep, pa.int64()))
-
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("sig").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
-
-    near = pairs.join(side("x", "b", "c"), "x").join(side("y", "b", "c"), "y").select("x", "y", "x_b", "y_b", "x_c", "y_c")
-    left = stored(near.mapInArrow(meets, "x long, y long"), 1_000)
-    whole = left.join(side("x", "tokens"), "x").join(side("y", "tokens"), "y").select("x", "y", "x_tokens", "y_tokens")
-    return stored(whole.mapInArrow(links, "x long, y long"), 250)
+                a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("x_tokens", "y_tokens"))
+                ok = bool(np.isin(a[: _prefix_length(len(a))], b[: _prefix_length(len(b))], assume_unique=True).any())
+                both = len(np.intersect1d(a, b, assume_unique=True)) if ok else 0
+                keep.append(ok and 100 * both >= PERCENT * (len(a) + len(b) - both))
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
+        return table.select(F.col("sig").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+    near = pairs.join(side(first, "x", "b", "n"), "x").join(side(first, "y", "b", "n"), "y").select("x", "y", "x_b", "y_b", "x_n", "y_n")
+    left = stored(near.mapInArrow(meets, "x long, y long"), 4_000)
+    ends = left.select(F.col("x").alias("sig")).unionByName(left.select(F.col("y").alias("sig"))).distinct()
+    wanted = ends.join(first.select("sig", "doc_id"), "sig").where("doc_id is not null")
+    wanted = stored(wanted if sets is None else wanted.join(sets.select("sig"), "sig", "left_anti"))
+    if sets is None or not wanted.isEmpty():
+        new = token_sets(docs, wanted, text)
+        sets = new if sets is None else sets.unionByName(new)
+    whole = left.join(side(sets, "x", "tokens"), "x").join(side(sets, "y", "tokens"), "y").select("x", "y", "x_tokens", "y_tokens")
+    return stored(whole.mapInArrow(links, "x long, y long"), 250), sets
 
 
 def candidates(rows: DataFrame, every: bool, seed: int) -> DataFrame:
@@ -306,11 +363,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sampled_ro
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows, frequent = classes(docs, "doc_id", "text")
+    first = stored(rows.where("sig <> 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("b").alias("b")))
     shared = shared_tokens(docs, frequent, "text")
-    first = stored(rows.where("sig <> 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
-    wanted = shared.select("sig").distinct().join(first, "sig").where("doc_id is not null")
-    sets = token_sets(docs, wanted, "text")
-    found = comps = tested = None
+    found = comps = tested = sets = None
     for k in range(sampled_rounds + 1):
         if comps is None:
             now = shared.withColumn("comp", F.col("sig"))
@@ -321,7 +376,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sampled_ro
         pairs = candidates(now, k == sampled_rounds, 31 + k)
         pairs = stored(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = verified(pairs, sets).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        linked, sets = verified(pairs, first, docs, "text", sets)
+        new = linked.select(F.col("x").alias("a"), F.col("y").alias("b"))
         found = new if found is None else found.unionByName(new)
         comps = stored(components(found))
     named = first.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("component", "sig"))

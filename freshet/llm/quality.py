@@ -6,10 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,6 +127,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", where: str =
                 value.append(np.concatenate([_SCALE * c / max(1, c.sum()) for _, c in both]))
             yield pa.RecordBatch.from_arrays([pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float64())), b.column(1), b.column(2)], names=["i", "v", "label", "fold"])
 
+    from pyspark.ml.classification import LogisticRegression  # here, so that Python workers don't load it
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
     vector = F.udf(lambda i, v: SparseVector(2 << BITS, i, v), VectorUDT())
     rows = labelled(docs, labels, label, TRAIN_DOCS, where).select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)).alias("fold"))
     rows = stored(rows.repartition(12).mapInArrow(vectors, "i array<int>, v array<double>, label double, fold long"))
@@ -138,27 +139,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", where: str =
     if not n or any(seen.get(f, (0, 0))[0] == seen.get(f, (0, 0))[1] for f in (False, True)):
         share = (good / n) if n else 1.0
         return Model(np.zeros(2 << BITS, np.float32), 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    learn = rows.where("fold < 3").select(vector("i", "v").alias("features"), "label")
-    lr = LogisticRegression(maxIter=40, regParam=2e-4, standardization=False, tol=1e-5).fit(learn)
+    made = stored(rows.select(vector("i", "v").alias("features"), "label", "fold"))  # training passes run no Python
+    lr = LogisticRegression(maxIter=40, regParam=2e-4, standardization=False, tol=1e-5).fit(made.where("fold < 3"))
     raw = Model(lr.coefficients.toArray().astype(np.float32), float(lr.intercept), 1.0, 0.0)
-    held = rows.where("fold = 3").select(vector("i", "v").alias("features"), "label")
-    margins = lr.transform(held).select(F.element_at(vector_values("rawPrediction"), 2).alias("margin"), "label")
-    line = LogisticRegression(maxIter=50, standardization=False).fit(margins.select(single_vector("margin").alias("features"), "label"))
+    margins = lr.transform(made.where("fold = 3")).select(F.element_at(vector_to_array("rawPrediction"), 2).alias("margin"), "label")
+    line = LogisticRegression(maxIter=50, standardization=False).fit(margins.select(array_to_vector(F.array("margin")).alias("features"), "label"))
     return Model(raw.weights, raw.bias, float(line.coefficients[0]), float(line.intercept))
 
 
-def vector_values(col: str):
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(F.col(col))
-
-
-def single_vector(col: str):
-    from pyspark.ml.functions import array_to_vector
-
-    return array_to_vector(F.array(F.col(col)))
-
-
 def judge(docs: DataFrame, model: Model, text: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
     """Adds the base counts, base_failed, quality (calibrated probability of being good) and kept to every row.
 
@@ -167,13 +155,13 @@ def judge(docs: DataFrame, model: Model, text: str = "text", keep_from: float =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(BASE + ", quality double")
-    def score(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(BASE + ", quality double")
+    def score(texts: pa.Array) -> pa.Array:
         m = shared.value
-        column = pa.array(texts, pa.string(), from_pandas=True)
-        counts = pd.DataFrame([base_counts(t.as_py() or "") for t in column], columns=[c.split()[0] for c in BASE.split(", ")])
-        counts["quality"] = m.probability(np.array([m.margin(g, t) for g, t in hashed(column)], dtype=np.float64))
-        return counts
+        counts = list(zip(*(base_counts(t.as_py() or "") for t in texts), strict=True)) or [()] * 5
+        quality = m.probability(np.array([m.margin(g, t) for g, t in hashed(texts)], dtype=np.float64))
+        columns = [pa.array(c, pa.int64()) for c in counts]
+        return pa.StructArray.from_arrays([*columns, pa.array(quality)], names=[*[c.split()[0] for c in BASE.split(", ")], "quality"])
 
     added = [c.split()[0] for c in BASE.split(", ")]
     out = docs.withColumn("_q", score(F.col(text))).withColumns({c: F.col(f"_q.{c}") for c in [*added, "quality"]}).drop("_q")

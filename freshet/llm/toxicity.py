@@ -7,19 +7,20 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm.quality import labelled
 from freshet.llm.shared import stored, table
 
+if TYPE_CHECKING:  # Python workers don't load it
+    from pyspark.ml.classification import GBTClassificationModel
+
 #: Labelled documents that the lexicon and the trees learn from at most; a third of them calibrates.
 TRAIN_DOCS = 12_000
 #: Entries of the learned lexicon at most, for whole words and for beginnings of longer words each.
@@ -162,6 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: str = "
     texts and labels are read.  With labels of one class only, or none, every
     document scores the share of label 1.
     """
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import IsotonicRegression
+
     rows = stored(labelled(docs, labels, label, TRAIN_DOCS, where).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3))).repartition(12))
     learn = rows.where("fold < 2")
     lexicon = learn_lexicon(learn)
@@ -193,6 +198,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     """
     if model.trees is None:
         return docs.withColumn("score", F.lit(float(model.values[0]))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    from pyspark.ml.functions import array_to_vector
+
     bounds, values = model.bounds, model.values
 
     @F.pandas_udf("double")
