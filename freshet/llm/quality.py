@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freshet.llm.shared import stored, table
 from freshet.llm.shingles import mix, portions, word_hashes
@@ -120,29 +121,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", where: str =
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            index, value = [], []
-            for grams, tokens in hashed(b.column(0)):
+            for k, (grams, tokens) in enumerate(hashed(b.column(0))):  # a row at a time: vectors of long texts are large
                 both = [np.unique(x, return_counts=True) for x in (grams, tokens)]
-                index.append(np.concatenate([k for k, _ in both]))
-                value.append(np.concatenate([_SCALE * c / max(1, c.sum()) for _, c in both]))
-            yield pa.RecordBatch.from_arrays([pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float64())), b.column(1), b.column(2)], names=["i", "v", "label", "fold"])
+                index = pa.array([np.concatenate([i for i, _ in both])], pa.list_(pa.int32()))
+                value = pa.array([np.concatenate([_SCALE * c / max(1, c.sum()) for _, c in both])], pa.list_(pa.float64()))
+                sparse = pa.StructArray.from_arrays([pa.array([0], pa.int8()), pa.array([2 << BITS], pa.int32()), index, value], names=["type", "size", "indices", "values"])
+                yield pa.RecordBatch.from_arrays([sparse, b.column(1).slice(k, 1), b.column(2).slice(k, 1)], names=["features", "label", "fold"])
 
     from pyspark.ml.classification import LogisticRegression  # here, so that Python workers don't load it
     from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    from pyspark.ml.linalg import VectorUDT
 
-    vector = F.udf(lambda i, v: SparseVector(2 << BITS, i, v), VectorUDT())
-    rows = labelled(docs, labels, label, TRAIN_DOCS, where).select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)).alias("fold"))
-    rows = stored(rows.repartition(12).mapInArrow(vectors, "i array<int>, v array<double>, label double, fold long"))
+    chosen = labelled(docs, labels, label, TRAIN_DOCS, where).select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)).alias("fold"))
+    made = chosen.repartition(12).mapInArrow(vectors, "features struct<type:tinyint,size:int,indices:array<int>,values:array<double>>, label double, fold long")
+    rows = stored(made, as_schema=T.StructType([T.StructField("features", VectorUDT()), *made.schema.fields[1:]]))  # training passes run no Python
     n, good = rows.agg(F.count("*"), F.sum("label")).first()
     seen = {r.fold: (r.lo, r.hi) for r in rows.groupBy((F.col("fold") == 3).alias("fold")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).collect()}
     if not n or any(seen.get(f, (0, 0))[0] == seen.get(f, (0, 0))[1] for f in (False, True)):
         share = (good / n) if n else 1.0
         return Model(np.zeros(2 << BITS, np.float32), 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    made = stored(rows.select(vector("i", "v").alias("features"), "label", "fold"))  # training passes run no Python
-    lr = LogisticRegression(maxIter=40, regParam=2e-4, standardization=False, tol=1e-5).fit(made.where("fold < 3"))
+    lr = LogisticRegression(maxIter=40, regParam=2e-4, standardization=False, tol=1e-5).fit(rows.where("fold < 3"))
     raw = Model(lr.coefficients.toArray().astype(np.float32), float(lr.intercept), 1.0, 0.0)
-    margins = lr.transform(made.where("fold = 3")).select(F.element_at(vector_to_array("rawPrediction"), 2).alias("margin"), "label")
+    margins = lr.transform(rows.where("fold = 3")).select(F.element_at(vector_to_array("rawPrediction"), 2).alias("margin"), "label")
     line = LogisticRegression(maxIter=50, standardization=False).fit(margins.select(array_to_vector(F.array("margin")).alias("features"), "label"))
     return Model(raw.weights, raw.bias, float(line.coefficients[0]), float(line.intercept))
 

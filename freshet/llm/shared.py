@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/freshet-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, arrow_rows: int | None = None, as_schema: StructType | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it: lineage ends there, and any executor can reread it.
 
     ``arrow_rows``: rows that Spark hands to Python at a time while it writes,
-    for rows of large binaries.
+    for rows of large binaries.  ``as_schema``: types to read the table with,
+    where they differ from those it is written with (a struct as a vector).
     """
     spark = df.sparkSession
     path = shared_dir(spark)
@@ -42,7 +44,7 @@ def stored(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(as_schema or df.schema).parquet(path)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
