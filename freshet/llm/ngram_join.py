@@ -6,7 +6,9 @@ first ``n - ceil(0.8 n) + 1`` tokens of both under every total order of tokens,
 so a pair that misses in one order is out:
 
 1. order A puts frequent tokens last and is hashed otherwise; pairs that share a
-   token of their A prefixes are candidates, if their sizes allow the similarity;
+   token of their A prefixes are candidates, if their sizes allow the similarity
+   and what follows that token in both is enough for it, were it their first in
+   common (the pair's first common token lets it through);
 2. under order B, hashed differently, the prefixes have to meet so often that no
    more tokens are missing than two linked sets of these sizes can lack;
 3. under order C the prefixes have to meet, and what is left is verified on the
@@ -62,13 +64,14 @@ def _prefix_length(n: int) -> int:
 
 
 def _prefix(s: np.ndarray, seed: int, last: np.ndarray | None = None) -> np.ndarray:
-    """The first tokens of a set under the order of that seed; tokens of ``last`` (sorted) stand at the end."""
+    """The first tokens of a set in the order of that seed; tokens of ``last`` (sorted) stand at the end."""
     key = mix(s, seed) >> np.uint64(1)
     if last is not None and len(last):
         at = np.minimum(np.searchsorted(last, s), len(last) - 1)
         key |= (last[at] == s).astype(np.uint64) << np.uint64(63)
     p = _prefix_length(len(s))
-    return s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s
+    first = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
+    return s[first[np.argsort(key[first])]]
 
 
 def _sketch(s: np.ndarray) -> bytes:
@@ -118,8 +121,12 @@ def classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, np.ndar
         size = 0
 
         def frequent() -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            token, n = token[n >= LOCAL_FREQUENT], n[n >= LOCAL_FREQUENT]
+            all_tokens = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            held.clear()
+            all_tokens.sort()
+            k = LOCAL_FREQUENT - 1
+            token = np.unique(all_tokens[k:][all_tokens[k:] == all_tokens[: len(all_tokens) - k]]) if len(all_tokens) > k else all_tokens[:0]
+            n = np.searchsorted(all_tokens, token, side="right") - np.searchsorted(all_tokens, token)
             return _batch(schema, [None] * len(token), [None] * len(token), n, token.view(np.int64), [None] * len(token))
 
         for b in batches:
@@ -136,7 +143,6 @@ def classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, np.ndar
             yield _batch(schema, b.column(0).cast(pa.int64()), sigs, sizes, [None] * len(sigs), sketches)
             if size >= COUNT_TOKENS:
                 yield frequent()
-                held.clear()
                 size = 0
         yield frequent()
 
@@ -150,7 +156,7 @@ def classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, np.ndar
 
 
 def shared_tokens(docs: DataFrame, frequent: np.ndarray, text: str) -> DataFrame:
-    """(token, sig, n) for prefix tokens under order A that at least two sets of compatible sizes share.
+    """(token, sig, n, pos) for prefix tokens under order A that at least two sets of compatible sizes share; pos is the token's place in the set.
 
     Tasks emit a set once; after the exchange by token they sort their rows and
     keep the runs.  A frequent token's rows are dealt to SALTS tasks by the
@@ -158,7 +164,7 @@ def shared_tokens(docs: DataFrame, frequent: np.ndarray, text: str) -> DataFrame
     """
     spark = docs.sparkSession
     last = spark.sparkContext.broadcast(frequent)
-    out = [("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int64())]
+    out = [("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("pos", pa.int32())]
 
     def is_frequent(token: np.ndarray) -> np.ndarray:
         if not len(last.value):
@@ -181,25 +187,26 @@ def shared_tokens(docs: DataFrame, frequent: np.ndarray, text: str) -> DataFrame
             token = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
             sig = np.repeat(np.array(sigs, np.int64), lengths)
             salt = np.where(is_frequent(token), sig % SALTS, 0)
-            yield _batch([*out, ("salt", pa.int64())], token, sig, np.repeat(np.array(sizes, np.int64), lengths), salt)
+            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths]) if lengths else np.zeros(0, np.int32)
+            yield _batch([*out, ("salt", pa.int64())], token, sig, np.repeat(np.array(sizes, np.int64), lengths), pos, salt)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches if b.num_rows]
+        parts = [tuple(b.column(i).to_numpy() for i in range(len(out))) for b in batches if b.num_rows]
         if not parts:
             return
-        token, sig, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        token, sig, n, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.lexsort((sig, n, token))
-        token, sig, n = token[order], sig[order], n[order]
+        token, sig, n, pos = token[order], sig[order], n[order], pos[order]
         first = np.concatenate([[True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])])  # equal sets of other tasks
-        token, sig, n = token[first], sig[first], n[first]
+        token, sig, n, pos = token[first], sig[first], n[first], pos[first]
         # in order of size the nearest sizes are neighbours
         fits = (token[1:] == token[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
         keep = np.concatenate([fits, [False]]) | np.concatenate([[False], fits]) | is_frequent(token)
-        yield _batch(out, token[keep], sig[keep], n[keep])
+        yield _batch(out, token[keep], sig[keep], n[keep], pos[keep])
 
-    rows = docs.select(text).mapInArrow(prefixes, "token long, sig long, n long, salt long")
+    rows = docs.select(text).mapInArrow(prefixes, "token long, sig long, n long, pos int, salt long")
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    return stored(rows.repartition(n_parts, "token", "salt").mapInArrow(runs, "token long, sig long, n long"))
+    return stored(rows.repartition(n_parts, "token", "salt").mapInArrow(runs, "token long, sig long, n long, pos int"))
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -284,9 +291,11 @@ def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, text: str, set
 
 
 def candidates(rows: DataFrame, every: bool, seed: int) -> DataFrame:
-    """Candidate pairs (x, y) from ``rows(token, sig, n, comp)``: sets of different components that share a token.
+    """Candidate pairs (x, y) from ``rows(token, sig, n, pos, comp)``: sets of different components that share a token.
 
-    ``every``: all such pairs whose sizes fit.  Otherwise each set meets one
+    ``every``: all such pairs whose sizes fit and that can link if this token is
+    their first in common: what stands from it on in the shorter rest has to
+    reach the overlap that their sizes ask for.  Otherwise each set meets one
     other of its run: the run's pivot, which hashes least (with the token and
     ``seed``), and the pivot's component meets the least of the others.
 
@@ -295,15 +304,16 @@ def candidates(rows: DataFrame, every: bool, seed: int) -> DataFrame:
     two of the parts and pairs one with the other.
     """
     schema = [("x", pa.int64()), ("y", pa.int64())]
-    columns = ("token", "sig", "n", "comp", "i", "j", "part")
+    columns = ("token", "sig", "n", "pos", "comp", "i", "j", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [tuple(b.column(i).to_numpy() for i in range(len(columns))) for b in batches if b.num_rows]
         if not parts:
             return
-        token, sig, n, comp, i, j, part = (np.concatenate(c) for c in zip(*parts, strict=True))
+        token, sig, n, pos, comp, i, j, part = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.lexsort((sig, n, j, i, token))
-        token, sig, n, comp, i, j, part = (c[order] for c in (token, sig, n, comp, i, j, part))
+        token, sig, n, pos, comp, i, j, part = (c[order] for c in (token, sig, n, pos, comp, i, j, part))
+        rest = n - pos  # tokens from the shared one on
         new = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         starts = np.flatnonzero(np.concatenate([[True], new]))
         xs, ys, held = [], [], 0
@@ -312,8 +322,10 @@ def candidates(rows: DataFrame, every: bool, seed: int) -> DataFrame:
             if every:
                 # in order of size, a set's partners are those up to the largest size that fits
                 upto = np.searchsorted(m, 100 * m // PERCENT, side="right")
+                after = rest[a:z]
                 for r in range(len(s)):
-                    other = k[r + 1 : upto[r]] != k[r]
+                    need = -(-PERCENT * (m[r + 1 : upto[r]] + m[r]) // (100 + PERCENT))
+                    other = (k[r + 1 : upto[r]] != k[r]) & (np.minimum(after[r + 1 : upto[r]], after[r]) >= need)
                     if i[a] != j[a]:
                         other &= part[a + r + 1 : a + upto[r]] != part[a + r]
                     partners = s[r + 1 : upto[r]][other]

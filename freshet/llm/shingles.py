@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ONE = np.uint64(1)
