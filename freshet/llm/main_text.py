@@ -44,13 +44,16 @@ FURNITURE_NAMES = frozenset(
 STRONG_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsored promo comment comments reply replies related cookie cookies consent newsletter share sharing nav menu footer sidebar".split())
 CONTENT_TAGS = frozenset({"article", "main"})
 CONTENT_NAMES = frozenset("article main content post entry story body text".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are a piece of the content, never the one that holds it.
+PIECES = HEADINGS | frozenset("p li pre blockquote ul ol table".split())
 
 
 @dataclass
 class Node:
-    """One block of text: the elements around it (place in the page, label), its text and how much of it is links."""
+    """One block of text: the elements around it (place in the page, label, whether it is a content element), its text and how much of it is links."""
 
-    path: tuple[tuple[int, str], ...]
+    path: tuple[tuple[int, str, bool], ...]
     text: str
     link_chars: int
     furniture: bool
@@ -76,9 +79,16 @@ def _is_furniture(names: list[list[str]]) -> bool:
     return bool(called) and (not content or any(w & STRONG_NAMES for w in called))
 
 
+def _is_content(tag: str, names: list[list[str]]) -> bool:
+    """Whether an element says that it is the content: article, main, or a name that ends so (``post-content``, but not ``text-center``)."""
+    if tag in ("html", "body"):
+        return False
+    return tag in CONTENT_TAGS or any(w and w[-1] in CONTENT_NAMES and FURNITURE_NAMES.isdisjoint(w) for w in names)
+
+
 def blocks(page: str) -> Iterator[Node]:
     """The text blocks of a page in order; inline elements do not break a block and take no part in its path."""
-    stack: list[tuple[int, str, str, bool]] = []  # place, tag, label, furniture
+    stack: list[tuple[int, str, str, bool, bool]] = []  # place, tag, label, furniture, content
     parts: list[str] = []
     links = link_depth = made = 0
 
@@ -88,7 +98,7 @@ def blocks(page: str) -> Iterator[Node]:
         parts, n = [], links
         links = 0
         if text:
-            yield Node(tuple((s[0], s[2]) for s in stack), text, min(n, len(text)), any(s[3] for s in stack))
+            yield Node(tuple((s[0], s[2], s[4]) for s in stack), text, min(n, len(text)), any(s[3] for s in stack))
 
     def add(text: str) -> None:
         nonlocal links
@@ -130,7 +140,7 @@ def blocks(page: str) -> Iterator[Node]:
             named = any(not {"comment", "comments", "reply", "replies"}.isdisjoint(w) for w in names)
         furniture = tag in FURNITURE_TAGS or (tag == "header" and not inside) or named or bool(attrs and _HIDDEN.search(attrs))
         made += 1
-        stack.append((made, tag, ".".join([tag, *sorted({w for n in names for w in n})]), furniture))
+        stack.append((made, tag, ".".join([tag, *sorted({w for n in names for w in n})]), furniture, _is_content(tag, names)))
     add(page[at:])
     yield from flush()
 
@@ -142,15 +152,19 @@ def main_text(page: str) -> str:
     out) and punctuation per block.  Both are smoothed over the neighbouring
     blocks and fused into one weight.  From the root down, the child that holds
     most of its parent's weight leads to the content's element; furniture (by
-    element or name) weighs nothing.  Below it every block is kept but for
-    furniture and paths made of links; where the content has no element of its
-    own, blocks under a threshold of the spread of weights go too.
+    element or name) weighs nothing.  The way down ends at the first article,
+    main or element with a content name.  From where it ended it goes back up
+    to the outermost element whose other children hold blocks like the content
+    (past a content element only other content elements count).  Below it every
+    block is kept but for furniture and paths made of links; where the content
+    has no element of its own, blocks under a threshold of the spread of
+    weights go too.
     """
     nodes = [n for n in blocks(page) if not n.furniture]
     if not nodes:
         return ""
     sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
-    keys = [tuple(label for _, label in n.path) for n in nodes]
+    keys = [tuple(label for _, label, _ in n.path) for n in nodes]
     for key, n in zip(keys, nodes, strict=True):
         s = sums[key]
         s[0] += 1
@@ -162,20 +176,37 @@ def main_text(page: str) -> str:
     smooth = [tuple((a[j] + 2 * b[j] + c[j]) / 4 for j in (0, 1)) for a, b, c in zip(padded, padded[1:], padded[2:], strict=False)]
     weights = [r[0] * (1 + r[1]) * (1 - n.link_chars / len(n.text)) for r, n in zip(smooth, nodes, strict=True)]
 
-    depth, chosen = 0, list(range(len(nodes)))
-    while True:
-        below: dict[tuple[int, str], float] = defaultdict(float)
+    linked = lambda i: sums[keys[i]][1] < 0.4 * sums[keys[i]][3]
+    tag = lambda e: e[1].split(".")[0]
+    depth, chosen, own = 0, list(range(len(nodes))), False
+    levels = [chosen]
+    while not own:
+        below: dict[tuple[int, str, bool], float] = defaultdict(float)
         for i in chosen:
             if len(nodes[i].path) > depth:
                 below[nodes[i].path[depth]] += weights[i]
         total = sum(weights[i] for i in chosen)
         best = max(below, key=lambda e: (below[e], -e[0]), default=None)
-        tag = best[1].split(".")[0] if best else ""
-        if best is None or below[best] < 0.6 * total or tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "ul", "ol", "table"):
+        if best is None or below[best] < 0.6 * total or tag(best) in PIECES:
             break
         chosen = [i for i in chosen if len(nodes[i].path) > depth and nodes[i].path[depth] == best]
         depth += 1
-    linked = lambda i: sums[keys[i]][1] < 0.4 * sums[keys[i]][3]
+        own = best[2]
+        levels.append(chosen)
+    plain = [r[0] * (1 + r[1]) for r in ratios]  # not smoothed: a neighbour of the content is not like it for that
+    enough = 0.1 * sum(plain[i] for i in chosen) / len(chosen)
+    for up in range(depth):
+        page_level = up == 0 or tag(nodes[chosen[0]].path[up - 1]) in ("html", "body")
+        kin = set(levels[up + 1])
+        for i in (i for i in levels[up] if i not in kin and not linked(i)):
+            rest = nodes[i].path[up:]
+            like = plain[i] >= enough and (not own or any(e[2] for e in rest))
+            if like or (not own and not page_level and rest and tag(rest[-1]) in HEADINGS):
+                break
+        else:
+            continue
+        depth, chosen = up, levels[up]
+        break
     kept = [i for i in chosen if not linked(i)] or chosen
     element = nodes[chosen[0]].path[depth - 1][1] if depth else ""
     if element.split(".")[0] in ("", "html", "body"):

@@ -237,6 +237,41 @@ def test_odd_pages(page, text):
     assert main_text.main_text(page) == text
 
 
+def _paragraphs(*names):
+    return "".join(f"<p>{n} one, two; three. Four, five: six.</p>" for n in names), [f"{n} one, two; three. Four, five: six." for n in names]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><section>{a}</section><section>{b}</section></article>",
+        "<main><div><div>{a}</div></div><div>{b}</div></main>",
+        "<div class='post-content'><div>{a}</div><div>{b}</div></div>",
+        "<div><div><div>{a}</div><div>{b}</div></div></div>",
+        "<div><div><div>{a}</div></div><div>{b}</div></div>",
+        "<article>{a}</article><article>{b}</article>",
+        "<div class='row'><div class='text-justify'>{a}</div><div>{b}</div></div>",
+    ],
+)
+def test_content_in_unequal_parts_stays_whole(page):
+    (a, first), (b, second) = _paragraphs("A", "B", "C"), _paragraphs("D")
+    page = page.format(a=a, b=b)
+    for around in ("<body>{}</body>", "<body><nav><p>Menu, of it all; here.</p></nav><div>Site</div>{}<div class='comments'><p>Nice, really; yes, yes.</p></div></body>"):
+        assert main_text.main_text(around.format(page)).removeprefix("Site ") == " ".join(first + second)
+
+
+def test_heading_and_lead_beside_the_body_stay():
+    body, texts = _paragraphs("A", "B", "C", "D")
+    for page in ("<article><h1>Head</h1><p>Lead, short.</p><div class=body>{}</div></article>", "<div id=wrap><div><h1>Head</h1><p>Lead, short.</p><div>{}</div></div></div>"):
+        assert main_text.main_text(page.format(body)) == " ".join(["Head Lead, short.", *texts])
+    assert main_text.main_text(f"<div><div><h1>Head</h1></div><div>{body}</div></div>") == " ".join(["Head", *texts])
+
+
+def test_other_blocks_beside_a_content_element_go():
+    body, texts = _paragraphs("A", "B", "C")
+    assert main_text.main_text(f"<div><article>{body}</article><div><p>About this site, at length; and more. And on.</p></div></div>") == " ".join(texts)
+
+
 def test_extract_keeps_every_row(spark):
     d = spark.createDataFrame([(1, "u", PAGE, "clash"), (2, None, None, "x"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     got = [(r.page_id, r.text, r.n_chars) for r in main_text.extract(d).orderBy("page_id").collect()]
