@@ -24,7 +24,8 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 _PUNCTUATION = ".,;:!?"
 
 # How HTML elements nest, and the names that page furniture goes by.
@@ -79,6 +80,18 @@ def _is_furniture(names: list[list[str]]) -> bool:
     return bool(called) and (not content or any(w & STRONG_NAMES for w in called))
 
 
+def _is_hidden(attrs: str) -> bool:
+    """Whether an element is not shown: by the attribute hidden, aria-hidden=true, or its style; names and other properties say nothing."""
+    low = attrs.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    for m in _ATTRIBUTE.finditer(low):
+        name, value = m[1], (m[2] or m[3] or m[4] or "").strip()
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _UNSEEN.search(value)):
+            return True
+    return False
+
+
 def _is_content(tag: str, names: list[list[str]]) -> bool:
     """Whether an element says that it is the content: article, main, or a name that ends so (``post-content``, but not ``text-center``)."""
     if tag in ("html", "body"):
@@ -138,7 +151,7 @@ def blocks(page: str) -> Iterator[Node]:
         named = tag not in ("html", "body") and _is_furniture(names)
         if named and tag in CONTENT_TAGS:  # an article called by a furniture name is one only as a comment
             named = any(not {"comment", "comments", "reply", "replies"}.isdisjoint(w) for w in names)
-        furniture = tag in FURNITURE_TAGS or (tag == "header" and not inside) or named or bool(attrs and _HIDDEN.search(attrs))
+        furniture = tag in FURNITURE_TAGS or (tag == "header" and not inside) or named or _is_hidden(attrs)
         made += 1
         stack.append((made, tag, ".".join([tag, *sorted({w for n in names for w in n})]), furniture, _is_content(tag, names)))
     add(page[at:])

@@ -272,6 +272,17 @@ def test_other_blocks_beside_a_content_element_go():
     assert main_text.main_text(f"<div><article>{body}</article><div><p>About this site, at length; and more. And on.</p></div></div>") == " ".join(texts)
 
 
+@pytest.mark.parametrize("attrs", ["style='overflow-x:hidden'", 'style="color:red; overflow : hidden"', "class='content overflow-hidden'", "class=hidden-print", "aria-hidden='false'", "data-hidden", "data-hidden=1", "title='a hidden place; display:none'", "data-style='display:none'"])
+def test_only_hidden_elements_are_hidden(attrs):
+    for tag in ("body", "main", "article", "div"):
+        assert main_text.main_text(f"<{tag} {attrs}><p>One, two; three.</p><p>Four.</p></{tag}>") == "One, two; three. Four."
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "class=x hidden", "hidden=''", "hidden=hidden", "HIDDEN", "aria-hidden=true", 'aria-hidden = "true"', "style='display:none'", 'style="color:red; DISPLAY : none !important"', "style='visibility:hidden;'"])
+def test_hidden_elements_go(attrs):
+    assert main_text.main_text(f"<article><p>One, two; three.</p><div {attrs}><p>Gone, all; of it.</p></div></article>") == "One, two; three."
+
+
 def test_extract_keeps_every_row(spark):
     d = spark.createDataFrame([(1, "u", PAGE, "clash"), (2, None, None, "x"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     got = [(r.page_id, r.text, r.n_chars) for r in main_text.extract(d).orderBy("page_id").collect()]
