@@ -184,7 +184,8 @@ def held_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest frame at or before each half hour, null where it is older than two hours."""
     e = events(spark, sf_dir)
     frames = e.where("hour % 4 = 0").select("event_type", (F.col("hour") * 3_600_000_000).alias("us")).distinct().withColumn("frame", F.col("us"))
-    half = e.select((scalar.slot(F.col("us"), 1800) * 1_800_000_000).alias("us")).distinct().crossJoin(F.broadcast(e.select("event_type").distinct().limit(1_000)))
+    slots = e.agg(F.collect_set(F.struct((scalar.slot(F.col("us"), 1800) * 1_800_000_000).alias("us"))).alias("slots"))  # one row, as long as the time span
+    half = e.select("event_type").distinct().crossJoin(F.broadcast(slots)).select("event_type", F.inline("slots"))
     return temporal.asof(half, frames, ["event_type"], "us", "frame", "frame", within=7_200_000_000).select("event_type", "us", "frame")
 
 

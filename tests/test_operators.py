@@ -162,6 +162,54 @@ def test_hyetograph_holds_its_depth():
     assert sum(b * 5 / 60 for b in blocks) == pytest.approx(60.0) and max(blocks) == blocks[4]
 
 
+def test_storm_of_more_cells_than_are_broadcast_keeps_them_all(spark):
+    n = 10_300
+    cells = [(float(i % 977) / 7, float(i % 37 + 1) / 3, 50.0 * (i % 11), 30.0 * (i % 13), 3.0, -2.0, 100.0 + i % 5, 1.0 + i % 3) for i in range(n)]
+    grid = [(x, y, t) for x in (0.0, 300.0) for y in (0.0, 200.0) for t in (0.0, 55.5, 139.0, 400.0)]
+    got = {(r["x"], r["y"], r["t"]): r["rain"] for r in dicts(recurrence.storm_field(spark.createDataFrame(grid, "x double, y double, t double"), spark.createDataFrame(cells, "birth double, life double, x0 double, y0 double, vx double, vy double, sigma double, peak double"), "x", "y", "t", 2.0))}
+    for x, y, t in grid:
+        want = 2.0
+        for birth, life, x0, y0, vx, vy, sigma, peak in cells:
+            if birth <= t <= birth + life:
+                want += peak * math.sin(math.pi * (t - birth) / life) * math.exp(-((x - x0 - vx * (t - birth)) ** 2 + (y - y0 - vy * (t - birth)) ** 2) / (2 * sigma**2))
+        assert got.pop((x, y, t)) == pytest.approx(want)
+    assert not got
+
+
+def test_trees_of_any_depth(spark):
+    deep = [(i, i - 1 if i else None, 1.0 if i else 500.0) for i in range(150)] + [(1000 + i, i, 2.0) for i in range(0, 150, 10)]
+    tree = spark.createDataFrame(deep, "n long, p long, z double")
+    up = {n: p for n, p, _ in deep}
+    total, members, sill = dict.fromkeys(up, 0.0), dict.fromkeys(up, 0), {}
+    for n, _, z in deep:
+        a = n
+        while a is not None:
+            total[a], members[a], a = total[a] + z, members[a] + 1, up[a]
+        sill[n] = 500.0
+    got = {r["n"]: (r["total"], r["members"]) for r in dicts(graph.accumulate_to_root(tree, "n", "p", "z"))}
+    assert got == {n: (total[n], members[n]) for n in up}
+    assert {r["n"]: r["sill"] for r in dicts(graph.sill_to_root(tree, "n", "p", "z"))} == sill
+
+
+def test_own_parents_are_roots_and_cycles_raise(spark):
+    pits = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "n long, p long")
+    assert {(r["node"], r["ancestor"], r["depth"]) for r in dicts(graph.closure(pits, "n", "p"))} == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (2, 1, 1), (3, 2, 1), (3, 1, 2)}
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 1)], "n long, p long")
+    with pytest.raises(RuntimeError, match="cycle"):
+        graph.closure(ring, "n", "p")
+
+
+def test_held_frames_of_many_types(spark, tmp_path):
+    from freshet.plans import REGISTRY
+
+    e = spark.range(1_200).select(F.col("id").alias("event_id"), F.timestamp_seconds(14_400 + F.col("id") % 3 * 7_200).alias("ts"), F.lit(1).cast("long").alias("user_id"), F.concat(F.lit("t"), "id").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["event_type"], r["us"]): r["frame"] for r in dicts(REGISTRY["held_frames"].run(spark, str(tmp_path)))}
+    h = 3_600_000_000
+    frame = lambda i, us: {0: 4 * h if us - 4 * h <= 2 * h else None, 1: None, 2: 8 * h if us >= 8 * h else None}[i % 3]
+    assert got == {(f"t{i}", us): frame(i, us) for i in range(1_200) for us in (4 * h, 6 * h, 8 * h)}
+
+
 def test_hops_and_sills_and_costs(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 9)], "src long, dst long")
     assert {r["node"]: r["hop"] for r in dicts(graph.hops(graph.both_ways(e), graph.start_nodes(spark, [2]), 1))} == {1: 1, 2: 0, 3: 1}
