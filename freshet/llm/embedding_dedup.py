@@ -206,7 +206,7 @@ def links(cut: DataFrame, pairs: DataFrame, axes: dict[int, np.ndarray], thresho
 
     side = lambda s: cut.select(F.col("tile").alias(s), *([F.col("d")] if s == "a" else []), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "copies", "data")])
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return stored(joined.mapInArrow(run, "id long, n long, other long"), 4)
+    return stored(joined.mapInArrow(run, "id long, n long, other long"))
 
 
 def link(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.llm.shared import stored, table
+from freshet.llm.shared import picked, row_mark, stored, table, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents that one bucket of a source holds on average; a bucket is the unit that one task sorts.
+#: Documents that one bucket of a source holds on average at most; a bucket is the unit that one task sorts.
 BUCKET_ROWS = 400
+#: Buckets that are added up at a time before their sums are.
+WIDE = 4_096
 
 
 def with_size_and_weight(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -58,39 +60,44 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), total_fac
 
     A source's target is taken as complete epochs first; the rest goes to the
     documents with the smallest keys -ln(u) / quality_weight, u a hash of
-    doc_id, until their sizes reach it (a document that crosses the budget is
-    taken if at least half of it lies inside).  Keys are cut into buckets; sums
-    of the buckets say in which one a source's budget ends, so a source with a
-    third of all rows is sorted by many tasks and a bucket is never larger than
-    its share of the keys.
+    doc_id and size, until their sizes reach it (a document that crosses the
+    budget is taken if at least half of it lies inside).
+
+    Keys are cut into buckets of equal ratio: whatever the weights, no more than
+    width / e of a source's keys have logarithms within one width, so a bucket
+    holds BUCKET_ROWS rows on average at most, and a source with a third of all
+    rows is sorted by many tasks.  Sums of the buckets, added up in two levels,
+    say in which one a source's budget ends.
 
     Empty documents have size 0 and take 0.  Repeated rows count as often as
     they stand.  Equal keys are ordered by doc_id and size.  Null sources are a
-    source of their own; a null doc_id hashes like any value.
+    source of their own; a null doc_id hashes like any value.  Other columns
+    stay; those named like an added one are replaced.
     """
-    rows = docs.withColumn("u", (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52))
-    rows = rows.withColumn("key", -F.log("u") / F.greatest("quality_weight", F.lit(1e-6)))
-    n = docs.count()
-    buckets = max(1, math.ceil(n / BUCKET_ROWS))
-    # 1 - exp(-key) rises with the key and spreads it over 0 to 1
-    rows = rows.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets)).cast("long"))
+    added = ["source_size", "target", "epochs", "taken"]
+    u = (F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in added]).alias("row"), "doc_id", "source", "size", (-F.log(u) / F.greatest("quality_weight", F.lit(1e-6))).alias("key"))
+    width = min(1.0, math.e * BUCKET_ROWS / max(1, docs.count()))
+    rows = rows.withColumn("bucket", F.floor(F.log("key") / width))
     targets = source_targets(docs, weights, total_factor, cap)
     plan = targets.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
     plan = stored(plan.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("full") * F.col("source_size"))))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    known = plan.withColumnRenamed("source", "_source")
+    sums = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket")).withColumn("wide", F.floor(F.col("bucket") / WIDE)))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    wide = sums.groupBy("source", "wide").agg(F.sum("in_bucket").alias("in_wide"))
+    wide = wide.select(F.col("source").alias("_source"), F.col("wide").alias("_wide"), F.coalesce(F.sum("in_wide").over(before("source").orderBy("wide")), F.lit(0)).alias("ahead_wide"))
+    known = plan.withColumnRenamed("source", "_plan_source")
     ahead = stored(
-        sums.withColumn("ahead", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0)))
-        .join(known, F.col("source").eqNullSafe(F.col("_source")))
-        .select("_source", F.col("bucket").alias("_bucket"), "ahead", "source_size", "target", "full", "rest")
+        sums.withColumn("within", F.coalesce(F.sum("in_bucket").over(before("source", "wide").orderBy("bucket")), F.lit(0)))
+        .join(wide, F.col("source").eqNullSafe(F.col("_source")) & (F.col("wide") == F.col("_wide")))
+        .join(known, F.col("source").eqNullSafe(F.col("_plan_source")))
+        .select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), (F.col("ahead_wide") + F.col("within")).alias("ahead"), "source_size", "target", "full", "rest")
     )
-    met = rows.join(ahead, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket"))).drop("_source", "_bucket")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    chosen = (before + F.col("size") / 2 <= F.col("rest")) & (F.col("rest") > 0)
-    epochs = F.least(F.col("full") + chosen.cast("long"), F.lit(math.ceil(cap)))
-    return met.withColumn("epochs", epochs.cast("long")).withColumn("taken", F.col("epochs") * F.col("size")).drop("u", "key", "bucket", "ahead", "full", "rest")
+    met = rows.join(ahead, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
+    upto = F.col("ahead") + F.coalesce(F.sum("size").over(before("source", "bucket").orderBy("key", "doc_id", "size")), F.lit(0))
+    chosen = (upto + F.col("size") / 2 <= F.col("rest")) & (F.col("rest") > 0)
+    epochs = F.least(F.col("full") + chosen.cast("long"), F.lit(math.ceil(cap))).cast("long")
+    return met.withColumn("epochs", epochs).select("row.*", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,11 +107,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it, with the columns it came with."""
-    columns = docs.columns
-    sized = with_size_and_weight(docs)
-    slim = stored(sized.select("doc_id", "source", "size", "quality_weight", F.xxhash64("doc_id", "text").alias("mark")))
-    taken = stored(mix(slim).where("epochs > 0").groupBy(F.col("doc_id").alias("_doc_id"), F.col("mark").alias("_taken_mark")).agg(F.max("epochs").alias("_epochs")))
-    marked = docs.withColumn("_mark", F.xxhash64("doc_id", "text"))
-    met = marked.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_mark") == F.col("_taken_mark")))
-    return met.withColumn("_time", F.explode(F.array_repeat(F.lit(0), F.col("_epochs").cast("int")))).select(*columns)
+    """The mixed corpus: each document as often as the mix takes it, with the columns it came with.
+
+    Rows that are equal in every column (but maps) are told apart by nothing, so
+    they are taken together, as often as the mix takes all of them.
+    """
+    (times,) = unused(docs, "times")
+    sized = with_size_and_weight(docs.select("doc_id", "source", "text", row_mark(docs).alias("mark")))
+    taken = mix(stored(sized.select("doc_id", "source", "size", "quality_weight", "mark")))
+    taken = taken.groupBy(F.col("doc_id").alias("id"), "mark").agg(F.count("*").alias("rows"), F.sum("epochs").alias(times)).where(F.col(times) > 0)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))
+    return picked(docs, stored(taken), "doc_id", times).withColumn(times, copies).select(*docs.columns)

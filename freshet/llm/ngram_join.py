@@ -3,22 +3,28 @@
 A document's set is its distinct five-word shingles.  Sets link when their
 Jaccard similarity is 0.8 or more.  Any two linked sets share a token among the
 first ``n - ceil(0.8 n) + 1`` tokens of both under every total order of tokens,
-so a pair that misses in one order is out:
-
-1. order A puts frequent tokens last and is hashed otherwise; pairs that share a
-   token of their A prefixes are candidates, if their sizes allow the similarity
-   and what follows that token in both is enough for it, were it their first in
-   common (the pair's first common token lets it through);
-2. under order B, hashed differently, the prefixes have to meet so often that no
-   more tokens are missing than two linked sets of these sizes can lack;
-3. under order C the prefixes have to meet, and what is left is verified on the
-   whole sets.
-
-Equal sets are one node throughout.  Candidates come in rounds: first each set
-meets one partner per shared token, then only sets of different components meet,
-and the last round takes every pair that is still between components.  So a
-group of copies, however large, costs about one pair for each member and token,
-and no link between different components is missed.
+so a pair that misses in one order is out.  The filters meet before any set is
+fetched:
+
+1. order A puts frequent tokens last and is hashed otherwise; sets that share a
+   token of their A prefixes meet in that token's run.  Their rows bring bits of
+   their B and C prefixes along, and a pair leaves the run only if its sizes
+   allow the similarity, what follows the token in both is enough for it (were it
+   their first in common: the pair's first common token lets it through), and
+   the bits of both other orders meet;
+2. under orders B and C, hashed differently, the sketches of the whole prefixes
+   have to agree so far that no more tokens are missing than two linked sets of
+   these sizes can lack;
+3. what is left is verified on the whole sets.
+
+Equal sets are one node throughout.  In the first round each set meets one
+partner per run, the one with the fewest rarer tokens, so a group of copies,
+however large, costs about one pair for each member.  Verifying a pair also
+gives what either set lacks of the other, as bits.  In the last round every pair
+of different components that passes the filters is taken; of two sets that were
+compared with the same third one, these bits bound the overlap from above, so
+that the outskirts of a large group are not paired with all its members.  No
+link between different components is missed.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.shared import components, stored, table
+from freshet.llm.shared import components, picked, row_mark, small_batches, stored, table
 from freshet.llm.shingles import mix, shingle_sets
 
 PERCENT = 80
@@ -46,8 +52,14 @@ SALTS = 32
 FILTER_BITS = 1 << 23
 #: Rows of one token from which its run is cut into parts.
 RUN_ROWS = 50_000
-#: Sets whose tokens a task counts at a time.
-COUNT_TOKENS = 4_000_000
+#: Tokens that a task counts at a time.
+COUNT_TOKENS = 2_000_000
+#: Names of sets that a task remembers, so as not to emit equal sets again; beyond it starts anew and some come twice.
+SEEN = 200_000
+#: Longest prefix of which a row's bits tell something; those of longer ones let all through.
+MASKED = 24
+#: Bytes of what a set lacks of its reference and has beyond it: 128 bits each, and both sizes.
+DELTA = 48
 _SIGN = np.uint64((1 << 63) - 1)
 
 
@@ -74,14 +86,46 @@ def _prefix(s: np.ndarray, seed: int, last: np.ndarray | None = None) -> np.ndar
     return s[first[np.argsort(key[first])]]
 
 
-def _sketch(s: np.ndarray) -> bytes:
-    """The B keys of a set's prefix under order B, cut to 16 bits, sorted."""
-    key = mix(s, 2)
+def _sketch(s: np.ndarray, seed: int) -> bytes:
+    """The keys of a set's prefix under the order of that seed, cut to 16 bits, sorted."""
+    key = mix(s, seed)
     p = _prefix_length(len(s))
     key = key[np.argpartition(key, p - 1)[:p]] if p < len(s) else key
     return np.sort(key >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
+def _mask(s: np.ndarray) -> int:
+    """32 bits that the tokens of a set's B prefix set, and 32 of its C prefix; linked sets have bits of both in common."""
+    p = _prefix_length(len(s))
+    if p > MASKED:
+        return -1
+    out = 0
+    for half, seed in ((0, 2), (32, 3)):
+        key = mix(s, seed)
+        key = key[np.argpartition(key, p - 1)[:p]] if p < len(s) else key
+        out |= int(np.bitwise_or.reduce(np.uint64(1) << (key & np.uint64(31)))) << half
+    return out - (1 << 64) if out >> 63 else out
+
+
+def _bits(tokens: np.ndarray) -> np.ndarray:
+    """128 bits of which each token sets one."""
+    at = mix(tokens, 4) & np.uint64(127)
+    return np.array([np.bitwise_or.reduce(np.uint64(1) << (at[at >> np.uint64(6) == w] & np.uint64(63)), initial=np.uint64(0)) for w in (0, 1)], dtype=np.uint64)
+
+
+def most_common(x: np.ndarray, n: int, others: np.ndarray) -> np.ndarray:
+    """The largest overlap that a set of ``n`` tokens can have with each of the others, from what they lack of one reference and have beyond it.
+
+    ``x`` and the rows of ``others``: bits lacked (2), bits beyond (2), tokens
+    lacked, tokens beyond.  The reference's tokens that either set lacks are not
+    common; of those beyond it, tokens whose bit the other has not set aren't.
+    """
+    ones = lambda b: np.bitwise_count(b).sum(axis=-1).astype(np.int64)
+    lacked = np.maximum(ones(others[:, :2] | x[:2]), np.maximum(others[:, 4].astype(np.int64), int(x[4])))
+    beyond = np.minimum(int(x[5]) - ones(x[2:4] & ~others[:, 2:4]), others[:, 5].astype(np.int64) - ones(others[:, 2:4] & ~x[2:4]))
+    return n + int(x[4]) - int(x[5]) - lacked + beyond
+
+
 def may_link(bx: np.ndarray, nx: int, by: np.ndarray, ny: int) -> bool:
     """Whether two sets can link, from their sketches and sizes; never false for sets that do.
 
@@ -106,14 +150,14 @@ def _batch(schema: list[tuple[str, pa.DataType]], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
 
 
-def classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, sig, n_shingles, b) for every row, and the frequent tokens, sorted; b, the B sketch, stands at a set's first row in a task.
+def classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, mark, sig, n_shingles, b, c) for every row of ``docs(doc_id, text, mark)``, and the frequent tokens, sorted; b and c, the sketches, stand at a set's first row in a task.
 
     One pass over the texts; the tokens of equal sets count once in a task.  A
     token that many sets hold is held by many sets of some task, so tasks only
     report what is frequent among their own.
     """
-    schema = [("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("b", pa.binary())]
+    schema = [("doc_id", pa.int64()), ("mark", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("b", pa.binary()), ("c", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -127,44 +171,49 @@ def classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, np.ndar
             k = LOCAL_FREQUENT - 1
             token = np.unique(all_tokens[k:][all_tokens[k:] == all_tokens[: len(all_tokens) - k]]) if len(all_tokens) > k else all_tokens[:0]
             n = np.searchsorted(all_tokens, token, side="right") - np.searchsorted(all_tokens, token)
-            return _batch(schema, [None] * len(token), [None] * len(token), n, token.view(np.int64), [None] * len(token))
+            none = [None] * len(token)
+            return _batch(schema, none, none, none, n, token.view(np.int64), none, none)
 
-        for b in batches:
-            sigs, sizes, sketches = [], [], []
-            for s in shingle_sets(b.column(1)):
+        for batch in batches:
+            sigs, sizes, bs, cs = [], [], [], []
+            for s in shingle_sets(batch.column(1)):
                 sigs.append(_signature(s))
                 sizes.append(len(s))
-                sketches.append(None)
-                if len(s) and sigs[-1] not in seen:
+                new = len(s) > 0 and sigs[-1] not in seen
+                bs.append(_sketch(s, 2) if new else None)
+                cs.append(_sketch(s, 3) if new else None)
+                if new:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(sigs[-1])
-                    sketches[-1] = _sketch(s)
                     held.append(s)
                     size += len(s)
-            yield _batch(schema, b.column(0).cast(pa.int64()), sigs, sizes, [None] * len(sigs), sketches)
-            if size >= COUNT_TOKENS:
-                yield frequent()
-                size = 0
+                if size >= COUNT_TOKENS:
+                    yield frequent()
+                    size = 0
+            yield _batch(schema, batch.column(0), batch.column(2), sigs, sizes, [None] * len(sigs), bs, cs)
         yield frequent()
 
-    both = stored(docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, "doc_id long, sig long, n long, token long, b binary"))
+    both = stored(docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark long, sig long, n long, token long, b binary, c binary"))
     counts = stored(both.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT))
     bar = FREQUENT
     while counts.where(F.col("n") >= bar).count() > MAX_FREQUENT:
         bar *= 2
     tokens = counts.where(F.col("n") >= bar).select("token").toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64)
-    return both.where("token is null").select("doc_id", "sig", F.col("n").alias("n_shingles"), "b"), np.sort(tokens)
+    return both.where("token is null").select("doc_id", "mark", "sig", F.col("n").alias("n_shingles"), "b", "c"), np.sort(tokens)
 
 
 def shared_tokens(docs: DataFrame, frequent: np.ndarray, text: str) -> DataFrame:
-    """(token, sig, n, pos) for prefix tokens under order A that at least two sets of compatible sizes share; pos is the token's place in the set.
+    """(token, sig, place, mask) for prefix tokens under order A that at least two sets of compatible sizes share.
 
+    place is the set's size (upper half) and the token's place in the set.
     Tasks emit a set once; after the exchange by token they sort their rows and
     keep the runs.  A frequent token's rows are dealt to SALTS tasks by the
     set's name, and all of them stay.
     """
     spark = docs.sparkSession
     last = spark.sparkContext.broadcast(frequent)
-    out = [("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("pos", pa.int32())]
+    out = [("token", pa.int64()), ("sig", pa.int64()), ("place", pa.int64()), ("mask", pa.int64())]
 
     def is_frequent(token: np.ndarray) -> np.ndarray:
         if not len(last.value):
@@ -174,43 +223,53 @@ def shared_tokens(docs: DataFrame, frequent: np.ndarray, text: str) -> DataFrame
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+
+        def rows(tokens: list[np.ndarray], sigs: list[int], sizes: list[int], masks: list[int]) -> pa.RecordBatch:
+            lengths = [len(t) for t in tokens]
+            token = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
+            sig, n, mask = (np.repeat(np.array(c, np.int64), lengths) for c in (sigs, sizes, masks))
+            pos = np.concatenate([np.arange(k) for k in lengths]) if lengths else np.zeros(0, np.int64)
+            return _batch([*out, ("salt", pa.int64())], token, sig, (n << 32) | pos, mask, np.where(is_frequent(token), sig % SALTS, 0))
+
         for b in batches:
-            tokens, sigs, sizes = [], [], []
+            held: tuple[list, ...] = ([], [], [], [])
+            size = 0
             for s in shingle_sets(b.column(0)):
                 sig = _signature(s)
                 if sig and sig not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(sig)
-                    tokens.append(_prefix(s, 1, last.value))
-                    sigs.append(sig)
-                    sizes.append(len(s))
-            lengths = [len(t) for t in tokens]
-            token = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
-            sig = np.repeat(np.array(sigs, np.int64), lengths)
-            salt = np.where(is_frequent(token), sig % SALTS, 0)
-            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths]) if lengths else np.zeros(0, np.int32)
-            yield _batch([*out, ("salt", pa.int64())], token, sig, np.repeat(np.array(sizes, np.int64), lengths), pos, salt)
+                    for column, x in zip(held, (_prefix(s, 1, last.value), sig, len(s), _mask(s)), strict=True):
+                        column.append(x)
+                    size += len(held[0][-1])
+                if size >= 1 << 18:
+                    yield rows(*held)
+                    held, size = ([], [], [], []), 0
+            yield rows(*held)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [tuple(b.column(i).to_numpy() for i in range(len(out))) for b in batches if b.num_rows]
         if not parts:
             return
-        token, sig, n, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((sig, n, token))
-        token, sig, n, pos = token[order], sig[order], n[order], pos[order]
+        token, sig, place, mask = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((sig, place >> 32, token))
+        token, sig, place, mask = token[order], sig[order], place[order], mask[order]
         first = np.concatenate([[True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])])  # equal sets of other tasks
-        token, sig, n, pos = token[first], sig[first], n[first], pos[first]
+        token, sig, place, mask = token[first], sig[first], place[first], mask[first]
         # in order of size the nearest sizes are neighbours
+        n = place >> 32
         fits = (token[1:] == token[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
         keep = np.concatenate([fits, [False]]) | np.concatenate([[False], fits]) | is_frequent(token)
-        yield _batch(out, token[keep], sig[keep], n[keep], pos[keep])
+        yield _batch(out, token[keep], sig[keep], place[keep], mask[keep])
 
-    rows = docs.select(text).mapInArrow(prefixes, "token long, sig long, n long, pos int, salt long")
+    rows = docs.select(text).mapInArrow(prefixes, "token long, sig long, place long, mask long, salt long")
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    return stored(rows.repartition(n_parts, "token", "salt").mapInArrow(runs, "token long, sig long, n long, pos int"))
+    return stored(rows.repartition(n_parts, "token", "salt").mapInArrow(runs, "token long, sig long, place long, mask long"))
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """(sig, tokens) of the sets that ``wanted(doc_id, sig)`` names, tokens in order C.
+    """(sig, tokens) of the sets that ``wanted(doc_id, sig)`` names, tokens sorted.
 
     A bit filter of fixed size over the wanted ids thins the texts before they
     are shuffled; beyond its size it lets more through, never less.
@@ -238,7 +297,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
                 if sig in seen or _signature(s) != sig:  # a repeated row, or another text under the same doc_id
                     continue
                 seen.add(sig)
-                rows.append((sig, s[mix(s, 3).argsort()].tobytes()))
+                rows.append((sig, s.tobytes()))
                 size += len(s)
                 if size >= COUNT_TOKENS // 4:
                     yield _batch(schema, *zip(*rows, strict=True))
@@ -252,34 +311,47 @@ def token_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, text: str, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The pairs (x, y) whose sets link: sketches first, then order C and the whole sets; and all sets fetched so far.
+    """Of the pairs (x, y) those that both sketches let through: linked, and what either set lacks of the other; and all sets fetched so far.
 
-    ``first(sig, doc_id, n, b)`` has a row per set; ``sets`` are those of the
+    ``first(sig, doc_id, n, b, c)`` has a row per set; ``sets`` are those of the
     rounds before, whose texts are not read again.
     """
 
     def meets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xb, yb, xn, yn = (batch.column(c) for c in ("x_b", "y_b", "x_n", "y_n"))
-            sizes = zip(xn.to_pylist(), yn.to_pylist(), strict=True)
-            keep = [may_link(np.frombuffer(xb[i].as_buffer(), np.uint16), n, np.frombuffer(yb[i].as_buffer(), np.uint16), m) for i, (n, m) in enumerate(sizes)]
-            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sizes = list(zip(batch.column("x_n").to_pylist(), batch.column("y_n").to_pylist(), strict=True))
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for order in "bc":
+                xb, yb = batch.column(f"x_{order}"), batch.column(f"y_{order}")
+                for i in np.flatnonzero(keep):
+                    n, m = sizes[i]
+                    keep[i] = may_link(np.frombuffer(xb[i].as_buffer(), np.uint16), n, np.frombuffer(yb[i].as_buffer(), np.uint16), m)
+            yield batch.select(["x", "y"]).filter(pa.array(keep))
+
+    schema = [("x", pa.int64()), ("y", pa.int64()), ("linked", pa.bool_()), ("x_delta", pa.binary()), ("y_delta", pa.binary())]
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            linked, deltas = [], ([], [])
             for i in range(batch.num_rows):
                 a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("x_tokens", "y_tokens"))
-                ok = bool(np.isin(a[: _prefix_length(len(a))], b[: _prefix_length(len(b))], assume_unique=True).any())
-                both = len(np.intersect1d(a, b, assume_unique=True)) if ok else 0
-                keep.append(ok and 100 * both >= PERCENT * (len(a) + len(b) - both))
-            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                common = b[at] == a
+                other = np.ones(len(b), dtype=bool)
+                other[at[common]] = False
+                only = a[~common], b[other]
+                bits, sizes = [_bits(t) for t in only], [len(t) for t in only]
+                for side, lacked, beyond in ((0, 1, 0), (1, 0, 1)):
+                    deltas[side].append(np.concatenate([bits[lacked], bits[beyond], np.array([sizes[lacked], sizes[beyond]], dtype=np.uint64)]).tobytes())
+                both = int(common.sum())
+                linked.append(100 * both >= PERCENT * (len(a) + len(b) - both))
+            yield _batch(schema, batch.column("x"), batch.column("y"), linked, *deltas)
 
     def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
         return table.select(F.col("sig").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    near = pairs.join(side(first, "x", "b", "n"), "x").join(side(first, "y", "b", "n"), "y").select("x", "y", "x_b", "y_b", "x_n", "y_n")
-    left = stored(near.mapInArrow(meets, "x long, y long"), 4_000)
+    near = pairs.join(side(first, "x", "b", "c", "n"), "x").join(side(first, "y", "b", "c", "n"), "y").select("x", "y", "x_b", "y_b", "x_c", "y_c", "x_n", "y_n")
+    left = stored(near.mapInArrow(meets, "x long, y long"))
     ends = left.select(F.col("x").alias("sig")).unionByName(left.select(F.col("y").alias("sig"))).distinct()
     wanted = ends.join(first.select("sig", "doc_id"), "sig").where("doc_id is not null")
     wanted = stored(wanted if sets is None else wanted.join(sets.select("sig"), "sig", "left_anti"))
@@ -287,58 +359,77 @@ def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, text: str, set
         new = token_sets(docs, wanted, text)
         sets = new if sets is None else sets.unionByName(new)
     whole = left.join(side(sets, "x", "tokens"), "x").join(side(sets, "y", "tokens"), "y").select("x", "y", "x_tokens", "y_tokens")
-    return stored(whole.mapInArrow(links, "x long, y long"), 250), sets
+    return stored(whole.mapInArrow(compared, "x long, y long, linked boolean, x_delta binary, y_delta binary")), sets
+
+
+def deltas(compared: DataFrame) -> DataFrame:
+    """(sig, ref, delta) for each set of a compared pair: of its partners the one that was compared most often, and how the set differs from it."""
+    both = compared.select(F.col("x").alias("sig"), F.col("y").alias("ref"), F.col("x_delta").alias("delta")).unionByName(compared.select(F.col("y").alias("sig"), F.col("x").alias("ref"), F.col("y_delta").alias("delta")))
+    popular = both.groupBy("ref").agg(F.count("*").alias("_met"))
+    return both.join(popular, "ref").groupBy("sig").agg(F.max_by(F.struct("ref", "delta"), F.struct("_met", "ref")).alias("_d")).select("sig", "_d.ref", "_d.delta")
 
 
 def candidates(rows: DataFrame, every: bool, seed: int) -> DataFrame:
-    """Candidate pairs (x, y) from ``rows(token, sig, n, pos, comp)``: sets of different components that share a token.
+    """Candidate pairs (x, y) from ``rows(token, sig, place, mask, comp, ref, delta)``: sets of different components that share a token.
 
-    ``every``: all such pairs whose sizes fit and that can link if this token is
-    their first in common: what stands from it on in the shorter rest has to
-    reach the overlap that their sizes ask for.  Otherwise each set meets one
-    other of its run: the run's pivot, which hashes least (with the token and
-    ``seed``), and the pivot's component meets the least of the others.
+    All filters that a row knows of apply before a pair leaves the run: sizes,
+    bits of the B and C prefixes, and what stands from the token on in the
+    shorter rest, which has to reach the overlap that the sizes ask for if this
+    token is the pair's first in common.  ``every``: all pairs that pass, those
+    compared with the same reference only if what they differ by allows it.
+    Otherwise each set meets one other of its run: the run's pivot, before which
+    the fewest rarer tokens stand, and the pivot's component meets the next of
+    the others.
 
     A run of more than RUN_ROWS rows is cut into k parts by the sets' names.
     Where a set meets one other, parts stand alone; for every pair, a task gets
     two of the parts and pairs one with the other.
     """
     schema = [("x", pa.int64()), ("y", pa.int64())]
-    columns = ("token", "sig", "n", "pos", "comp", "i", "j", "part")
+    columns = ("token", "sig", "place", "mask", "comp", "ref", "i", "j", "part", "delta")
+
+    def passing(n: np.ndarray, rest: np.ndarray, mask: np.ndarray, m: np.ndarray | int, other_rest: np.ndarray | int, other_mask: np.ndarray | int) -> np.ndarray:
+        need = -(-PERCENT * (n + m) // (100 + PERCENT))
+        both = mask & other_mask
+        return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (np.minimum(rest, other_rest) >= need) & (both & 0xFFFFFFFF != 0) & (both >> 32 != 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(b.column(i).to_numpy() for i in range(len(columns))) for b in batches if b.num_rows]
+        parts = [tuple(b.column(i).to_numpy() for i in range(len(columns) - 1)) + (_fixed(b.column(len(columns) - 1)),) for b in batches if b.num_rows]
         if not parts:
             return
-        token, sig, n, pos, comp, i, j, part = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((sig, n, j, i, token))
-        token, sig, n, pos, comp, i, j, part = (c[order] for c in (token, sig, n, pos, comp, i, j, part))
-        rest = n - pos  # tokens from the shared one on
+        token, sig, place, mask, comp, ref, i, j, part, delta = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((sig, place >> 32, j, i, token))
+        token, sig, place, mask, comp, ref, i, j, part, delta = (c[order] for c in (token, sig, place, mask, comp, ref, i, j, part, delta))
+        n, pos = place >> 32, place & 0xFFFFFFFF
         new = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         starts = np.flatnonzero(np.concatenate([[True], new]))
         xs, ys, held = [], [], 0
         for a, z in zip(starts, np.append(starts[1:], len(token)), strict=True):
-            s, m, k = sig[a:z], n[a:z], comp[a:z]
+            s, m, k, bits, rest = sig[a:z], n[a:z], comp[a:z], mask[a:z], n[a:z] - pos[a:z]
             if every:
-                # in order of size, a set's partners are those up to the largest size that fits
-                upto = np.searchsorted(m, 100 * m // PERCENT, side="right")
-                after = rest[a:z]
-                for r in range(len(s)):
-                    need = -(-PERCENT * (m[r + 1 : upto[r]] + m[r]) // (100 + PERCENT))
-                    other = (k[r + 1 : upto[r]] != k[r]) & (np.minimum(after[r + 1 : upto[r]], after[r]) >= need)
+                names, at, counts = np.unique(k, return_inverse=True, return_counts=True)
+                large = at == counts.argmax()  # the others meet it and one another
+                for r in np.flatnonzero(~large):
+                    lo, hi = np.searchsorted(m, -(-PERCENT * m[r] // 100)), np.searchsorted(m, 100 * m[r] // PERCENT, side="right")
+                    met = np.arange(lo, hi)
+                    met = met[(k[met] != k[r]) & (large[met] | (met > r))]
+                    met = met[passing(m[met], rest[met], bits[met], m[r], rest[r], bits[r])]
                     if i[a] != j[a]:
-                        other &= part[a + r + 1 : a + upto[r]] != part[a + r]
-                    partners = s[r + 1 : upto[r]][other]
-                    xs.append(np.full(len(partners), s[r]))
-                    ys.append(partners)
-                    held += len(partners)
+                        met = met[part[a + met] != part[a + r]]
+                    if ref[a + r] and len(met):
+                        same = ref[a + met] == ref[a + r]
+                        need = -(-PERCENT * (m[met] + m[r]) // (100 + PERCENT))
+                        met = met[~same | (most_common(delta[a + r], int(m[r]), delta[a + met]) >= need)]
+                    xs.append(np.full(len(met), s[r]))
+                    ys.append(s[met])
+                    held += len(met)
             else:
-                rank = mix(s.view(np.uint64) ^ mix(token[a : a + 1].view(np.uint64), seed), seed).argsort()
+                rank = np.lexsort((mix(s.view(np.uint64), seed), -rest))
                 p = rank[0]
                 others = rank[k[rank] != k[p]]
                 q = others[0] if len(others) else p
                 partner = np.where(k == k[p], q, p)
-                fit = (k != k[partner]) & (100 * np.minimum(m, m[partner]) >= PERCENT * np.maximum(m, m[partner]))
+                fit = (k != k[partner]) & passing(m, rest, bits, m[partner], rest[partner], bits[partner])
                 xs.append(s[fit])
                 ys.append(s[partner[fit]])
                 held += int(fit.sum())
@@ -364,41 +455,76 @@ def candidates(rows: DataFrame, every: bool, seed: int) -> DataFrame:
     return dealt.select(*columns).repartition(n_parts, "token", "i", "j").mapInArrow(run, "x long, y long").distinct()
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sampled_rounds: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+def _fixed(column: pa.Array) -> np.ndarray:
+    """A column of binaries of DELTA bytes as rows of 64-bit numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, DELTA // 8)
 
-    component_id is the smallest doc_id that links reach, its own included.
-    A text of fewer than five words is one shingle of all of them; null, empty
-    and blank texts have an empty set and link with nothing.  Repeated rows are
-    linked like any equal texts and stay.  A row without doc_id gets the component of
-    equal texts that have one, else null.
+
+def grouped(docs: DataFrame, sampled_rounds: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, sig, n_shingles) for every row of ``docs(doc_id, text, mark)``, and (sig, comp, component_id) for every set.
+
+    comp names the component, also of sets that no row with a doc_id has.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows, frequent = classes(docs, "doc_id", "text")
-    first = stored(rows.where("sig <> 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("b").alias("b")))
+    small_batches(docs.sparkSession)
+    rows, frequent = classes(docs)
+    first = stored(rows.where("sig <> 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("b").alias("b"), F.max("c").alias("c")))
     shared = shared_tokens(docs, frequent, "text")
     found = comps = tested = sets = None
+    none = F.lit(bytes(DELTA))
     for k in range(sampled_rounds + 1):
         if comps is None:
-            now = shared.withColumn("comp", F.col("sig"))
+            now = shared.withColumns({"comp": F.col("sig"), "ref": F.lit(0).cast("long"), "delta": none})
         else:
-            now = shared.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("component", "sig")).drop("component")
-            mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-            now = stored(now.join(mixed, "token", "left_semi"))
+            named = shared.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("component", "sig")).drop("component")
+            mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+            now = named.join(mixed, "token", "left_semi").join(deltas(found), "sig", "left")
+            now = stored(now.withColumns({"ref": F.coalesce("ref", F.lit(0).cast("long")), "delta": F.coalesce("delta", none)}))
         pairs = candidates(now, k == sampled_rounds, 31 + k)
         pairs = stored(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        linked, sets = verified(pairs, first, docs, "text", sets)
-        new = linked.select(F.col("x").alias("a"), F.col("y").alias("b"))
+        new, sets = verified(pairs, first, docs, "text", sets)
         found = new if found is None else found.unionByName(new)
-        comps = stored(components(found))
+        comps = stored(components(found.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))))
     named = first.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("component", "sig"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_sig = stored(named.join(least, "comp").select(F.col("sig").alias("_sig"), "component_id"))
-    met = rows.join(of_sig, F.col("sig") == F.col("_sig"), "left")
+    return rows.select("doc_id", "mark", "sig", "n_shingles"), stored(named.join(least, "comp").select("sig", "comp", "component_id"))
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sampled_rounds: int = 1) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+
+    component_id is the smallest doc_id that links reach, its own included.
+    A text of fewer than five words is one shingle of all of them; null, empty
+    and blank texts have an empty set and link with nothing.  Repeated rows are
+    linked like any equal texts and stay.  A row without doc_id gets the component of
+    equal texts that have one, else null.
+    """
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("mark"))
+    rows, of_sig = grouped(named, sampled_rounds)
+    met = rows.join(of_sig.select(F.col("sig").alias("_sig"), "component_id"), F.col("sig") == F.col("_sig"), "left")
     own = F.when(F.col("sig") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return met.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of linked documents, with the columns it came with.
+
+    It is the one with the smallest doc_id, rows without one last; of rows with
+    one doc_id the one whose columns hash smallest, so reruns keep the same.
+    Texts without words link with nothing, so all their rows stay.
+    """
+    blank = F.col(text).isNull() | ~F.col(text).rlike(r"[^\x20\x09-\x0D]")
+    worded = docs.where(~blank)
+    rows, of_sig = grouped(worded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), row_mark(worded).alias("mark")))
+    met = rows.join(of_sig.select("sig", "comp"), "sig")
+    name = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    best = met.groupBy("comp").agg(F.min(name).alias("best"))
+    counts = met.groupBy("doc_id", "mark").agg(F.count("*").alias("rows"))
+    chosen = best.select(F.col("best.doc_id").alias("id"), F.col("best.mark").alias("mark"))
+    again = counts.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "rows")
+    chosen = chosen.join(again, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("id", "mark", "rows")
+    return picked(worded, stored(chosen), id_col).unionByName(docs.where(blank))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents").select("doc_id", "text"))

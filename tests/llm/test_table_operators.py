@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 
@@ -92,12 +93,68 @@ def test_sketches_never_refute_a_link():
         if not len(y):
             continue
         both = len(np.intersect1d(x, y))
-        ok = ngram_join.may_link(np.frombuffer(ngram_join._sketch(x), np.uint16), len(x), np.frombuffer(ngram_join._sketch(y), np.uint16), len(y))
+        ok = all(ngram_join.may_link(np.frombuffer(ngram_join._sketch(x, k), np.uint16), len(x), np.frombuffer(ngram_join._sketch(y, k), np.uint16), len(y)) for k in (2, 3))
+        bits = ngram_join._mask(x) & ngram_join._mask(y)
+        ok &= bits & 0xFFFFFFFF != 0 and bits >> 32 != 0
         assert ok or 100 * both < 80 * (len(x) + len(y) - both)
         refuted += not ok
     assert refuted > 50
 
 
+def test_differences_to_a_third_set_bound_the_overlap():
+    rng = np.random.default_rng(6)
+    tight = 0
+    for _ in range(300):
+        base = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 200))).astype(np.uint64))
+        sets = [np.union1d(base[rng.random(len(base)) < rng.uniform(0.7, 1)], rng.integers(0, 1 << 62, int(rng.integers(1, 30))).astype(np.uint64)) for _ in range(2)]
+        rows = []
+        for s in sets:
+            lacked, beyond = np.setdiff1d(base, s), np.setdiff1d(s, base)
+            rows.append(np.concatenate([ngram_join._bits(lacked), ngram_join._bits(beyond), np.array([len(lacked), len(beyond)], np.uint64)]))
+        bound, both = int(ngram_join.most_common(rows[0], len(sets[0]), rows[1][None, :])[0]), len(np.intersect1d(*sets))
+        assert bound >= both
+        tight += bound <= both + 8
+    assert tight > 150
+
+
+def test_a_large_group_of_near_copies_costs_few_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    base = rng.choices(words, k=120)
+    texts = []
+    for _ in range(2000):
+        t = list(base)
+        for _ in range(rng.randint(0, 7)):
+            t[rng.randrange(120)] = rng.choice(words)
+        texts.append(" ".join(t))
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    made = []
+    plain = ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *rest: made.append(pairs.count()) or plain(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string, sig string")).collect()}
+    names: dict[tuple, int] = {}
+    sets = [{names.setdefault(tuple(w[k : k + 5]), len(names)) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    held = np.zeros((2000, len(names)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, list(s)] = 1
+    both = held @ held.T
+    size = held.sum(axis=1)
+    x, y = np.nonzero(100 * both >= 80 * (size[:, None] + size[None, :] - both))
+    assert len(x) > 50_000 and got == least_labels(range(2000), zip(x.tolist(), y.tolist(), strict=True))
+    assert sum(made) < 60_000
+
+
+def test_one_of_each_group_stays(spark):
+    a, b = "one two three four five six seven", "other words stand in this one here"
+    rows = [(5, a, "s"), (3, a, "s"), (3, b, "s"), (3, b, "s"), (None, a, "s"), (None, b.upper(), "t"), (None, "alone " + a, None), (None, "alone " + a, None), (7, None, "s"), (7, None, "s"), (8, " ", "s"), (9, "x", "s"), (9, "y", "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    got = ngram_join.one_of_each(d)
+    assert got.columns == d.columns
+    got = sorted(map(tuple, got.collect()), key=str)
+    assert got == sorted([(3, a, "s"), (3, b, "s"), (None, "alone " + a, None), (7, None, "s"), (7, None, "s"), (8, " ", "s"), (9, "x", "s"), (9, "y", "s")], key=str)
+    assert ngram_join.one_of_each(d.limit(0)).count() == 0
+
+
 def test_embeddings_against_every_pair(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(30, 20))
@@ -199,6 +256,55 @@ def test_mix_meets_its_targets(spark):
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
 
 
+def test_mixed_corpus_repeats_rows_as_often_as_the_mix_takes_them(spark):
+    rng = random.Random(3)
+    rows = [(i % 50, "a" if i % 3 else None, " ".join(["w"] * (i % 50 + 1)), "clash") for i in range(300)] + [(None, "a", "w w", "x")] * 5 + [(60, "b", None, "y"), (61, "b", "", "y")]
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string, key string")
+    taken = mixing.mix(mixing.with_size_and_weight(d)).collect()
+    assert "key" in taken[0].asDict() and len(taken) == len(rows)
+    got = mixing.stage(d).collect()
+    want: dict = {}
+    for r in taken:
+        want[r.doc_id, r.source] = want.get((r.doc_id, r.source), 0) + r.taken
+    made: dict = {}
+    for r in got:
+        made[r.doc_id, r.source] = made.get((r.doc_id, r.source), 0) + len((r.text or "").split())
+    assert {k: n for k, n in want.items() if n} == {k: n for k, n in made.items() if n}
+
+
+def test_mix_against_a_plain_one(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice("aab") if i % 9 else None, rng.randint(0, 40), rng.choice([0.05, 0.3, 1.0])) for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, size long, quality_weight double")
+    keyed = d.select("doc_id", ((F.pmod(F.xxhash64("doc_id", "size", F.lit(17)), F.lit(1 << 52)) + 0.5) / float(1 << 52)).alias("u")).collect()
+    u = {r.doc_id: r.u for r in keyed}
+    total = 1.5 * sum(r[2] for r in rows)
+    weight = {"a": 3.0, "b": 1.0, None: 2.0}
+    size = {s: sum(r[2] for r in rows if r[1] == s) for s in weight}
+    target, full = {}, set()
+    while True:
+        rest = total - sum(target[s] for s in full)
+        free = sum(weight[s] for s in weight if s not in full)
+        target.update({s: rest * weight[s] / free for s in weight if s not in full})
+        over = {s for s in weight if s not in full and target[s] > 2 * size[s]}
+        if not over:
+            break
+        full |= over
+        target.update({s: 2.0 * size[s] for s in over})
+    want = {}
+    for s in weight:
+        epochs, ahead = int(target[s] / size[s] + 1e-12), 0
+        rest = target[s] - epochs * size[s]
+        for r in sorted((r for r in rows if r[1] == s), key=lambda r: (-math.log(u[r[0]]) / r[3], r[0])):
+            want[r[0]] = r[2] * min(2, epochs + (rest > 0 and ahead + r[2] / 2 <= rest))
+            ahead += r[2]
+    for bucket_rows in (400, 3):
+        mixing.BUCKET_ROWS, before = bucket_rows, mixing.BUCKET_ROWS
+        assert {r.doc_id: r.taken for r in mixing.mix(d).collect()} == want
+        mixing.BUCKET_ROWS = before
+
+
 def test_better_documents_are_likelier(spark):
     rows = [(i, "s", 10, 1.0 if i % 2 else 0.1) for i in range(2000)] + [(10_000 + i, "t", 10, 1.0) for i in range(20_000)]
     d = spark.createDataFrame(rows, "doc_id long, source string, size long, quality_weight double")
