@@ -12,16 +12,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.shared import table
+from freshet.llm.shared import small_batches, stored, table
 
 WINDOW = 1024
-#: Documents that one shard packs on average: enough lengths to fill windows exactly, few enough for any task.
+#: Pieces that one shard packs on average: enough lengths to fill windows exactly, few enough for any task.
 SHARD_DOCS = 3_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
+#: Set in the ids of sequences that are one whole piece; the others begin with their shard.
+WHOLE = 1 << 62
 _ID = np.dtype("<u4")
 # Texts of these characters are cut alike by the two libraries' patterns; others go to the tokenizer itself.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
@@ -47,7 +50,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text here
+        special = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]
+        # texts that hold the string of an added token: the tokenizer gives it the token's id
+        self.added = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.I)
         self.fast = None
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -57,12 +62,11 @@ class Encoder:
 
             plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
             sign = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-            special = {t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]}
             ranks = {bytes(sign[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
             self.fast = tiktoken.Encoding("file", pat_str=_CUT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if self.fast is None or _OTHER.search(text):
+        if self.fast is None or _OTHER.search(text) or self.added.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
@@ -78,25 +82,31 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokenises every text, adds ``end_id`` and cuts the ids into whole windows and a rest: one row per piece.
+    """Tokenises every text, adds ``end_id`` and cuts the ids into whole windows and a rest: one row per piece, with its place (``mark``) among all.
 
     A null or empty text is the end id alone.
     """
+    small_batches(docs.sparkSession)
     end = np.array([end_id], dtype=_ID).tobytes()
     step = window * _ID.itemsize
+    names = [c.split()[0] for c in (PIECES + ", mark long").split(", ")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(tokenizer)
+        mark = TaskContext.get().partitionId() << 32
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = ids_of(text.as_py() or "") + end
                 n = len(ids) // _ID.itemsize
-                rows += [(doc, s // _ID.itemsize, len(c := ids[s : s + step]) // _ID.itemsize, zlib.crc32(c), n) for s in range(0, len(ids), step)]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                for s in range(0, len(ids), step):
+                    c = ids[s : s + step]
+                    rows.append((doc, s // _ID.itemsize, len(c) // _ID.itemsize, zlib.crc32(c), n, mark))
+                    mark += 1
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(encode, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(encode, PIECES + ", mark long")
 
 
 def fill(counts: np.ndarray, window: int) -> list[tuple[dict[int, int], int]]:
@@ -144,26 +154,24 @@ def fill(counts: np.ndarray, window: int) -> list[tuple[dict[int, int], int]]:
     return out
 
 
-def pack(cut: DataFrame, n_shards: int, window: int = WINDOW) -> DataFrame:
+def pack(cut: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_DOCS) -> DataFrame:
     """Gives every piece a sequence and an offset in it; no sequence holds more than ``window`` ids.
 
-    Pieces as long as the window are sequences of their own.  The rests of a
-    shard (documents by hash) are filled into windows by ``fill``.  The last,
-    poorly filled windows of a shard are at most a few: a shard has thousands of
-    documents.  Equal pieces are told apart by their place in the sorted shard.
+    Pieces as long as the window are sequences of their own and go nowhere.  The
+    rests are dealt to shards by their marks, whatever document they come from,
+    and a shard is filled into windows by ``fill``.  The last, poorly filled
+    windows of a shard are at most a few: a shard has thousands of pieces.
+    ``cut`` is read twice, so it has to be a stored table.
     """
 
     def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32", "doc_tokens"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values("mark", kind="stable").reset_index(drop=True)
         lengths = pdf["length"].to_numpy()
         sequence, offset = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf), dtype=np.int64)
-        whole = np.flatnonzero(lengths >= window)
-        sequence[whole] = np.arange(len(whole))
-        rest = np.flatnonzero(lengths < window)
-        by_length = rest[np.argsort(lengths[rest], kind="stable")]
-        counts = np.bincount(lengths[rest], minlength=window)
+        by_length = np.argsort(lengths, kind="stable")
+        counts = np.bincount(lengths, minlength=window)
         taken = np.concatenate([[0], np.cumsum(counts)])[:-1]
-        n = len(whole)
+        n = 0
         for chosen, times in fill(counts, window):
             at = 0
             for length, k in chosen.items():
@@ -176,12 +184,17 @@ def pack(cut: DataFrame, n_shards: int, window: int = WINDOW) -> DataFrame:
         pdf["sequence_id"], pdf["offset"] = (int(key[0]) << 40) + sequence, offset
         return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_shards)))
-    return cut.withColumn("shard", shard).groupBy("shard").applyInPandas(assign, PACKED)
+    columns = [c.split()[0] for c in PIECES.split(", ")]
+    whole = cut.where(F.col("length") >= window).select(*columns, (F.col("mark") + F.lit(WHOLE)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = cut.where(F.col("length") < window)
+    shards = max(1, math.ceil(rest.count() / shard_pieces))
+    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("mark"), F.lit(shards)))
+    return whole.unionByName(dealt.groupBy("shard").applyInPandas(assign, PACKED))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    return pack(pieces(docs, tokenizer or default_tokenizer()), math.ceil(docs.count() / SHARD_DOCS))
+    """The pieces of all ``docs(doc_id, text)`` with sequence and offset; repeated rows and rows without id are documents like any other."""
+    return pack(stored(pieces(docs, tokenizer or default_tokenizer())))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,10 +155,12 @@ def test_labels_of_held_out_rows_are_not_read(spark):
 
 
 def test_encoder_gives_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
     e = packing.encoder(packing.default_tokenizer())
-    texts = [t or "" for t in TEXTS] + [" <|endoftext|> it's IT'S 'll", "  \n\n a  ", "​ zero  y", "tab\tname 12345 --- ..."]
+    texts = [t or "" for t in TEXTS] + ["hello <|endoftext|> world", "<|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", " <|endoftext|> it's IT'S 'll", "  \n\n a  ", "​ zero  y", "tab\tname 12345 --- ..."]
     assert e.fast is not None
-    for t, x in zip(texts, e.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+    for t, x in zip(texts, Tokenizer.from_file(packing.default_tokenizer()).encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(e(t), "<u4").tolist() == x.ids
 
 
@@ -184,6 +186,20 @@ def test_pieces_cover_every_id_once_and_sequences_are_gapless(spark):
         assert [r.offset for r in own] == np.cumsum([0, *[r.length for r in own][:-1]]).tolist() and sum(r.length for r in own) <= 1024
 
 
+def test_packing_of_nothing_of_long_texts_and_of_one_id(spark):
+    assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    d = spark.createDataFrame([(None, "some words here") for _ in range(300)] + [(1, "many different words 12 " * 20_000)], "doc_id long, text string")
+    rows = packing.pack_documents(d).collect()
+    by_seq = {}
+    for r in rows:
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    assert sum(r.doc_id is None for r in rows) == 300 and sum(r.length for r in rows if r.doc_id == 1) == next(r.doc_tokens for r in rows if r.doc_id == 1) > 80_000
+    assert len(by_seq) <= sum(r.length for r in rows) // 1024 + 2
+    for own in by_seq.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == np.cumsum([0, *[r.length for r in own][:-1]]).tolist()
+
+
 def test_fill_reaches_the_best_sum():
     rng = np.random.default_rng(4)
     for _ in range(40):
