@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm.quality import labelled
-from freshet.llm.shared import stored, table
+from freshet.llm.shared import small_batches, stored, table, unused
 
 if TYPE_CHECKING:  # Python workers don't load it
     from pyspark.ml.classification import GBTClassificationModel
+    from pyspark.ml.regression import IsotonicRegressionModel
 
 #: Labelled documents that the lexicon and the trees learn from at most; a third of them calibrates.
 TRAIN_DOCS = 12_000
@@ -133,27 +134,25 @@ class Featurizer:
 
 @dataclass(frozen=True)
 class Model:
-    """The learned lexicon, the trees, and the calibration as a step-wise line through (raw score, probability)."""
+    """The learned lexicon, the trees and their calibration; without both labels only the share of label 1."""
 
     lexicon: dict[str, float]
     trees: GBTClassificationModel | None
-    bounds: np.ndarray
-    values: np.ndarray
+    steps: IsotonicRegressionModel | None
+    share: float
 
-    def calibrated(self, raw: np.ndarray) -> np.ndarray:
-        return np.clip(np.interp(raw, self.bounds, self.values), 0.0, 1.0)
 
-
-def with_features(docs: DataFrame, lexicon: dict[str, float], text: str = "text") -> DataFrame:
-    made: list[Featurizer] = []
+def with_features(docs: DataFrame, lexicon: dict[str, float], text: str = "text", out: str = "features") -> DataFrame:
+    """Adds the dense features of every text as a vector."""
+    from pyspark.ml.functions import array_to_vector
 
     @F.pandas_udf("array<double>")
     def dense(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        f = made[0] if made else Featurizer(lexicon)
+        f = Featurizer(lexicon)
         for texts in batches:
             yield pd.Series([f(t or "") for t in texts])
 
-    return docs.withColumn("_dense", dense(F.col(text)))
+    return docs.withColumn(out, array_to_vector(dense(F.col(text))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: str = "pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2") -> Model:
@@ -164,52 +163,47 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: str = "
     document scores the share of label 1.
     """
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import IsotonicRegression
 
+    small_batches(docs.sparkSession)
     rows = stored(labelled(docs, labels, label, TRAIN_DOCS, where).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3))).repartition(12))
     learn = rows.where("fold < 2")
     lexicon = learn_lexicon(learn)
-    n, share = rows.agg(F.count("*"), F.avg(F.col("label"))).first()
-    both = learn.select("label").distinct().count() == 2
-    if not both:
-        return Model({}, None, np.array([0.0, 1.0]), np.full(2, float(share or 0.0)))
-    dense = stored(with_features(rows, lexicon).select("label", "fold", array_to_vector("_dense").alias("features")))
-    trees = GBTClassifier(maxIter=24, maxDepth=4, stepSize=0.2, minInstancesPerNode=5, seed=11, maxBins=48).fit(dense.where("fold < 2").repartition(4).cache())
-    scored = stored(raw_score(dense.where("fold = 2"), trees).select("label", "_raw"))
-    steps = IsotonicRegression(labelCol="label", featuresCol="_raw").fit(scored)
-    bounds, values = steps.boundaries.toArray(), steps.predictions.toArray()
-    # rows per step pull a step's value towards the base rate a little: no step of a few rows says 0 or 1
-    return Model(lexicon, trees, bounds, np.clip(values, 1e-4, 1 - 1e-4))
-
-
-def raw_score(docs: DataFrame, trees: GBTClassificationModel) -> DataFrame:
+    share = rows.agg(F.avg("label")).first()[0]
+    if learn.select("label").distinct().count() < 2:
+        return Model({}, None, None, float(share or 0.0))
+    dense = stored(with_features(rows, lexicon).select("label", "fold", "features"))
+    trees = GBTClassifier(maxIter=24, maxDepth=4, stepSize=0.2, minInstancesPerNode=5, seed=11, maxBins=48).fit(stored(dense.where("fold < 2").repartition(4)))
+    scored = stored(raw_score(dense.where("fold = 2"), trees, "features", "raw").select("label", "raw"))
+    return Model(lexicon, trees, IsotonicRegression(labelCol="label", featuresCol="raw").fit(scored), float(share))
+
+
+def raw_score(docs: DataFrame, trees: GBTClassificationModel, features: str, out: str) -> DataFrame:
+    """Adds the trees' own probability of label 1."""
     from pyspark.ml.functions import vector_to_array
 
-    out = trees.setFeaturesCol("features").setPredictionCol("_prediction").setRawPredictionCol("_margin").setProbabilityCol("_probability").transform(docs)
-    return out.withColumn("_raw", F.element_at(vector_to_array("_probability"), 2)).drop("_prediction", "_margin", "_probability")
+    prediction, margin, probability = unused(docs, "prediction", "margin", "probability")
+    made = trees.setFeaturesCol(features).setPredictionCol(prediction).setRawPredictionCol(margin).setProbabilityCol(probability).transform(docs)
+    return made.withColumn(out, F.element_at(vector_to_array(probability), 2)).drop(prediction, margin, probability)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Adds score (calibrated, 0 to 1; ties of the calibration are kept in the trees' order) and predicted to every row.
 
     A null text scores as an empty one.  Repeated rows stay; input columns named
-    like an added one are replaced.
+    like an added one are replaced.  Only the features run in Python; trees and
+    calibration are the fitted models' own expressions.
     """
+    small_batches(docs.sparkSession)
     if model.trees is None:
-        return docs.withColumn("score", F.lit(float(model.values[0]))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    from pyspark.ml.functions import array_to_vector
-
-    bounds, values = model.bounds, model.values
-
-    @F.pandas_udf("double")
-    def calibrated(raw: pd.Series) -> pd.Series:
-        # a thousandth of the raw score orders the rows of one step
-        return pd.Series(np.clip(0.999 * np.interp(raw, bounds, values) + 0.001 * raw, 0.0, 1.0))
-
-    dense = with_features(docs, model.lexicon, text).withColumn("features", array_to_vector("_dense"))
-    out = raw_score(dense, model.trees).withColumn("score", calibrated("_raw"))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_dense", "features", "_raw")
+        return docs.withColumn("score", F.lit(model.share)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    features, raw, step = unused(docs, "features", "raw", "step")
+    out = raw_score(with_features(docs, model.lexicon, text, features), model.trees, features, raw)
+    out = model.steps.setFeaturesCol(raw).setPredictionCol(step).transform(out)
+    # no step of a few rows says 0 or 1, and a thousandth of the raw score orders the rows of one step
+    one = F.least(F.lit(1 - 1e-4), F.greatest(F.lit(1e-4), F.col(step)))
+    out = out.withColumn("score", F.least(F.lit(1.0), 0.999 * one + 0.001 * F.col(raw)))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(features, raw, step)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
