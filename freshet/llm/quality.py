@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.llm.shared import stored, table
+from freshet.llm.shared import small_batches, stored, table, unused
 from freshet.llm.shingles import mix, portions, word_hashes
 
 #: Labelled documents that the regression learns from at most, those with the smallest hash of doc_id; a quarter of them calibrates.
@@ -132,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", where: str =
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.linalg import VectorUDT
 
+    small_batches(docs.sparkSession)
     chosen = labelled(docs, labels, label, TRAIN_DOCS, where).select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)).alias("fold"))
     made = chosen.repartition(12).mapInArrow(vectors, "features struct<type:tinyint,size:int,indices:array<int>,values:array<double>>, label double, fold long")
     rows = stored(made, as_schema=T.StructType([T.StructField("features", VectorUDT()), *made.schema.fields[1:]]))  # training passes run no Python
@@ -153,6 +154,7 @@ def judge(docs: DataFrame, model: Model, text: str = "text", keep_from: float =
     A null text counts as empty and fails the base rules for want of words.
     Repeated rows stay; input columns named like an added one are replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(BASE + ", quality double")
@@ -164,7 +166,8 @@ def judge(docs: DataFrame, model: Model, text: str = "text", keep_from: float =
         return pa.StructArray.from_arrays([*columns, pa.array(quality)], names=[*[c.split()[0] for c in BASE.split(", ")], "quality"])
 
     added = [c.split()[0] for c in BASE.split(", ")]
-    out = docs.withColumn("_q", score(F.col(text))).withColumns({c: F.col(f"_q.{c}") for c in [*added, "quality"]}).drop("_q")
+    (found,) = unused(docs, "found")
+    out = docs.withColumn(found, score(F.col(text))).withColumns({c: F.col(found)[c] for c in [*added, "quality"]}).drop(found)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= keep_from))
 
