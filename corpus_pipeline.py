@@ -9,7 +9,6 @@ cluster shares and rereads it for the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from freshet.llm import mixing, ngram_join, packing, quality, toxicity
 from freshet.llm.shared import stored, table
@@ -35,15 +34,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays, of rows that repeat it one.
-
-    Rows without doc_id link with nothing that has one; they stay.
-    """
-    groups = ngram_join.link(docs)
-    first = groups.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null")).select(*docs.columns)
+    """Of each group of linked documents one stays: that with the smallest doc_id, rows without one last."""
+    return ngram_join.one_of_each(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
