@@ -161,7 +161,7 @@ def test_embeddings_against_every_pair(spark):
     rows = [((base[rng.integers(30)] + rng.normal(size=20) * rng.choice([0, 0.1, 0.3, 0.5])) * rng.uniform(0.1, 9)).tolist() for _ in range(300)]
     rows += [rows[0]] * 5 + [None, [0.0] * 20, [float("nan")] + [1.0] * 19, [1.0, 2.0], [2.0, 4.0], [None] + [1.0] * 19, [], [float("inf")] * 20]
     df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>").withColumn("kept", F.lit("clash"))
-    got = {r.vec_id: r for r in embedding_dedup.link(df, tile=64).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.link(df, tile=16, block_bytes=5_000).collect()}
     unit = [np.array(r) / np.linalg.norm(r) if r and None not in r and np.isfinite(r).all() and np.linalg.norm(r) > 0 else None for r in rows]
     links = [(i, j) for i in range(len(rows)) for j in range(i) if unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9]
     n = dict.fromkeys(range(len(rows)), 0)
@@ -174,6 +174,13 @@ def test_embeddings_against_every_pair(spark):
     assert embedding_dedup.link(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_size_and_under_one_id(spark):
+    d = spark.createDataFrame([(1, [1e200, 0.0]), (2, [2e200, 0.0]), (3, [1e-200, -0.0]), (4, [0.0, 5e-324]), (None, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in embedding_dedup.link(d).where("vec_id is not null").collect()) == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
+    d = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in embedding_dedup.link(d).collect()) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
 def pages():
     big = "<p>" + "é" * 80 + "</p>"
     return [(3, "http://a/1", big), (1, "http://a/%20\r\nx", big), (7, None, big), (2, "u", "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (8, "u", "x" * 300_000), (1, "again", big)]
