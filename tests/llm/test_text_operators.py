@@ -67,6 +67,47 @@ def test_license_spans_survive_small_edits(spark):
     assert (span.template, span.first_word) == ("mit-grant", 3) and span.n_words > span.n_matched
 
 
+def test_licenses_with_edits_insertions_and_repeats(spark):
+    rng = np.random.default_rng(8)
+    for name, t in license_scan.TEMPLATES.items():
+        words = t.split()
+        texts = [t + " " + t, "x " * 30 + " ".join(words[: len(words) // 2]) + " page header that says nothing at all, over more than twelve words in one line " + " ".join(words[len(words) // 2 :])]
+        for _ in range(4):
+            w = list(words)
+            for i in rng.choice(len(w), max(1, len(w) // 20), replace=False):
+                w[i] = "changed"
+            texts.append("Before. " + " ".join(w) + " After.")
+        a = license_scan.LicenseAutomaton(license_scan.TEMPLATES, license_scan.BASE_PHRASES)
+        for k, text in enumerate(texts):
+            cover = a.covers(a.scan(text)[2]).get(name, 0.0)
+            assert cover <= 1 and (cover >= license_scan.MIN_COVER or len(words) < 20), (name, k, cover)
+
+
+def test_chains_against_every_chain():
+    import itertools
+    import random
+
+    def best(matches):
+        most = 0
+        for k in range(1, len(matches) + 1):
+            for c in itertools.permutations(matches, k):
+                total, ok = c[0][2], True
+                for (px, pt, pn), (x, t, n) in itertools.pairwise(c):
+                    cut = max(px + pn - x, pt + pn - t, 0)
+                    ok &= px < x + cut and pt < t + cut and cut < n and x - px - pn <= 12 and t - pt - pn <= 12 and (px, pt, pn) < (x, t, n) and x + n > px + pn and t + n > pt + pn
+                    total += n - cut
+                most = max(most, total if ok else 0)
+        return most
+
+    rng = random.Random(5)
+    for _ in range(150):
+        matches = list({(rng.randrange(40), rng.randrange(40), rng.randint(4, 9)) for _ in range(rng.randint(1, 5))})
+        found = license_scan.chains(matches)
+        assert max(m for _, _, m, _, _ in found) == best(matches)
+        for (a, n, *_), (b, m, *_) in itertools.combinations(found, 2):
+            assert a + n <= b or b + m <= a
+
+
 def test_automaton_statistics_against_every_substring():
     import random
 
