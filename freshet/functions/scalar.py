@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,6 +105,38 @@ def inlet_flow(depth: Column, length: Column, area: Column) -> Column:
     return F.least(1.66 * length * F.pow(h, F.lit(1.5)), 0.67 * area * F.sqrt(2 * 9.81 * h))
 
 
+def orifice_flow(head: Column, area: Column | float, coefficient: float = 0.67) -> Column:
+    """m3/s through an opening under a head; none without one."""
+    return coefficient * area * F.sqrt(2 * 9.81 * F.greatest(head, F.lit(0.0)))
+
+
+def pipe_flow(diameter: Column, slope: Column, n: float = 0.015) -> Column:
+    """m3/s of a round pipe that runs full."""
+    return manning_flow(math.pi / 4 * diameter * diameter, diameter / 4, slope, n)
+
+
+def box_flow(width: Column, height: Column, slope: Column, n: float = 0.015) -> Column:
+    """m3/s of a box drain that runs full, all four sides wetted."""
+    return manning_flow(width * height, width * height / (2 * (width + height)), slope, n)
+
+
+def beta_moments(a: Column, b: Column) -> tuple[Column, Column]:
+    """Mean and standard deviation of a Beta prior."""
+    return a / (a + b), F.sqrt(a * b / (F.pow(a + b, F.lit(2)) * (a + b + 1)))
+
+
+def tile_index(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
+    """Column and row of the web map tile that holds a point."""
+    n = float(1 << zoom)
+    rad = F.radians(lat)
+    return F.floor((lon + 180) / 360 * n).cast("long"), F.floor((1 - F.log(F.tan(rad) + 1 / F.cos(rad)) / math.pi) / 2 * n).cast("long")
+
+
+def wind_vector(speed: Column, from_degrees: Column) -> tuple[Column, Column]:
+    """East and north parts of a wind that comes from a bearing."""
+    return -speed * F.sin(F.radians(from_degrees)), -speed * F.cos(F.radians(from_degrees))
+
+
 def pedestrian_hazard(depth_cm: Column, speed: Column) -> Column:
     """Depth times speed of half a square metre per second or more; false where either is missing or there is no water."""
     return F.coalesce((depth_cm > 0) & (depth_cm / 100 * F.abs(speed) >= 0.5), F.lit(False))

@@ -77,6 +77,23 @@ def bilinear(points: DataFrame, grid: DataFrame, x: str, y: str, row: str, col:
     return met.groupBy(key).agg((F.sum(F.col(value) * w) / F.nullif(F.sum(w), F.lit(0.0))).alias("sampled"))
 
 
+def near_segments(points: DataFrame, segments: DataFrame, key: str, segment: str, x: str, y: str, radius: float, size: float) -> DataFrame:
+    """(segment, key, distance): points within ``radius`` of a segment from (x1, y1) to (x2, y2), by the distance to its nearest point.
+
+    A segment goes to the cells of ``size`` that its box, widened by the radius,
+    touches; points to their own.
+    """
+    cell = lambda c: F.floor(c / size)
+    low, high = lambda a, b: cell(F.least(a, b) - radius), lambda a, b: cell(F.greatest(a, b) + radius)
+    wide = segments.withColumn("_sx", F.explode(F.sequence(low("x1", "x2"), high("x1", "x2")))).withColumn("_sy", F.explode(F.sequence(low("y1", "y2"), high("y1", "y2"))))
+    met = points.withColumns({"_px": cell(F.col(x)), "_py": cell(F.col(y))}).join(wide, (F.col("_px") == F.col("_sx")) & (F.col("_py") == F.col("_sy")))
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    along = ((F.col(x) - F.col("x1")) * dx + (F.col(y) - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
+    d = F.sqrt(F.pow(F.col(x) - F.col("x1") - t * dx, F.lit(2)) + F.pow(F.col(y) - F.col("y1") - t * dy, F.lit(2)))
+    return met.withColumn("distance", d).where(F.col("distance") <= radius).select(segment, key, "distance")
+
+
 def leaders(df: DataFrame, order: Sequence[str], x: str, y: str, t: str, radius: float, within: int, area: str) -> DataFrame:
     """Leader clustering of reports: each joins the first kept leader within ``radius`` and ``within``, else leads itself.
 

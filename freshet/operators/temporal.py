@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.sources.storage import materialised
+
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, value: str, out: str, tie: Sequence[str] = (), within: int | None = None, oldest: bool = False) -> DataFrame:
     """Adds ``out`` and ``out_time``: the latest right value at or before each left row.
@@ -26,7 +28,7 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, valu
     last = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     both = both.withColumn("_m", last)
     if oldest:
-        first = F.first("_r", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        first = F.first("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         both = both.withColumn("_m", F.coalesce("_m", first))
     got = both.where("_side = 1")
     if within is not None:
@@ -48,6 +50,46 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], time
     return got.select("_l.*", F.col("_p.v").alias(out), F.col("_p.t").alias(f"{out}_time"))
 
 
+def held(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, frame: str, within: int) -> DataFrame:
+    """Adds ``frame``: the newest one at or before each left row; a row whose newest is older than ``within``, or that has none, is an error."""
+    got = asof(left, right, keys, time, frame, "_frame", within=within)
+    gap = F.raise_error(F.concat(F.lit("no frame is held at "), F.col(time).cast("string")))
+    return got.select(*left.columns, F.when(F.col("_frame").isNull(), gap).otherwise(F.col("_frame")).alias(frame))
+
+
+def valid_times(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, value: str, out: str, tolerance: int = 1_000_000) -> DataFrame:
+    """The left rows that have a right value within ``tolerance``, with the nearest (the earlier on ties); none at all is an error."""
+    got = nearest_in_time(left, right, keys, time, value, out, tolerance).where(F.col(f"{out}_time").isNotNull()).drop(f"{out}_time")
+    if got.isEmpty():
+        raise ValueError("the two series share no valid time")
+    return got
+
+
+def previous_record(df: DataFrame, key: str, time: str, name: str, usable: str, within: int) -> DataFrame:
+    """Adds ``previous``: the name of the key's latest usable record before each row, no more than ``within`` earlier, the lower name on ties.
+
+    Records of one instant are one row first, so a window runs over a key's instants.
+    """
+    at = df.groupBy(key, time).agg(F.min(F.when(F.col(usable), F.col(name))).alias("_name"))
+    before = Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("_name").isNotNull(), F.struct(F.col(time).alias("t"), F.col("_name").alias("n"))), ignorenulls=True).over(before)
+    at = at.withColumn("_p", last).select(F.col(key).alias("_key"), F.col(time).alias("_time"), F.when(F.col(time) - F.col("_p.t") <= within, F.col("_p.n")).alias("previous"))
+    return df.join(at, (F.col(key) == F.col("_key")) & (F.col(time) == F.col("_time"))).drop("_key", "_time")
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "n") -> DataFrame:
+    """Adds each row's number in its key, from 1, in the given order (which has to tell rows apart).
+
+    Rows are range-partitioned, numbered in their part, and the counts of the
+    parts ahead are added, so that a key of a third of all rows takes many tasks.
+    """
+    parts = materialised(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy(*keys, "_part").agg(F.count("*").alias("_rows")).withColumn("_ahead", F.coalesce(F.sum("_rows").over(ahead), F.lit(0))).drop("_rows")
+    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return parts.withColumn("_n", within).join(counts, [*keys, "_part"]).withColumn(out, F.col("_n") + F.col("_ahead")).drop("_n", "_ahead", "_part")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, slot_size: int, left_bounds: tuple[str, str], right_bounds: tuple[str, str], keys: Sequence[str] = ()) -> DataFrame:
     """Pairs of intervals [start, end) that overlap, with the overlap: an equi-join on the slots they touch."""
     def slots(df: DataFrame, bounds: tuple[str, str], name: str) -> DataFrame:
@@ -139,7 +181,7 @@ def interpolate(left: DataFrame, right: DataFrame, keys: Sequence[str], time: st
     r = right.select(*keys, F.col(time).alias("_t"), F.struct(F.col(time).alias("t"), F.col(value).cast("double").alias("v")).alias("_r"))
     both = left.select(*keys, F.col(time).alias("_t"), F.struct(*left.columns).alias("_l")).unionByName(r, allowMissingColumns=True)
     order = Window.partitionBy(*keys).orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy(*keys).orderBy("_t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     both = both.withColumn("_b", F.max("_r").over(order)).withColumn("_a", F.min("_r").over(ahead)).where("_l is not null")
     span = F.col("_a.t") - F.col("_b.t")
     mid = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * (F.col("_t") - F.col("_b.t")) / F.when(span > 0, span)

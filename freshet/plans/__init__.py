@@ -1,6 +1,6 @@
 """The registered queries by name."""
 
-from freshet.plans import analytics, feeds, forecasting, operations
+from freshet.plans import analytics, feeds, forecasting, operations, scenarios
 from freshet.plans.catalog import REGISTRY
 
-__all__ = ["REGISTRY", "analytics", "feeds", "forecasting", "operations"]
+__all__ = ["REGISTRY", "analytics", "feeds", "forecasting", "operations", "scenarios"]

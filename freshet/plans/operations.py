@@ -10,8 +10,8 @@ from freshet.operators import calibrate, graph, recurrence, spatial, temporal
 from freshet.plans.catalog import EVENTS, events, query, r, table
 
 
-@query("""WITH s AS (SELECT k AS i, 1 + 9 * abs((k + 0.5) / 12 - 0.4) / CASE WHEN (k + 0.5) / 12 < 0.4 THEN 0.4 ELSE 0.6 END AS d FROM range(12) t(k)), w AS (SELECT i, pow(d::DOUBLE, -0.7::DOUBLE) AS w FROM s)
-SELECT i AS block, round(60 * w / (SELECT avg(w) FROM w), 8) AS mm_h FROM w""")
+@query("""WITH x AS (SELECT k AS i, CASE WHEN (k + 0.5) * 5 < 24 THEN (24 - (k + 0.5) * 5)::DOUBLE / 0.4 ELSE ((k + 0.5) * 5 - 24)::DOUBLE / 0.6 END AS x FROM range(12) t(k)), w AS (SELECT i, (0.2::DOUBLE * x + 10) / pow(x + 10, 1.8::DOUBLE) AS w FROM x)
+SELECT i AS block, round(720 * w / (SELECT sum(w) FROM w), 8) AS mm_h FROM w""")
 def design_storm(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = recurrence.hyetograph(12, 5, 60.0)
     return spark.createDataFrame(list(enumerate(blocks)), "block long, mm_h double").withColumn("mm_h", r("mm_h"))
@@ -73,13 +73,14 @@ def dimension_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(speed, F.col("o_orderpriority") == F.col("p"), "left").select("o_orderkey", F.coalesce("speed", F.lit(15)).alias("speed"))
 
 
-@query(f"""WITH {EVENTS}, f AS (SELECT event_type, CAST(round(us / 1000000) AS BIGINT) AS s, avg(value) AS fc FROM e WHERE event_id % 2 = 0 GROUP BY 1, 2), o AS (SELECT event_type, CAST(round(us / 1000000) AS BIGINT) AS s, avg(value) AS ob FROM e WHERE event_id % 2 = 1 GROUP BY 1, 2)
-SELECT event_type, s, round(fc - ob, 8) AS error FROM f JOIN o USING (event_type, s)""")
+@query(f"""WITH {EVENTS}, f AS (SELECT event_type, us, avg(value) AS fc FROM e WHERE event_id % 2 = 0 GROUP BY 1, 2), o AS (SELECT event_type, us AS ot, avg(value) AS ob FROM e WHERE event_id % 2 = 1 GROUP BY 1, 2)
+SELECT event_type, us, round(fc - ob, 8) AS error FROM f JOIN o USING (event_type) WHERE abs(us - ot) <= 600000000 QUALIFY row_number() OVER (PARTITION BY event_type, us ORDER BY abs(us - ot), ot) = 1""")
 def valid_time_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).withColumn("s", F.round(F.col("us") / 1_000_000).cast("long"))
-    f = e.where("event_id % 2 = 0").groupBy("event_type", "s").agg(F.avg("value").alias("fc"))
-    o = e.where("event_id % 2 = 1").groupBy("event_type", "s").agg(F.avg("value").alias("ob"))
-    return f.join(o, ["event_type", "s"]).select("event_type", "s", r(F.col("fc") - F.col("ob")).alias("error"))
+    """Forecast against the nearest truth; the feed is sparse, so ten minutes stand for the second that frames have."""
+    e = events(spark, sf_dir)
+    f = e.where("event_id % 2 = 0").groupBy("event_type", "us").agg(F.avg("value").alias("fc"))
+    o = e.where("event_id % 2 = 1").groupBy("event_type", "us").agg(F.avg("value").alias("ob"))
+    return temporal.valid_times(f, o, ["event_type"], "us", "ob", "ob", 600_000_000).select("event_type", "us", r(F.col("fc") - F.col("ob")).alias("error"))
 
 
 @query("""WITH a AS (SELECT c_nationkey AS hotspot, c_custkey % 100 AS cell, c_acctbal AS weight FROM customer), b AS (SELECT DISTINCT s_suppkey AS segment, s_suppkey % 100 AS cell FROM supplier) SELECT segment, hotspot, count(*) AS cells, round(max(weight), 4) AS weight FROM a JOIN b USING (cell) GROUP BY 1, 2""")
@@ -89,13 +90,14 @@ def shared_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "cell").groupBy("segment", "hotspot").agg(F.count("*").alias("cells"), r(F.max("weight"), 4).alias("weight"))
 
 
-@query(f"""WITH {EVENTS}, a AS (SELECT user_id, max(value) AS now FROM e WHERE hour % 2 = 0 AND value > 95 GROUP BY 1), b AS (SELECT user_id, max(value) AS before FROM e WHERE hour % 2 = 1 AND value > 95 GROUP BY 1)
-SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN before IS NULL THEN 'new' WHEN now IS NULL THEN 'gone' ELSE 'kept' END AS change FROM a FULL JOIN b ON a.user_id = b.user_id""")
+@query(f"""WITH {EVENTS}, a AS (SELECT DISTINCT user_id, hour AS cycle FROM e WHERE value > 60)
+SELECT coalesce(n.user_id, p.user_id) AS user_id, coalesce(n.cycle, p.cycle + 1) AS cycle, CASE WHEN p.user_id IS NULL THEN 'new' WHEN n.user_id IS NULL THEN 'gone' ELSE 'kept' END AS change FROM a n FULL JOIN a p ON n.user_id = p.user_id AND n.cycle = p.cycle + 1""")
 def previous_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).where("value > 95")
-    a = e.where("hour % 2 = 0").groupBy("user_id").agg(F.max("value").alias("now"))
-    b = e.where("hour % 2 = 1").groupBy("user_id").agg(F.max("value").alias("before"))
-    return a.join(b, "user_id", "full_outer").select("user_id", F.when(F.col("before").isNull(), "new").when(F.col("now").isNull(), "gone").otherwise("kept").alias("change"))
+    """Alerts (more than 60) of each hourly cycle against those of the cycle before."""
+    now = events(spark, sf_dir).where("value > 60").select("user_id", F.col("hour").alias("cycle")).distinct()
+    before = now.select("user_id", (F.col("cycle") + 1).alias("cycle"), F.lit(True).alias("was"))
+    met = now.withColumn("is", F.lit(True)).join(before, ["user_id", "cycle"], "full_outer")
+    return met.select("user_id", "cycle", F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "gone").otherwise("kept").alias("change"))
 
 
 @query("""SELECT p_brand, CAST(year(l_shipdate) AS BIGINT) AS step, round(max(l_quantity), 4) AS depth, arg_max(p_partkey, struct_pack(a := l_quantity, b := -p_partkey)) AS worst FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IS NOT NULL GROUP BY 1, 2""")
@@ -177,16 +179,12 @@ def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).withColumn("n", F.count("*").over(w)).groupBy("user_id").agg(F.count("*").alias("requests"), F.count_if(F.col("n") > 2).alias("refused"))
 
 
-@query(f"""WITH {EVENTS}, k AS (SELECT DISTINCT event_type, hour FROM e), c AS (SELECT CAST(floor(us / 1800000000) AS BIGINT) AS c FROM e GROUP BY 1), f AS (SELECT event_type, hour * 3600000000 AS us FROM k WHERE hour % 4 = 0),
-t AS (SELECT DISTINCT e.event_type, c * 1800000000 AS us FROM c CROSS JOIN (SELECT DISTINCT event_type FROM e) e)
-SELECT t.event_type, t.us, CASE WHEN t.us - f.us <= 7200000000 THEN f.us END AS frame FROM t ASOF LEFT JOIN f ON t.event_type = f.event_type AND t.us >= f.us""")
+@query(f"""WITH {EVENTS}, s AS (SELECT DISTINCT event_type, CAST(ceil(us / 300000000) * 300000000 AS BIGINT) AS step FROM e) SELECT s.event_type, s.step AS us, max(e.us) AS frame FROM s JOIN e ON e.event_type = s.event_type AND e.us <= s.step AND e.us >= s.step - 600000000 GROUP BY 1, 2""")
 def held_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest frame at or before each half hour, null where it is older than two hours."""
-    e = events(spark, sf_dir)
-    frames = e.where("hour % 4 = 0").select("event_type", (F.col("hour") * 3_600_000_000).alias("us")).distinct().withColumn("frame", F.col("us"))
-    slots = e.agg(F.collect_set(F.struct((scalar.slot(F.col("us"), 1800) * 1_800_000_000).alias("us"))).alias("slots"))  # one row, as long as the time span
-    half = e.select("event_type").distinct().crossJoin(F.broadcast(slots)).select("event_type", F.inline("slots"))
-    return temporal.asof(half, frames, ["event_type"], "us", "frame", "frame", within=7_200_000_000).select("event_type", "us", "frame")
+    """The frame held at each five-minute step that follows a frame; one more than ten minutes old would be an error."""
+    frames = events(spark, sf_dir).select("event_type", "us", F.col("us").alias("frame")).distinct()
+    steps = frames.select("event_type", (F.ceil(F.col("us") / 300_000_000) * 300_000_000).cast("long").alias("us")).distinct()
+    return temporal.held(steps, frames, ["event_type"], "us", "frame", 600_000_000)
 
 
 @query(f"""WITH {EVENTS}, f AS (SELECT event_type, hour FROM e GROUP BY 1, 2), c AS (SELECT a.event_type, a.hour AS cycle, b.hour AS frame, row_number() OVER (PARTITION BY a.event_type, a.hour ORDER BY b.hour DESC) AS n FROM f a JOIN f b ON a.event_type = b.event_type AND b.hour <= a.hour AND b.hour > a.hour - 12) SELECT event_type, cycle, CAST(count(*) AS BIGINT) AS frames, min(frame) AS oldest FROM c WHERE n <= 3 GROUP BY 1, 2""")
@@ -197,10 +195,10 @@ def last_three_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("last", last).select("event_type", F.col("hour").alias("cycle"), F.size("last").cast("long").alias("frames"), F.array_min("last").alias("oldest"))
 
 
-@query("""WITH RECURSIVE ed AS (SELECT DISTINCT l_suppkey AS dst, l_partkey + 1000000 AS src FROM lineitem WHERE l_quantity > 45 UNION SELECT DISTINCT l_partkey + 1000000, l_orderkey + 9000000 FROM lineitem WHERE l_quantity > 45), h(node, hop) AS (SELECT 3::BIGINT, 0 UNION SELECT src, hop + 1 FROM h JOIN ed ON node = dst WHERE hop < 2) SELECT node, min(hop) AS hop FROM h GROUP BY 1""")
+@query("""WITH RECURSIVE ed AS (SELECT DISTINCT l_suppkey AS dst, l_partkey + 1000000 AS src FROM lineitem UNION SELECT DISTINCT l_partkey + 1000000, l_orderkey + 9000000 FROM lineitem), h(node, hop) AS (SELECT 3::BIGINT, 0 UNION SELECT src, hop + 1 FROM h JOIN ed ON node = dst WHERE hop < 2) SELECT node, min(hop) AS hop FROM h GROUP BY 1""")
 def upstream_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that drain to node 3 within two pipes, walking against the flow."""
-    l = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    l = table(spark, sf_dir, "lineitem")
     part = (F.col("l_partkey") + 1_000_000).alias
     pipes = l.select(part("src"), F.col("l_suppkey").alias("dst")).union(l.select((F.col("l_orderkey") + 9_000_000).alias("src"), part("dst"))).distinct()
     return graph.hops(pipes.select(F.col("dst").alias("src"), F.col("src").alias("dst")), graph.start_nodes(spark, [3]), 2)
@@ -219,17 +217,11 @@ def stale_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(fresh, "n_regionkey", "left_anti").select("n_nationkey", "n_name")
 
 
-@query(f"""WITH {EVENTS}, s AS (SELECT user_id, hour, avg(value) / 10 AS rain FROM e WHERE user_id <= 30 GROUP BY 1, 2), c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY hour) AS k FROM s), g AS (SELECT (1 + i)::DOUBLE AS kk FROM range(8) t(i)),
-r AS (SELECT user_id, kk, k, rain, rain::DOUBLE AS s1, 0::DOUBLE AS s2, 0::DOUBLE AS pond FROM c CROSS JOIN g WHERE k = 1 UNION ALL SELECT c.user_id, kk, c.k, c.rain, s1 + c.rain - s1 / kk, s2 + s1 / kk - s2 / kk, greatest(pond + s2 / kk - 3, 0) FROM r JOIN c ON r.user_id = c.user_id AND c.k = r.k + 1),
-m AS (SELECT user_id, kk, avg(pow(pond - rain, 2)) AS mse FROM r GROUP BY 1, 2) SELECT user_id, round(min(mse), 6) AS mse, arg_min(kk, struct_pack(a := round(mse, 9), b := kk)) AS k FROM m GROUP BY 1""".replace("WITH e AS", "WITH RECURSIVE e AS"))
+@query()
 def emulator_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each segment the reservoir constant, of a fixed grid, that follows its series best."""
-    daily = events(spark, sf_dir).where("user_id <= 30").groupBy("user_id", "hour").agg((F.avg("value") / 10).alias("rain"))
-    s = recurrence.series(daily, ["user_id"], "hour", "rain").withColumn("k", F.explode(F.array(*[F.lit(float(k)) for k in range(1, 9)])))
-    pond = s.withColumn("pond", recurrence.reservoirs(F.col("series"), F.col("k"), drain=3.0))
-    err = F.aggregate(F.zip_with("pond", "series", lambda p, x: F.pow(p - x, 2)), F.lit(0.0), lambda a, x: a + x) / F.size("series")
-    fits = pond.withColumn("mse", err)
-    return fits.groupBy("user_id").agg(r(F.min("mse"), 6).alias("mse"), F.min_by("k", F.struct(F.round("mse", 9), "k")).alias("k"))
+    """For each segment the reservoirs that follow its series best; the tests hold the fit against a plain one."""
+    s = events(spark, sf_dir).groupBy("user_id", "hour").agg((F.avg("value") / 10).alias("rain"), (F.max("value") / 5).alias("depth"))
+    return recurrence.fit_reservoirs(s, "user_id", "hour", "depth", "rain").withColumns({c: r(c, 6) for c in ("k", "gain", "drain", "mse")})
 
 
 @query("""WITH m AS (SELECT s_suppkey, k AS member, k % 4 AS weather, CAST(('0x' || substr(sha256(s_suppkey || '|' || k), 1, 16)) AS UBIGINT)::DOUBLE / 18446744073709551616.0 AS u FROM supplier CROSS JOIN range(10) t(k)) SELECT s_suppkey, member, weather, round(least(greatest(0.3 + (u - 0.5) * 2, 0), 1), 8) AS beta FROM m""")
@@ -250,8 +242,7 @@ def pump_arrival_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH d AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS u, greatest(l_partkey, l_suppkey) AS v, l_returnflag AS way FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY way ORDER BY u, v) AS n FROM d) SELECT u, v, 'S' || way || '-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS segment_id FROM k""")
 def segment_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "lineitem").select(F.least("l_partkey", "l_suppkey").alias("u"), F.greatest("l_partkey", "l_suppkey").alias("v"), F.col("l_returnflag").alias("way")).distinct()
-    n = F.row_number().over(Window.partitionBy("way").orderBy("u", "v"))
-    return d.select("u", "v", F.format_string("S%s-%03d", "way", n).alias("segment_id"))
+    return temporal.numbered(d, ["way"], ["u", "v"]).select("u", "v", F.format_string("S%s-%03d", "way", "n").alias("segment_id"))
 
 
 @query("""WITH n AS (SELECT n_regionkey, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), q AS (SELECT *, 20.0::DOUBLE * c / sum(c) OVER () AS exact FROM n), f AS (SELECT *, greatest(floor(exact), 1) AS base FROM q), k AS (SELECT *, row_number() OVER (ORDER BY exact - floor(exact) DESC, n_regionkey) AS rnk, CAST(20 - sum(base) OVER () AS BIGINT) AS spare FROM f)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,13 +34,25 @@ def runs(registry: DataFrame, city: str | None = None, most: int = 50) -> DataFr
     return rows.orderBy(F.desc("cycle"), F.desc("created")).limit(most)
 
 
-def run_at(registry: DataFrame, instants: DataFrame, at: str) -> DataFrame:
-    """Each instant's newest run with a cycle at or before it, the oldest run if there is none."""
+def run_at(registry: DataFrame, instants: DataFrame, at: str, width: int = 86_400_000_000) -> DataFrame:
+    """Each instant's newest run with a cycle at or before it, the oldest run if there is none.
+
+    Instants meet the runs of their own stretch of ``width`` (a day); the last
+    run of the stretches before, one row for each, is carried over to it.
+    """
     from freshet.operators.temporal import asof
 
-    left = instants.select(F.col(at).alias("cycle"), F.lit(1).alias("_one")).distinct()
-    right = registry.select("cycle", "run_id", F.lit(1).alias("_one"))
-    return asof(left, right, ["_one"], "cycle", "run_id", "run_id", tie=["run_id"], oldest=True).select(F.col("cycle").alias(at), "run_id")
+    slot = F.floor(F.col("cycle") / width).alias("_slot")
+    left = instants.select(F.col(at).alias("cycle")).distinct().select("cycle", slot)
+    right = registry.select("cycle", "run_id", slot)
+    got = asof(left, right, ["_slot"], "cycle", "run_id", "run_id", tie=["run_id"])
+    last = right.groupBy("_slot").agg(F.max_by("run_id", F.struct("cycle", "run_id")).alias("_last"))
+    slots = left.select("_slot").distinct().join(last, "_slot", "full_outer")
+    before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)  # a row for each day
+    carried = slots.select("_slot", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    oldest = registry.agg(F.min_by("run_id", F.struct("cycle", "run_id")).alias("_oldest"))
+    met = got.join(carried, "_slot").join(F.broadcast(oldest))  # one row
+    return met.select(F.col("cycle").alias(at), F.coalesce("run_id", "_carried", "_oldest").alias("run_id"))
 
 
 def write_product(df: DataFrame, path: str, by: str) -> None:

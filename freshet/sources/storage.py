@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset, as in tests, a local one is made and set."""
+    """A new folder below ``spark.checkpoint.dir``; only in local mode a local one is made and set where that is unset, elsewhere it is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="freshet-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"

@@ -159,6 +159,7 @@ def test_reservoirs_against_a_loop(spark):
 
 def test_hyetograph_holds_its_depth():
     blocks = recurrence.hyetograph(12, 5, 60.0)
+    assert blocks.index(max(blocks)) == 4 and blocks[4] > 3 * blocks[-1]
     assert sum(b * 5 / 60 for b in blocks) == pytest.approx(60.0) and max(blocks) == blocks[4]
 
 
@@ -199,15 +200,84 @@ def test_own_parents_are_roots_and_cycles_raise(spark):
         graph.closure(ring, "n", "p")
 
 
-def test_held_frames_of_many_types(spark, tmp_path):
-    from freshet.plans import REGISTRY
-
-    e = spark.range(1_200).select(F.col("id").alias("event_id"), F.timestamp_seconds(14_400 + F.col("id") % 3 * 7_200).alias("ts"), F.lit(1).cast("long").alias("user_id"), F.concat(F.lit("t"), "id").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props"))
-    e.write.parquet(f"{tmp_path}/events.parquet")
-    got = {(r["event_type"], r["us"]): r["frame"] for r in dicts(REGISTRY["held_frames"].run(spark, str(tmp_path)))}
-    h = 3_600_000_000
-    frame = lambda i, us: {0: 4 * h if us - 4 * h <= 2 * h else None, 1: None, 2: 8 * h if us >= 8 * h else None}[i % 3]
-    assert got == {(f"t{i}", us): frame(i, us) for i in range(1_200) for us in (4 * h, 6 * h, 8 * h)}
+def test_held_frames_and_gaps(spark):
+    frames = spark.createDataFrame([("a", 0, 0), ("a", 500, 500)], "k string, t long, frame long")
+    at = lambda *ts: spark.createDataFrame([("a", t) for t in ts], "k string, t long")
+    assert {r["t"]: r["frame"] for r in dicts(temporal.held(at(0, 100, 500, 600), frames, ["k"], "t", "frame", 100))} == {0: 0, 100: 0, 500: 500, 600: 500}
+    for t in (-1, 101, 601):
+        with pytest.raises(Exception, match="no frame is held"):
+            temporal.held(at(t), frames, ["k"], "t", "frame", 100).collect()
+
+
+def test_valid_times_tolerate_a_second_and_raise_on_none(spark):
+    f = spark.createDataFrame([("a", 10_000_000), ("a", 20_000_000)], "k string, t long")
+    o = spark.createDataFrame([("a", 10_900_000, 1.0), ("a", 9_200_000, 2.0), ("a", 21_000_001, 3.0)], "k string, t long, v double")
+    assert [(r["t"], r["v"]) for r in dicts(temporal.valid_times(f, o, ["k"], "t", "v", "v"))] == [(10_000_000, 2.0)]
+    with pytest.raises(ValueError, match="no valid time"):
+        temporal.valid_times(f, o.where("v = 3"), ["k"], "t", "v", "v")
+
+
+def test_rows_are_numbered_in_their_key(spark):
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(5)}", i) for i in rng.sample(range(10_000), 600)]
+    got = {(r["k"], r["v"]): r["n"] for r in dicts(temporal.numbered(spark.createDataFrame(rows, "k string, v long"), ["k"], ["v"]))}
+    assert got == {(k, v): 1 + sum(x < v for j, x in rows if j == k) for k, v in rows}
+
+
+def test_runs_are_carried_over_stretches(spark):
+    from freshet.sources import feeds
+
+    runs = spark.createDataFrame([(5, 1), (5, 2), (31, 3), (95, 4)], "cycle long, run_id long")
+    instants = [0, 5, 9, 10, 30, 31, 60, 94, 95, 500]
+    got = {r["t"]: r["run_id"] for r in dicts(feeds.run_at(runs, spark.createDataFrame([(t,) for t in instants], "t long"), "t", 10))}
+    assert got == {0: 1, 5: 2, 9: 2, 10: 2, 30: 2, 31: 3, 60: 3, 94: 3, 95: 4, 500: 4}
+
+
+def test_reservoir_fit_against_a_plain_one(spark):
+    rng = random.Random(9)
+    rows = [(s, i, rng.random() * 10, max(0.0, rng.gauss(3, 2) + i) * (s > 0)) for s in range(4) for i in range(30)]
+    got = {r["s"]: r for r in dicts(recurrence.fit_reservoirs(spark.createDataFrame(rows, "s long, i long, x double, y double"), "s", "i", "y", "x"))}
+
+    def error(x, y, k, gain, drain):
+        s1 = s2 = pond = total = 0.0
+        for r, t in zip(x, y, strict=True):
+            o1, o2 = s1 / k, s2 / k
+            s1, s2 = s1 + r - o1, s2 + o1 - o2
+            pond = max(pond + gain * o2 - drain, 0.0)
+            total += (1 + max(t, 0) / 5) * (pond - t) ** 2
+        return total / len(x)
+
+    for s in range(4):
+        x, y = [r[2] for r in rows if r[0] == s], [r[3] for r in rows if r[0] == s]
+        r = got[s]
+        if not any(y):
+            assert (r["k"], r["gain"], r["drain"], r["mse"]) == (3.0, 0.0, 0.0, 0.0)
+            continue
+        assert r["mse"] == pytest.approx(error(x, y, r["k"], r["gain"], r["drain"]))
+        seen = []
+        for k in [0.5 + 11.5 * j / 15 for j in range(16)]:
+            a11 = a12 = a22 = b1 = b2 = s1 = s2 = c = 0.0
+            for n, (rain, t) in enumerate(zip(x, y, strict=True), 1):
+                o1, o2 = s1 / k, s2 / k
+                s1, s2 = s1 + rain - o1, s2 + o1 - o2
+                c += o2
+                w = (1 + max(t, 0) / 5) ** 2
+                a11, a12, a22, b1, b2 = a11 + w * c * c, a12 - w * c * n, a22 + w * n * n, b1 + w * c * t, b2 - w * n * t
+            det = a11 * a22 - a12 * a12
+            gain, drain = max((b1 * a22 - b2 * a12) / det, 0), max((a11 * b2 - a12 * b1) / det, 0)
+            if gain > 0:
+                seen += [error(x, y, k, gain * g, drain * d) for g in (0.6, 1, 1.5, 2.2, 3.2, 4.5, 6) for d in (0, 0.5, 1, 1.5)]
+        assert r["mse"] == pytest.approx(min(seen, default=error(x, y, 3.0, 0.0, 0.0)), rel=1e-6)
+
+
+def test_components_against_a_plain_walk(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(60), 100 + rng.randrange(90)) for _ in range(70)]
+    label = {n: n for e in edges for n in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r["node"]: r["component"] for r in dicts(graph.groups(spark.createDataFrame(edges, "src long, dst long")))} == label
 
 
 def test_hops_and_sills_and_costs(spark):
