@@ -5,15 +5,14 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.shared import table
+from freshet.llm.shared import small_batches, table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -50,14 +49,39 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PIECES = HEADINGS | frozenset("p li pre blockquote ul ol table".split())
 
 
+#: A path whose fused ratio is below this share of the ratios' deviation is no content of its own.
+SPREAD = 0.5
+
+
+@dataclass
+class Element:
+    """An element of a page: its parent (-1: none), depth, tag, tag path, whether it or one around it is furniture, whether it says that it is content, and the depth of the innermost one that says so."""
+
+    parent: int
+    depth: int
+    tag: str
+    path: int
+    furniture: bool
+    content: bool
+    content_depth: int
+
+
 @dataclass
-class Node:
-    """One block of text: the elements around it (place in the page, label, whether it is a content element), its text and how much of it is links."""
+class Block:
+    """A block of text: the element that it stands in (-1: none), its text and how much of it is links."""
 
-    path: tuple[tuple[int, str, bool], ...]
+    element: int
     text: str
     link_chars: int
-    furniture: bool
+
+
+@dataclass
+class Page:
+    """The elements and the text blocks of a page in order, and each tag path as (path of the parent, label)."""
+
+    elements: list[Element]
+    blocks: list[Block]
+    paths: list[tuple[int, str]]
 
 
 def _names(attrs: str) -> list[list[str]]:
@@ -99,19 +123,27 @@ def _is_content(tag: str, names: list[list[str]]) -> bool:
     return tag in CONTENT_TAGS or any(w and w[-1] in CONTENT_NAMES and FURNITURE_NAMES.isdisjoint(w) for w in names)
 
 
-def blocks(page: str) -> Iterator[Node]:
-    """The text blocks of a page in order; inline elements do not break a block and take no part in its path."""
-    stack: list[tuple[int, str, str, bool, bool]] = []  # place, tag, label, furniture, content
+def parse(page: str) -> Page:
+    """The blocks of a page; inline elements do not break a block and take no part in its path.
+
+    Elements know their parent and whether furniture is around them, and open
+    tags are counted, so the work is in proportion to the page however deep it
+    is nested.
+    """
+    out = Page([], [], [])
+    named: dict[tuple[int, str], int] = {}
+    stack: list[int] = []
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
-    links = link_depth = made = 0
+    links = link_depth = 0
 
-    def flush() -> Iterator[Node]:
-        nonlocal parts, links
+    def flush() -> None:
+        nonlocal links
         text = " ".join(html.unescape("".join(parts)).split())
-        parts, n = [], links
-        links = 0
+        parts.clear()
         if text:
-            yield Node(tuple((s[0], s[2], s[4]) for s in stack), text, min(n, len(text)), any(s[3] for s in stack))
+            out.blocks.append(Block(stack[-1] if stack else -1, text, min(links, len(text))))
+        links = 0
 
     def add(text: str) -> None:
         nonlocal links
@@ -119,6 +151,11 @@ def blocks(page: str) -> Iterator[Node]:
             parts.append(text)
             links += len(text) if link_depth else 0
 
+    def close() -> str:
+        tag = out.elements[stack.pop()].tag
+        open_tags[tag] -= 1
+        return tag
+
     at = 0
     for m in _TOKEN.finditer(page):
         add(page[at : m.start()])
@@ -133,96 +170,137 @@ def blocks(page: str) -> Iterator[Node]:
             elif tag == "br":
                 parts.append(" ")
             continue
-        yield from flush()
+        flush()
         if m["end"]:
             link_depth = 0
-            if any(s[1] == tag for s in stack):
-                while stack.pop()[1] != tag:
-                    pass
+            while open_tags[tag] and close() != tag:
+                pass
             continue
         if tag in VOID:
             continue
         closed = CLOSES.get(tag, frozenset({"p"}))
-        while stack and stack[-1][1] in closed:
-            stack.pop()
+        while stack and out.elements[stack[-1]].tag in closed:
+            close()
         attrs = m["attrs"]
         names = _names(attrs)
-        inside = any(s[1] in CONTENT_TAGS for s in stack)
-        named = tag not in ("html", "body") and _is_furniture(names)
-        if named and tag in CONTENT_TAGS:  # an article called by a furniture name is one only as a comment
-            named = any(not {"comment", "comments", "reply", "replies"}.isdisjoint(w) for w in names)
-        furniture = tag in FURNITURE_TAGS or (tag == "header" and not inside) or named or _is_hidden(attrs)
-        made += 1
-        stack.append((made, tag, ".".join([tag, *sorted({w for n in names for w in n})]), furniture, _is_content(tag, names)))
+        inside = any(open_tags[t] for t in CONTENT_TAGS)
+        called = tag not in ("html", "body") and _is_furniture(names)
+        if called and tag in CONTENT_TAGS:  # an article called by a furniture name is one only as a comment
+            called = any(not {"comment", "comments", "reply", "replies"}.isdisjoint(w) for w in names)
+        furniture = tag in FURNITURE_TAGS or (tag == "header" and not inside) or called or _is_hidden(attrs)
+        parent, content, depth = stack[-1] if stack else -1, _is_content(tag, names), len(stack)
+        around = out.elements[parent] if stack else Element(-1, -1, "", -1, False, False, -1)
+        label = (around.path, ".".join([tag, *sorted({w for n in names for w in n})]))
+        if label not in named:
+            named[label] = len(out.paths)
+            out.paths.append(label)
+        stack.append(len(out.elements))
+        open_tags[tag] += 1
+        out.elements.append(Element(parent, depth, tag, named[label], furniture or around.furniture, content, depth if content else around.content_depth))
     add(page[at:])
-    yield from flush()
+    flush()
+    return out
+
+
+def path_weights(page: Page, blocks: list[Block]) -> tuple[list[float], list[float]]:
+    """Two weights of each block's tag path: fused from smoothed ratios and thresholded, and from its own ratios alone.
+
+    A path's ratios are text length (links left out) and punctuation for each of
+    its blocks.  Smoothing takes half of the ratios of all blocks below the
+    parent's path in, so that a path of a few short blocks is seen with those
+    beside it.  The product of both is the weight, less for links; a path below
+    a share of the weights' deviation has none, unless none is above.
+    """
+    key = lambda b: page.elements[b.element].path if b.element >= 0 else -1
+    own: dict[int, list[float]] = defaultdict(lambda: [0.0] * 4)
+    for b in blocks:
+        for j, x in enumerate((1, len(b.text) - b.link_chars, sum(map(b.text.count, _PUNCTUATION)), len(b.text))):
+            own[key(b)][j] += x
+    below: dict[int, list[float]] = defaultdict(lambda: [0.0] * 4, {k: list(x) for k, x in own.items()})
+    for path in range(len(page.paths) - 1, -1, -1):  # a path stands after its parent
+        if path in below and (up := page.paths[path][0]) >= 0:
+            for j, x in enumerate(below[path]):
+                below[up][j] += x
+    fused, plain = {}, {}
+    for path, (n, size, marks, chars) in own.items():
+        up = below[page.paths[path][0]] if path >= 0 and page.paths[path][0] >= 0 else own[path]
+        text, punctuation = (size / n + up[1] / up[0]) / 2, (marks / n + up[2] / up[0]) / 2
+        fused[path] = text * (1 + punctuation) * size / chars
+        plain[path] = size / n * (1 + marks / n)
+    weights = [fused[key(b)] for b in blocks]
+    mean = sum(weights) / len(weights)
+    least = min(SPREAD * math.sqrt(sum((w - mean) ** 2 for w in weights) / len(weights)), max(weights))
+    return [w if w >= least else 0.0 for w in weights], [plain[key(b)] for b in blocks]
 
 
 def main_text(page: str) -> str:
     """The article's blocks in page order, joined by one space.
 
-    Each tag path gets two ratios over its blocks: text length (links left
-    out) and punctuation per block.  Both are smoothed over the neighbouring
-    blocks and fused into one weight.  From the root down, the child that holds
-    most of its parent's weight leads to the content's element; furniture (by
-    element or name) weighs nothing.  The way down ends at the first article,
-    main or element with a content name.  From where it ended it goes back up
-    to the outermost element whose other children hold blocks like the content
-    (past a content element only other content elements count).  Below it every
-    block is kept but for furniture and paths made of links; where the content
-    has no element of its own, blocks under a threshold of the spread of
-    weights go too.
+    ``path_weights`` says which tag paths are content; furniture (by element or
+    name) is none whatever its paths weigh.  The element that holds the content
+    paths' weight, from the root down the child with most of it, is the
+    content's.  The way down ends at the first article, main or element with a
+    content name.  From where it ended it goes back up to the outermost element
+    whose other children hold blocks like the content (past a content element
+    only other content elements count).  Below it every block is kept but for
+    furniture and paths made of links, so that short paragraphs stay; where the
+    content has no element of its own, only content paths stay.
     """
-    nodes = [n for n in blocks(page) if not n.furniture]
+    tree = parse(page)
+    elements = tree.elements
+    nodes = [b for b in tree.blocks if b.element < 0 or not elements[b.element].furniture]
     if not nodes:
         return ""
-    sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
-    keys = [tuple(label for _, label, _ in n.path) for n in nodes]
-    for key, n in zip(keys, nodes, strict=True):
-        s = sums[key]
-        s[0] += 1
-        s[1] += len(n.text) - n.link_chars
-        s[2] += sum(map(n.text.count, _PUNCTUATION))
-        s[3] += len(n.text)
-    ratios = [(sums[k][1] / sums[k][0], sums[k][2] / sums[k][0]) for k in keys]
-    padded = [ratios[0], *ratios, ratios[-1]]
-    smooth = [tuple((a[j] + 2 * b[j] + c[j]) / 4 for j in (0, 1)) for a, b, c in zip(padded, padded[1:], padded[2:], strict=False)]
-    weights = [r[0] * (1 + r[1]) * (1 - n.link_chars / len(n.text)) for r, n in zip(smooth, nodes, strict=True)]
-
-    linked = lambda i: sums[keys[i]][1] < 0.4 * sums[keys[i]][3]
-    tag = lambda e: e[1].split(".")[0]
-    depth, chosen, own = 0, list(range(len(nodes))), False
-    levels = [chosen]
-    while not own:
-        below: dict[tuple[int, str, bool], float] = defaultdict(float)
-        for i in chosen:
-            if len(nodes[i].path) > depth:
-                below[nodes[i].path[depth]] += weights[i]
-        total = sum(weights[i] for i in chosen)
-        best = max(below, key=lambda e: (below[e], -e[0]), default=None)
-        if best is None or below[best] < 0.6 * total or tag(best) in PIECES:
+    weights, plain = path_weights(tree, nodes)
+    size: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    for b in nodes:
+        k = elements[b.element].path if b.element >= 0 else -1
+        size[k][0] += len(b.text) - b.link_chars
+        size[k][1] += len(b.text)
+    lines = [(x := size[elements[b.element].path if b.element >= 0 else -1])[0] < 0.4 * x[1] for b in nodes]
+
+    # the blocks of an element are neighbours: where they begin and end, and what they weigh
+    first, last, weight = [len(nodes)] * len(elements), [0] * len(elements), [0.0] * len(elements)
+    for i, b in enumerate(nodes):
+        if b.element >= 0:
+            e = b.element
+            first[e], last[e], weight[e] = min(first[e], i), i + 1, weight[e] + weights[i]
+    below: dict[int, list[int]] = defaultdict(list)
+    for e in range(len(elements) - 1, -1, -1):  # an element stands after its parent
+        up = elements[e].parent
+        if last[e]:
+            below[up].append(e)
+            if up >= 0:
+                first[up], last[up], weight[up] = min(first[up], first[e]), max(last[up], last[e]), weight[up] + weight[e]
+
+    chain: list[int] = []
+    at, total, own = -1, sum(weights), False
+    while not own and below[at]:
+        best = max(below[at], key=lambda e: (weight[e], -e))
+        if weight[best] < 0.6 * total or elements[best].tag in PIECES:
             break
-        chosen = [i for i in chosen if len(nodes[i].path) > depth and nodes[i].path[depth] == best]
-        depth += 1
-        own = best[2]
-        levels.append(chosen)
-    plain = [r[0] * (1 + r[1]) for r in ratios]  # not smoothed: a neighbour of the content is not like it for that
-    enough = 0.1 * sum(plain[i] for i in chosen) / len(chosen)
-    for up in range(depth):
-        page_level = up == 0 or tag(nodes[chosen[0]].path[up - 1]) in ("html", "body")
-        kin = set(levels[up + 1])
-        for i in (i for i in levels[up] if i not in kin and not linked(i)):
-            rest = nodes[i].path[up:]
-            like = plain[i] >= enough and (not own or any(e[2] for e in rest))
-            if like or (not own and not page_level and rest and tag(rest[-1]) in HEADINGS):
-                break
-        else:
-            continue
-        depth, chosen = up, levels[up]
-        break
-    kept = [i for i in chosen if not linked(i)] or chosen
-    element = nodes[chosen[0]].path[depth - 1][1] if depth else ""
-    if element.split(".")[0] in ("", "html", "body"):
+        chain.append(best)
+        at, total, own = best, weight[best], elements[best].content
+    span = lambda k: (first[chain[k]], last[chain[k]]) if k >= 0 else (0, len(nodes))
+    a, z = span(len(chain) - 1)
+    enough = 0.1 * sum(plain[a:z]) / (z - a)
+    depth = len(chain)
+    for up in range(len(chain)):
+        page_level = up == 0 or elements[chain[up - 1]].tag in ("html", "body")
+        (a, z), (kin_a, kin_z) = span(up - 1), span(up)
+
+        def like(i: int) -> bool:
+            e = nodes[i].element
+            inner = elements[e] if e >= 0 else Element(-1, -1, "", -1, False, False, -1)
+            heading = not own and not page_level and inner.depth >= up and inner.tag in HEADINGS  # noqa: B023
+            return not lines[i] and (heading or (plain[i] >= enough and (not own or inner.content_depth >= up)))  # noqa: B023
+
+        if any(like(i) for i in [*range(a, kin_a), *range(kin_z, z)]):
+            depth = up
+            break
+    a, z = span(depth - 1)
+    kept = [i for i in range(a, z) if not lines[i]] or list(range(a, z))
+    if not depth or elements[chain[depth - 1]].tag in ("html", "body"):
         mean = sum(weights[i] for i in kept) / len(kept)
         spread = math.sqrt(sum((weights[i] - mean) ** 2 for i in kept) / len(kept))
         kept = [i for i in kept if weights[i] >= min(mean, spread) * 0.1]
@@ -236,6 +314,8 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     an added one are replaced.
     """
 
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def text(column: pd.Series) -> pd.Series:
         return column.map(lambda x: main_text(x) if x else "")

@@ -340,6 +340,43 @@ def test_hidden_elements_go(attrs):
     assert main_text.main_text(f"<article><p>One, two; three.</p><div {attrs}><p>Gone, all; of it.</p></div></article>") == "One, two; three."
 
 
+def test_path_weights_against_a_plain_version():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        page = "<body>" + "".join("<%s>" % rng.choice(["div", "div class=x", "p", "section", "/div", "/section", "li", "ul"]) + " ".join(rng.choice(["word", "a,", "b.", "<a href=x>link text</a>"], rng.integers(0, 6))) for _ in range(25))
+        tree = main_text.parse(page)
+
+        def path(e, tree=tree):
+            p, out = tree.elements[e].path if e >= 0 else -1, []
+            while p >= 0:
+                out.append(tree.paths[p][1])
+                p = tree.paths[p][0]
+            return tuple(reversed(out))
+
+        if not tree.blocks:
+            continue
+        keys = [path(b.element) for b in tree.blocks]
+        ratio = lambda own: (sum(len(b.text) - b.link_chars for b in own) / len(own), sum(len(re.findall("[.,;:!?]", b.text)) for b in own) / len(own))
+        fused, plain = {}, {}
+        for k in set(keys):
+            own = [b for b, x in zip(tree.blocks, keys, strict=True) if x == k]
+            around = [b for b, x in zip(tree.blocks, keys, strict=True) if x[: len(k) - 1] == k[:-1] and len(x) >= len(k) - 1] if len(k) > 1 else own
+            (t, m), (ut, um) = ratio(own), ratio(around)
+            fused[k] = (t + ut) / 2 * (1 + (m + um) / 2) * sum(len(b.text) - b.link_chars for b in own) / sum(len(b.text) for b in own)
+            plain[k] = t * (1 + m)
+        w = [fused[k] for k in keys]
+        least = min(0.5 * np.std(w), max(w))
+        got = main_text.path_weights(tree, tree.blocks)
+        assert got[0] == pytest.approx([x if x >= least * (1 - 1e-12) else 0.0 for x in w]) and got[1] == pytest.approx([plain[k] for k in keys])
+
+
+def test_long_and_deep_pages():
+    deep = "<div>" * 30_000 + "<p>One, two; three.</p>" * 3_000
+    assert main_text.main_text(deep) == " ".join(["One, two; three."] * 3_000)
+    long = "<article>" + "<p>" + "word, " * 200_000 + "</p><nav>menu</nav></article>"
+    assert main_text.main_text(long) == ("word, " * 200_000).strip()
+
+
 def test_extract_keeps_every_row(spark):
     d = spark.createDataFrame([(1, "u", PAGE, "clash"), (2, None, None, "x"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     got = [(r.page_id, r.text, r.n_chars) for r in main_text.extract(d).orderBy("page_id").collect()]
