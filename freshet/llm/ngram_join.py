@@ -151,13 +151,13 @@ def _batch(schema: list[tuple[str, pa.DataType]], *columns) -> pa.RecordBatch:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, mark, sig, n_shingles, b, c) for every row of ``docs(doc_id, text, mark)``, and the frequent tokens, sorted; b and c, the sketches, stand at a set's first row in a task.
+    """(doc_id, mark, key, sig, n_shingles, b, c) for every row of ``docs(doc_id, text, mark, key)``, and the frequent tokens, sorted; b and c, the sketches, stand at a set's first row in a task.
 
     One pass over the texts; the tokens of equal sets count once in a task.  A
     token that many sets hold is held by many sets of some task, so tasks only
     report what is frequent among their own.
     """
-    schema = [("doc_id", pa.int64()), ("mark", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("b", pa.binary()), ("c", pa.binary())]
+    schema = [("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("b", pa.binary()), ("c", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -172,7 +172,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             token = np.unique(all_tokens[k:][all_tokens[k:] == all_tokens[: len(all_tokens) - k]]) if len(all_tokens) > k else all_tokens[:0]
             n = np.searchsorted(all_tokens, token, side="right") - np.searchsorted(all_tokens, token)
             none = [None] * len(token)
-            return _batch(schema, none, none, none, n, token.view(np.int64), none, none)
+            return _batch(schema, none, none, none, none, n, token.view(np.int64), none, none)
 
         for batch in batches:
             sigs, sizes, bs, cs = [], [], [], []
@@ -191,16 +191,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 if size >= COUNT_TOKENS:
                     yield frequent()
                     size = 0
-            yield _batch(schema, batch.column(0), batch.column(2), sigs, sizes, [None] * len(sigs), bs, cs)
+            yield _batch(schema, batch.column(0), batch.column(2), batch.column(3), sigs, sizes, [None] * len(sigs), bs, cs)
         yield frequent()
 
-    both = stored(docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark long, sig long, n long, token long, b binary, c binary"))
+    both = stored(docs.select("doc_id", "text", "mark", "key").mapInArrow(run, "doc_id long, mark long, key long, sig long, n long, token long, b binary, c binary"))
     counts = stored(both.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT))
     bar = FREQUENT
     while counts.where(F.col("n") >= bar).count() > MAX_FREQUENT:
         bar *= 2
     tokens = counts.where(F.col("n") >= bar).select("token").toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64)
-    return both.where("token is null").select("doc_id", "mark", "sig", F.col("n").alias("n_shingles"), "b", "c"), np.sort(tokens)
+    return both.where("token is null").select("doc_id", "mark", "key", "sig", F.col("n").alias("n_shingles"), "b", "c"), np.sort(tokens)
 
 
 def shared_tokens(docs: DataFrame, frequent: np.ndarray, text: str) -> DataFrame:
@@ -269,14 +269,14 @@ def shared_tokens(docs: DataFrame, frequent: np.ndarray, text: str) -> DataFrame
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """(sig, tokens) of the sets that ``wanted(doc_id, sig)`` names, tokens sorted.
+    """(sig, tokens) of the sets that ``wanted(key, sig)`` names, tokens sorted.
 
-    A bit filter of fixed size over the wanted ids thins the texts before they
+    A bit filter of fixed size over the wanted keys thins the texts before they
     are shuffled; beyond its size it lets more through, never less.
     """
     spark = docs.sparkSession
     schema = [("sig", pa.int64()), ("tokens", pa.binary())]
-    marks = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("m")).distinct()
+    marks = wanted.select(F.pmod("key", F.lit(FILTER_BITS)).alias("m")).distinct()
     words = marks.groupBy(F.floor(F.col("m") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(m % 64 as int))")).alias("v")).toPandas()
     bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     bits[words["w"].to_numpy(dtype=np.int64)] = words["v"].to_numpy(dtype=np.int64)
@@ -294,7 +294,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
             rows: list[tuple] = []
             size = 0
             for sig, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
-                if sig in seen or _signature(s) != sig:  # a repeated row, or another text under the same doc_id
+                if sig in seen or _signature(s) != sig:  # a repeated row, or another text of the same key
                     continue
                 seen.add(sig)
                 rows.append((sig, s.tobytes()))
@@ -305,15 +305,15 @@ def token_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
             if rows:
                 yield _batch(schema, *zip(*rows, strict=True))
 
-    marked = docs.where("doc_id is not null").select("doc_id", text, F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("m"))
-    texts = marked.mapInArrow(thin, f"doc_id long, {text} string").join(wanted, "doc_id").select("sig", text)
+    marked = docs.select("key", text, F.pmod("key", F.lit(FILTER_BITS)).alias("m"))
+    texts = marked.mapInArrow(thin, f"key long, {text} string").join(wanted, "key").select("sig", text)
     return stored(texts.mapInArrow(run, "sig long, tokens binary"))
 
 
 def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, text: str, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Of the pairs (x, y) those that both sketches let through: linked, and what either set lacks of the other; and all sets fetched so far.
 
-    ``first(sig, doc_id, n, b, c)`` has a row per set; ``sets`` are those of the
+    ``first(sig, key, n, b, c)`` has a row per set; ``sets`` are those of the
     rounds before, whose texts are not read again.
     """
 
@@ -353,7 +353,7 @@ def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, text: str, set
     near = pairs.join(side(first, "x", "b", "c", "n"), "x").join(side(first, "y", "b", "c", "n"), "y").select("x", "y", "x_b", "y_b", "x_c", "y_c", "x_n", "y_n")
     left = stored(near.mapInArrow(meets, "x long, y long"))
     ends = left.select(F.col("x").alias("sig")).unionByName(left.select(F.col("y").alias("sig"))).distinct()
-    wanted = ends.join(first.select("sig", "doc_id"), "sig").where("doc_id is not null")
+    wanted = ends.join(first.select("sig", "key"), "sig")
     wanted = stored(wanted if sets is None else wanted.join(sets.select("sig"), "sig", "left_anti"))
     if sets is None or not wanted.isEmpty():
         new = token_sets(docs, wanted, text)
@@ -466,8 +466,9 @@ def grouped(docs: DataFrame, sampled_rounds: int = 1) -> tuple[DataFrame, DataFr
     comp names the component, also of sets that no row with a doc_id has.
     """
     small_batches(docs.sparkSession)
+    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))  # one row of a set's is read again, whatever ids it has
     rows, frequent = classes(docs)
-    first = stored(rows.where("sig <> 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("b").alias("b"), F.max("c").alias("c")))
+    first = stored(rows.where("sig <> 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.max("n_shingles").alias("n"), F.max("b").alias("b"), F.max("c").alias("c")))
     shared = shared_tokens(docs, frequent, "text")
     found = comps = tested = sets = None
     none = F.lit(bytes(DELTA))
@@ -496,8 +497,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sampled_ro
     component_id is the smallest doc_id that links reach, its own included.
     A text of fewer than five words is one shingle of all of them; null, empty
     and blank texts have an empty set and link with nothing.  Repeated rows are
-    linked like any equal texts and stay.  A row without doc_id gets the component of
-    equal texts that have one, else null.
+    linked like any equal texts and stay.  Rows without doc_id are linked like
+    others; a component of such rows only has none.
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("mark"))
     rows, of_sig = grouped(named, sampled_rounds)
