@@ -53,7 +53,7 @@ FILTER_BITS = 1 << 23
 #: Rows of one token from which its run is cut into parts.
 RUN_ROWS = 50_000
 #: Tokens that a task counts at a time.
-COUNT_TOKENS = 2_000_000
+COUNT_TOKENS = 1_000_000
 #: Names of sets that a task remembers, so as not to emit equal sets again; beyond it starts anew and some come twice.
 SEEN = 200_000
 #: Longest prefix of which a row's bits tell something; those of longer ones let all through.
@@ -253,6 +253,7 @@ def shared_tokens(docs: DataFrame, frequent: np.ndarray, text: str) -> DataFrame
         if not parts:
             return
         token, sig, place, mask = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts.clear()
         order = np.lexsort((sig, place >> 32, token))
         token, sig, place, mask = token[order], sig[order], place[order], mask[order]
         first = np.concatenate([[True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])])  # equal sets of other tasks
@@ -264,40 +265,40 @@ def shared_tokens(docs: DataFrame, frequent: np.ndarray, text: str) -> DataFrame
         yield _batch(out, token[keep], sig[keep], place[keep], mask[keep])
 
     rows = docs.select(text).mapInArrow(prefixes, "token long, sig long, place long, mask long, salt long")
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.rdd.getNumPartitions())  # a task holds its rows in memory
     return stored(rows.repartition(n_parts, "token", "salt").mapInArrow(runs, "token long, sig long, place long, mask long"))
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """(sig, tokens) of the sets that ``wanted(key, sig)`` names, tokens sorted.
 
-    A bit filter of fixed size over the wanted keys thins the texts before they
-    are shuffled; beyond its size it lets more through, never less.
+    A bit filter of fixed size over the wanted keys thins the texts as they are
+    read; beyond its size it lets more through, never less, and the join with
+    ``wanted`` decides.  One Python worker a task filters and cuts the texts.
     """
     spark = docs.sparkSession
-    schema = [("sig", pa.int64()), ("tokens", pa.binary())]
+    schema = [("key", pa.int64()), ("sig", pa.int64()), ("tokens", pa.binary())]
     marks = wanted.select(F.pmod("key", F.lit(FILTER_BITS)).alias("m")).distinct()
     words = marks.groupBy(F.floor(F.col("m") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(m % 64 as int))")).alias("v")).toPandas()
     bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     bits[words["w"].to_numpy(dtype=np.int64)] = words["v"].to_numpy(dtype=np.int64)
     mask = spark.sparkContext.broadcast(bits)
 
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = b.column(2).to_numpy()
-            hit = (mask.value[m // 64].view(np.uint64) >> (m % 64).astype(np.uint64)) & np.uint64(1)
-            yield b.select([0, 1]).filter(pa.array(hit.astype(bool)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
+            m = batch.column(2).to_numpy()
+            hit = (mask.value[m // 64].view(np.uint64) >> (m % 64).astype(np.uint64)) & np.uint64(1)
+            batch = batch.filter(pa.array(hit.astype(bool)))
             rows: list[tuple] = []
             size = 0
-            for sig, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
-                if sig in seen or _signature(s) != sig:  # a repeated row, or another text of the same key
+            for key, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+                if key in seen:  # a repeated row
                     continue
-                seen.add(sig)
-                rows.append((sig, s.tobytes()))
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(key)
+                rows.append((key, _signature(s), s.tobytes()))
                 size += len(s)
                 if size >= COUNT_TOKENS // 4:
                     yield _batch(schema, *zip(*rows, strict=True))
@@ -306,8 +307,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
                 yield _batch(schema, *zip(*rows, strict=True))
 
     marked = docs.select("key", text, F.pmod("key", F.lit(FILTER_BITS)).alias("m"))
-    texts = marked.mapInArrow(thin, f"key long, {text} string").join(wanted, "key").select("sig", text)
-    return stored(texts.mapInArrow(run, "sig long, tokens binary"))
+    return stored(marked.mapInArrow(run, "key long, sig long, tokens binary").join(wanted, ["key", "sig"]).select("sig", "tokens"))
 
 
 def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, text: str, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -398,6 +398,7 @@ def candidates(rows: DataFrame, every: bool, seed: int) -> DataFrame:
         if not parts:
             return
         token, sig, place, mask, comp, ref, i, j, part, delta = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts.clear()
         order = np.lexsort((sig, place >> 32, j, i, token))
         token, sig, place, mask, comp, ref, i, j, part, delta = (c[order] for c in (token, sig, place, mask, comp, ref, i, j, part, delta))
         n, pos = place >> 32, place & 0xFFFFFFFF

@@ -63,7 +63,7 @@ def picked(df: DataFrame, chosen: DataFrame, id_col: str, keep: str | None = Non
     return met(chosen.where("rows = 1")).select(*out).unionByName(again.select(*out))
 
 
-def small_batches(spark: SparkSession, mb: int = 8) -> None:
+def small_batches(spark: SparkSession, mb: int = 2) -> None:
     """Spark hands no more than about ``mb`` MB of rows to Python at a time, however long the texts; a session that asks for less keeps it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key).lower().rstrip("b")

@@ -26,6 +26,9 @@ if TYPE_CHECKING:  # Python workers don't load it
 TRAIN_DOCS = 12_000
 #: Entries of the learned lexicon at most, for whole words and for beginnings of longer words each.
 LEXICON = 400
+#: Words whose weights a task remembers; beyond it begins anew.
+KNOWN = 50_000
+_NOTHING = (0.0, 0.0)
 #: What a term's log-likelihood ratio has to reach.
 EVIDENCE = 22.0
 PREFIXES = range(3, 9)
@@ -91,13 +94,14 @@ class Featurizer:
         self.known: dict[str, tuple[float, float]] = {}
 
     def weights(self, word: str) -> tuple[float, float]:
-        """Weight of a word, and the largest of its beginnings; remembered for up to a quarter of a million words."""
+        """Weight of a word, and the largest of its beginnings; remembered for up to KNOWN words."""
         got = self.known.get(word)
         if got is None:
-            if len(self.known) > 250_000:
+            if len(self.known) >= KNOWN:
                 self.known.clear()
             start = max((self.starts.get(word[:k], 0.0) for k in self.sizes if len(word) > k), default=0.0)
-            got = self.known[word] = (self.words.get(word, 0.0), start)
+            got = (self.words.get(word, 0.0), start)
+            got = self.known[word] = got if got != _NOTHING else _NOTHING
         return got
 
     def __call__(self, text: str) -> list[float]:
@@ -105,7 +109,7 @@ class Featurizer:
         n = max(1, len(words))
         chars = max(1, len(text))
         table = Counter(words)
-        weighed = {w: x for w in table if (x := self.weights(w)) != (0.0, 0.0) or w in INSULTS}
+        weighed = {w: x for w in table if (x := self.weights(w)) is not _NOTHING or w in INSULTS}
         by_word = [(table[w], a) for w, (a, _) in weighed.items() if a]
         by_start = [(table[w], b) for w, (_, b) in weighed.items() if b]
         hits = sum(k for k, _ in by_word), sum(k for k, _ in by_start)
