@@ -60,6 +60,8 @@ SEEN = 200_000
 MASKED = 24
 #: Bytes of what a set lacks of its reference and has beyond it: 128 bits each, and both sizes.
 DELTA = 48
+#: First tokens of a set's A prefix that its rows bring to the last round.
+LEADS = 16
 _SIGN = np.uint64((1 << 63) - 1)
 
 
@@ -372,6 +374,10 @@ def deltas(compared: DataFrame) -> DataFrame:
 def candidates(rows: DataFrame, every: bool, seed: int) -> DataFrame:
     """Candidate pairs (x, y) from ``rows(token, sig, place, mask, comp, ref, delta)``: sets of different components that share a token.
 
+    ``every`` takes rows with ``leads`` too, the set's first LEADS tokens under
+    order A: a pair that has one of them in common before this token leaves in
+    that token's run and not again here, in however many runs both sets stand.
+
     All filters that a row knows of apply before a pair leaves the run: sizes,
     bits of the B and C prefixes, and what stands from the token on in the
     shorter rest, which has to reach the overlap that the sizes ask for if this
@@ -386,7 +392,8 @@ def candidates(rows: DataFrame, every: bool, seed: int) -> DataFrame:
     two of the parts and pairs one with the other.
     """
     schema = [("x", pa.int64()), ("y", pa.int64())]
-    columns = ("token", "sig", "place", "mask", "comp", "ref", "i", "j", "part", "delta")
+    columns = ("token", "sig", "place", "mask", "comp", "ref", "i", "j", "part", "delta", *(["leads"] if every else []))
+    plain = columns.index("delta")
 
     def passing(n: np.ndarray, rest: np.ndarray, mask: np.ndarray, m: np.ndarray | int, other_rest: np.ndarray | int, other_mask: np.ndarray | int) -> np.ndarray:
         need = -(-PERCENT * (n + m) // (100 + PERCENT))
@@ -394,13 +401,14 @@ def candidates(rows: DataFrame, every: bool, seed: int) -> DataFrame:
         return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (np.minimum(rest, other_rest) >= need) & (both & 0xFFFFFFFF != 0) & (both >> 32 != 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(b.column(i).to_numpy() for i in range(len(columns) - 1)) + (_fixed(b.column(len(columns) - 1)),) for b in batches if b.num_rows]
+        parts = [tuple(b.column(c).to_numpy() for c in range(plain)) + tuple(_fixed(b.column(c)) for c in range(plain, len(columns))) for b in batches if b.num_rows]
         if not parts:
             return
-        token, sig, place, mask, comp, ref, i, j, part, delta = (np.concatenate(c) for c in zip(*parts, strict=True))
+        token, sig, place, mask, comp, ref, i, j, part, delta, *more = (np.concatenate(c) for c in zip(*parts, strict=True))
         parts.clear()
         order = np.lexsort((sig, place >> 32, j, i, token))
         token, sig, place, mask, comp, ref, i, j, part, delta = (c[order] for c in (token, sig, place, mask, comp, ref, i, j, part, delta))
+        leads = more[0][order] if every else None
         n, pos = place >> 32, place & 0xFFFFFFFF
         new = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         starts = np.flatnonzero(np.concatenate([[True], new]))
@@ -421,6 +429,10 @@ def candidates(rows: DataFrame, every: bool, seed: int) -> DataFrame:
                         same = ref[a + met] == ref[a + r]
                         need = -(-PERCENT * (m[met] + m[r]) // (100 + PERCENT))
                         met = met[~same | (most_common(delta[a + r], int(m[r]), delta[a + met]) >= need)]
+                    before = leads[a + r, : pos[a + r]]
+                    before = before[before != 0]
+                    if len(before) and len(met):
+                        met = met[~np.isin(leads[a + met], before).any(axis=1)]
                     xs.append(np.full(len(met), s[r]))
                     ys.append(s[met])
                     held += len(met)
@@ -457,10 +469,19 @@ def candidates(rows: DataFrame, every: bool, seed: int) -> DataFrame:
 
 
 def _fixed(column: pa.Array) -> np.ndarray:
-    """A column of binaries of DELTA bytes as rows of 64-bit numbers."""
+    """A column of arrays of LEADS numbers, or of binaries of DELTA bytes, as rows of 64-bit numbers."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy().reshape(-1, LEADS)
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, DELTA // 8)
 
 
+def first_tokens(shared: DataFrame) -> DataFrame:
+    """(sig, leads): the tokens at the first LEADS places of a set under order A, as far as other sets share them; 0 elsewhere."""
+    at = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    tokens = [F.coalesce(F.max(F.when(at == k, F.col("token"))), F.lit(0).cast("long")) for k in range(LEADS)]
+    return shared.where(at < LEADS).groupBy("sig").agg(F.array(*tokens).alias("leads"))
+
+
 def grouped(docs: DataFrame, sampled_rounds: int = 1) -> tuple[DataFrame, DataFrame]:
     """(doc_id, mark, sig, n_shingles) for every row of ``docs(doc_id, text, mark)``, and (sig, comp, component_id) for every set.
 
@@ -475,12 +496,16 @@ def grouped(docs: DataFrame, sampled_rounds: int = 1) -> tuple[DataFrame, DataFr
     none = F.lit(bytes(DELTA))
     for k in range(sampled_rounds + 1):
         if comps is None:
-            now = shared.withColumns({"comp": F.col("sig"), "ref": F.lit(0).cast("long"), "delta": none})
+            now = shared.withColumns({"comp": F.col("sig"), "ref": F.lit(0).cast("long"), "delta": none, "leads": F.array(*[F.lit(0).cast("long")] * LEADS)})
         else:
             named = shared.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("component", "sig")).drop("component")
             mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
             now = named.join(mixed, "token", "left_semi").join(deltas(found), "sig", "left")
-            now = stored(now.withColumns({"ref": F.coalesce("ref", F.lit(0).cast("long")), "delta": F.coalesce("delta", none)}))
+            now = now.withColumns({"ref": F.coalesce("ref", F.lit(0).cast("long")), "delta": F.coalesce("delta", none)})
+            if k == sampled_rounds:
+                no_leads = F.array(*[F.lit(0).cast("long")] * LEADS)
+                now = now.join(first_tokens(shared), "sig", "left").withColumn("leads", F.coalesce("leads", no_leads))
+            now = stored(now)
         pairs = candidates(now, k == sampled_rounds, 31 + k)
         pairs = stored(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
