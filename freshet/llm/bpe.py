@@ -66,13 +66,12 @@ class PairIndex:
             self.of_byte[b] = vocab[c]
         self.rank: dict[int, int] = {}
         self.merges: list[tuple[int, int, int]] = []
-        made: dict[int, int] = {}
-        for r, m in enumerate(model["merges"]):
-            left, right = m.split(" ") if isinstance(m, str) else m
+        parts = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = {vocab[left + right]: r for r, (left, right) in enumerate(parts)}
+        for r, (left, right) in enumerate(parts):
             a, b, new = vocab[left], vocab[right], vocab[left + right]
-            if max(made.get(a, -1), made.get(b, -1)) >= r or new in made:
+            if max(made.get(a, -1), made.get(b, -1)) >= r or made[new] != r:
                 raise ValueError(f"{path}: merge {r} doesn't stand behind those it needs")
-            made[new] = r
             self.rank[a << _SHIFT | b] = r
             self.merges.append((a, b, new))
         self.added = {t["content"]: t["id"] for t in added}
