@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and their SQL twins."""
 
-from freshet.llm import bpe, embedding_dedup, lexical_search, license_scan, main_text, mixing, ngram_join, packing, quality, toxicity, url_filters, warc
+from freshet.llm import bpe, divergence, embedding_dedup, lexical_search, license_scan, main_text, mixing, ngram_join, packing, quality, toxicity, url_filters, warc
 
 _NUMBERED = {
     "op1_warc": warc,
@@ -13,6 +13,7 @@ _NUMBERED = {
     "op8_license_scan": license_scan,
     "op9_embedding_dedup": embedding_dedup,
     "op10_quality_rules": quality,
+    "op11_divergence": divergence,
     "op12_lexical_search": lexical_search,
     "op13_bpe": bpe,
 }
