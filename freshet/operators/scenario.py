@@ -74,7 +74,7 @@ def corridors(legs: DataFrame, closed: DataFrame, tolerance: float, proxy: Colum
     ``legs(trip, route, place, segment, lanes, minutes, p)``; routes of the same
     streets in the same order are one, the first.  A route with a closed street
     or a probability of ``tolerance`` or more is dropped.  Capacity is what its
-    narrowest leg holds, ``lanes * (1 - proxy)``, for each minute it takes; the
+    narrowest leg holds, ``lanes * (1 - proxy)``, for each minute it takes, a second at least; the
     shares are in proportion, equal where no corridor has any.
     """
     shut = closed.select(F.col("segment").alias("_shut")).distinct()
@@ -84,7 +84,7 @@ def corridors(legs: DataFrame, closed: DataFrame, tolerance: float, proxy: Colum
     safe = routes.where(~F.col("_closed") & (F.col("worst") < tolerance))
     first = safe.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "corridor").orderBy("route"))).where("_n = 1")
     kept = first.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("route"))).where(F.col("position") <= most)
-    kept = kept.withColumn("capacity", F.greatest(F.col("_least"), F.lit(0.0)) / F.greatest(F.col("minutes"), F.lit(1e-6)))
+    kept = kept.withColumn("capacity", F.greatest(F.col("_least"), F.lit(0.0)) / F.greatest(F.col("minutes"), F.lit(1 / 60)))
     every = Window.partitionBy(*keys)
     total = F.sum("capacity").over(every)
     return kept.withColumn("share", F.when(total > 0, F.col("capacity") / total).otherwise(1 / F.count("*").over(every))).select(*keys, "route", "position", "minutes", "worst", "capacity", "share")

@@ -224,6 +224,14 @@ def emulator_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrence.fit_reservoirs(s, "user_id", "hour", "depth", "rain").withColumns({c: r(c, 6) for c in ("k", "gain", "drain", "mse")})
 
 
+@query()
+def emulator_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reservoirs of each fifth of the users, days as storms: fitted above the base state, judged on the last two days; the tests hold it against a plain one."""
+    e = events(spark, sf_dir).groupBy((F.col("user_id") % 5).alias("place"), F.floor(F.col("hour") / 24).alias("day"), (F.col("hour") % 24).alias("step"))
+    s = e.agg((F.avg("value") / 10).alias("rain"), (F.max("value") / 4).alias("depth"))
+    return recurrence.emulator(s, "place", "day", "step", "depth", "rain").withColumns({c: r(c, 6) for c in ("k", "gain", "drain", "rmse", "csi")})
+
+
 @query("""WITH m AS (SELECT s_suppkey, k AS member, k % 4 AS weather, CAST(('0x' || substr(sha256(s_suppkey || '|' || k), 1, 16)) AS UBIGINT)::DOUBLE / 18446744073709551616.0 AS u FROM supplier CROSS JOIN range(10) t(k)) SELECT s_suppkey, member, weather, round(least(greatest(0.3 + (u - 0.5) * 2, 0), 1), 8) AS beta FROM m""")
 def member_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten members per pipe: weather in turn, a blockage drawn from a hash and clipped."""

@@ -102,7 +102,7 @@ def priced_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH l AS (SELECT o_custkey AS trip, l_orderkey AS route, l_linenumber AS place, l_suppkey AS segment, (l_partkey % 3 + 1) AS lanes, l_quantity / 10 AS minutes, l_discount * 5 AS p, l_tax * 500 AS depth FROM lineitem JOIN orders ON l_orderkey = o_orderkey), c AS (SELECT DISTINCT s_suppkey AS shut FROM supplier WHERE s_suppkey % 13 = 0),
 r AS (SELECT trip, route, string_agg(segment, '>' ORDER BY place, segment) AS corridor, min(lanes / (1 + 2 * greatest(0, least(1, (depth - 5) / 25.0::DOUBLE)))) AS least_left, sum(minutes) AS minutes, max(p) AS worst, bool_or(shut IS NOT NULL) AS closed FROM l LEFT JOIN c ON segment = shut GROUP BY 1, 2),
-f AS (SELECT *, row_number() OVER (PARTITION BY trip, corridor ORDER BY route) AS n FROM r WHERE NOT closed AND worst < 0.45), k AS (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY route) AS position FROM f WHERE n = 1), q AS (SELECT *, least_left / greatest(minutes, 1e-6) AS capacity FROM k WHERE position <= 3)
+f AS (SELECT *, row_number() OVER (PARTITION BY trip, corridor ORDER BY route) AS n FROM r WHERE NOT closed AND worst < 0.45), k AS (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY route) AS position FROM f WHERE n = 1), q AS (SELECT *, least_left / greatest(minutes, 1.0::DOUBLE / 60) AS capacity FROM k WHERE position <= 3)
 SELECT trip, route, CAST(position AS INTEGER) AS position, round(minutes, 6) AS minutes, worst, round(capacity, 8) AS capacity, round(capacity / sum(capacity) OVER (PARTITION BY trip), 8) AS share FROM q""")
 def safe_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders as the routes of a trip: the safe ones, and how its traffic is spread over them."""
