@@ -1,6 +1,6 @@
 """The registered queries by name."""
 
-from freshet.plans import analytics, feeds, forecasting, networks, operations, scenarios
+from freshet.plans import analytics, feeds, forecasting, networks, operations, scenarios, states
 from freshet.plans.catalog import REGISTRY
 
-__all__ = ["REGISTRY", "analytics", "feeds", "forecasting", "networks", "operations", "scenarios"]
+__all__ = ["REGISTRY", "analytics", "feeds", "forecasting", "networks", "operations", "scenarios", "states"]
