@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.plans.catalog import EVENTS, events, query, r, table
-from freshet.sources import runs
+from freshet.sources import cube, runs
 from freshet.sources.storage import shared_folder
 from freshet.streaming import cycles, live, state
 
@@ -99,3 +99,15 @@ def refused_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
             refused.append(flag)
     out = runs.read_runs(spark, folder).groupBy("run", F.col("l_linestatus").alias("status"))
     return out.agg(F.count("*").alias("n"), r(F.sum("l_quantity"), 4).alias("quantity")).withColumn("refused", F.col("run").isin(refused))
+
+
+@query(f"""WITH {EVENTS}, f AS (SELECT hour - (SELECT min(hour) FROM e) AS frame, user_id % 24 AS "row", length(event_type) AS col, max(value) AS v FROM e WHERE value IS NOT NULL GROUP BY ALL)
+SELECT 'all' AS scope, frame, count(*) AS cells, round(sum(v), 6) AS total FROM f GROUP BY 2 UNION ALL SELECT 'from the third day', frame, count(*), round(sum(v), 6) FROM f WHERE frame >= 48 GROUP BY 2""")
+def cube_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as frames by the hour of a grid, written as a cube and read back whole, and from the 48th frame on."""
+    e = events(spark, sf_dir).where("value is not null").select("hour", (F.col("user_id") % 24).cast("int").alias("row"), F.length("event_type").alias("col"), "value")
+    first, last = e.agg(F.min("hour"), F.max("hour")).first()
+    folder = shared_folder(spark)
+    cube.write_cube(e.withColumn("frame", F.col("hour") - first).drop("hour"), folder, 24, 16, last - first + 1, 24)
+    per_frame = lambda d, scope: d.groupBy(F.lit(scope).alias("scope"), "frame").agg(F.count("*").alias("cells"), r(F.sum("value"), 6).alias("total"))
+    return per_frame(cube.read_cube(spark, folder), "all").unionByName(per_frame(cube.read_cube(spark, folder, first=48), "from the third day"))
