@@ -103,13 +103,15 @@ class Model:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, where: str = "true", id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """At most ``most`` labelled documents (doc_id, text, label, pick): those whose doc_id hashes smallest.
 
-    One label for each doc_id: the largest, where a doc_id is labelled twice.
+    One label for each doc_id: the largest, where a doc_id is labelled twice; and
+    one row: that whose text hashes smallest, where a doc_id stands more than once.
     Only the chosen ids are joined to the texts, and their number is bounded.
     """
     one = labels.where(f"{label} is not null and doc_id is not null and ({where})").groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
     picked = one.withColumn("pick", F.xxhash64("doc_id", F.lit(3))).orderBy("pick", "doc_id").limit(most)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text"))
-    return texts.join(F.broadcast(picked), F.col("_id") == F.col("doc_id")).select("doc_id", "text", "label", "pick")
+    met = texts.join(F.broadcast(picked), F.col("_id") == F.col("doc_id"))
+    return met.groupBy("doc_id", "label", "pick").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label", "pick")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", where: str = "true") -> Model:

@@ -382,3 +382,13 @@ def test_extract_keeps_every_row(spark):
     got = [(r.page_id, r.text, r.n_chars) for r in main_text.extract(d).orderBy("page_id").collect()]
     assert len(got) == 3 and got[1][1:] == ("", 0) and got[0][2] == len(got[0][1])
     assert main_text.extract(d.limit(0)).count() == 0
+
+
+def test_labelled_rows_are_bounded_where_ids_repeat(spark):
+    rows = [(i % 20, f"text {i % 3}" if i % 7 else None) for i in range(2000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 3, "doc_id long, toxic int")
+    got = quality.labelled(d, labels, "toxic", 5).collect()
+    assert len(got) == 5 and len({r.doc_id for r in got}) == 5
+    again = quality.labelled(d.repartition(3), labels, "toxic", 5).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
