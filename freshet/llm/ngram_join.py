@@ -52,6 +52,8 @@ SALTS = 32
 FILTER_BITS = 1 << 23
 #: Rows of one token from which its run is cut into parts.
 RUN_ROWS = 50_000
+#: Rows of runs for each task that looks for pairs; Spark sorts them to disk where they don't fit.
+PART_ROWS = 500_000
 #: Tokens that a task counts at a time.
 COUNT_TOKENS = 1_000_000
 #: Names of sets that a task remembers, so as not to emit equal sets again; beyond it starts anew and some come twice.
@@ -152,12 +154,34 @@ def _batch(schema: list[tuple[str, pa.DataType]], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
 
 
+def _whole_runs(batches: Iterator[pa.RecordBatch], keys: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows again, cut so that rows with equal keys stand in one batch; no more than a batch and its last run are held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        starts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+        if len(starts):
+            cut = int(starts[-1]) + 1
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+            continue
+        if held and any(held[0].column(k)[0].as_py() != c[0] for k, c in zip(keys, columns, strict=True)):
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, mark, key, sig, n_shingles, b, c) for every row of ``docs(doc_id, text, mark, key)``, and the frequent tokens, sorted; b and c, the sketches, stand at a set's first row in a task.
 
-    One pass over the texts; the tokens of equal sets count once in a task.  A
-    token that many sets hold is held by many sets of some task, so tasks only
-    report what is frequent among their own.
+    One pass over the texts; the tokens of equal sets count once in a task.
+    Tasks only report what is frequent among their own sets, so a token spread
+    thinly over very many tasks can be missed; the list only orders tokens, and
+    the run of a missed one is streamed and cut like any other.
     """
     schema = [("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("b", pa.binary()), ("c", pa.binary())]
 
@@ -209,9 +233,10 @@ def shared_tokens(docs: DataFrame, frequent: np.ndarray, text: str) -> DataFrame
     """(token, sig, place, mask) for prefix tokens under order A that at least two sets of compatible sizes share.
 
     place is the set's size (upper half) and the token's place in the set.
-    Tasks emit a set once; after the exchange by token they sort their rows and
-    keep the runs.  A frequent token's rows are dealt to SALTS tasks by the
-    set's name, and all of them stay.
+    Tasks emit a set once; after the exchange by token Spark sorts the rows, to
+    disk where they don't fit, and Python streams over them and keeps the runs,
+    with one row in hand however long a run is.  A frequent token's rows are
+    dealt to SALTS tasks by the set's name, and all of them stay.
     """
     spark = docs.sparkSession
     last = spark.sparkContext.broadcast(frequent)
@@ -251,28 +276,34 @@ def shared_tokens(docs: DataFrame, frequent: np.ndarray, text: str) -> DataFrame
             yield rows(*held)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(b.column(i).to_numpy() for i in range(len(out))) for b in batches if b.num_rows]
-        if not parts:
-            return
-        token, sig, place, mask = (np.concatenate(c) for c in zip(*parts, strict=True))
-        parts.clear()
-        order = np.lexsort((sig, place >> 32, token))
-        token, sig, place, mask = token[order], sig[order], place[order], mask[order]
-        first = np.concatenate([[True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])])  # equal sets of other tasks
-        token, sig, place, mask = token[first], sig[first], place[first], mask[first]
-        # in order of size the nearest sizes are neighbours
-        n = place >> 32
-        fits = (token[1:] == token[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
-        keep = np.concatenate([fits, [False]]) | np.concatenate([[False], fits]) | is_frequent(token)
-        yield _batch(out, token[keep], sig[keep], place[keep], mask[keep])
+        names = [c for c, _ in out]
+        waiting, fitted = None, False  # the last row, and whether it fits the one before it
+        for batch in batches:
+            batch = batch.select(names)
+            batch = pa.concat_batches([waiting, batch]) if waiting is not None else batch
+            if not batch.num_rows:
+                continue
+            token, sig, n = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy() >> 32
+            first = np.concatenate([[True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])])  # equal sets of other tasks
+            token, n, rows = token[first], n[first], batch.filter(pa.array(first))
+            fits = (token[1:] == token[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])  # in order of size the nearest sizes are neighbours
+            keep = np.concatenate([[fitted], fits]) | np.concatenate([fits, [False]]) | is_frequent(token)
+            waiting, fitted = rows.slice(len(token) - 1), bool(fits[-1]) if len(fits) else fitted
+            keep[-1] = False
+            yield rows.filter(pa.array(keep))
+        if waiting is not None and (fitted or is_frequent(waiting.column(0).to_numpy())[0]):
+            yield waiting
 
     rows = docs.select(text).mapInArrow(prefixes, "token long, sig long, place long, mask long, salt long")
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.rdd.getNumPartitions())  # a task holds its rows in memory
-    return stored(rows.repartition(n_parts, "token", "salt").mapInArrow(runs, "token long, sig long, place long, mask long"))
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.rdd.getNumPartitions())
+    dealt = rows.repartition(n_parts, "token", "salt").sortWithinPartitions("token", F.shiftright("place", 32), "sig")
+    shared = stored(dealt.mapInArrow(runs, "token long, sig long, place long, mask long"))
+    last.destroy()  # the table is written, nothing reads the list again
+    return shared
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """(sig, tokens) of the sets that ``wanted(key, sig)`` names, tokens sorted.
+    """(sig, tokens) of the sets that ``wanted(key, sig)`` names, each once, tokens sorted.
 
     A bit filter of fixed size over the wanted keys thins the texts as they are
     read; beyond its size it lets more through, never less, and the join with
@@ -309,7 +340,10 @@ def token_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
                 yield _batch(schema, *zip(*rows, strict=True))
 
     marked = docs.select("key", text, F.pmod("key", F.lit(FILTER_BITS)).alias("m"))
-    return stored(marked.mapInArrow(run, "key long, sig long, tokens binary").join(wanted, ["key", "sig"]).select("sig", "tokens"))
+    met = marked.mapInArrow(run, "key long, sig long, tokens binary").join(wanted, ["key", "sig"])
+    sets = stored(met.dropDuplicates(["key", "sig"]).select("sig", "tokens"))  # repeated rows stand in many tasks
+    mask.destroy()
+    return sets
 
 
 def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, text: str, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -389,7 +423,8 @@ def candidates(rows: DataFrame, every: bool, seed: int) -> DataFrame:
 
     A run of more than RUN_ROWS rows is cut into k parts by the sets' names.
     Where a set meets one other, parts stand alone; for every pair, a task gets
-    two of the parts and pairs one with the other.
+    two of the parts and pairs one with the other.  Spark sorts the rows, and
+    Python holds one run (two parts of it at most) at a time.
     """
     schema = [("x", pa.int64()), ("y", pa.int64())]
     columns = ("token", "sig", "place", "mask", "comp", "ref", "i", "j", "part", "delta", *(["leads"] if every else []))
@@ -401,18 +436,25 @@ def candidates(rows: DataFrame, every: bool, seed: int) -> DataFrame:
         return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (np.minimum(rest, other_rest) >= need) & (both & 0xFFFFFFFF != 0) & (both >> 32 != 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(b.column(c).to_numpy() for c in range(plain)) + tuple(_fixed(b.column(c)) for c in range(plain, len(columns))) for b in batches if b.num_rows]
-        if not parts:
-            return
-        token, sig, place, mask, comp, ref, i, j, part, delta, *more = (np.concatenate(c) for c in zip(*parts, strict=True))
-        parts.clear()
-        order = np.lexsort((sig, place >> 32, j, i, token))
-        token, sig, place, mask, comp, ref, i, j, part, delta = (c[order] for c in (token, sig, place, mask, comp, ref, i, j, part, delta))
-        leads = more[0][order] if every else None
+        xs: list[np.ndarray] = []
+        ys: list[np.ndarray] = []
+        held = 0
+        for batch in _whole_runs(batches, tuple(columns.index(c) for c in ("token", "i", "j"))):
+            held += met_in(batch, xs, ys)
+            if held >= 1 << 20:
+                yield distinct(xs, ys)
+                xs, ys, held = [], [], 0
+        yield distinct(xs, ys)
+
+    def met_in(batch: pa.RecordBatch, xs: list[np.ndarray], ys: list[np.ndarray]) -> int:
+        """Adds the pairs of whole runs to ``xs`` and ``ys`` and says how many they are."""
+        token, sig, place, mask, comp, ref, i, j, part = (batch.column(c).to_numpy() for c in range(plain))
+        delta, *more = (_fixed(batch.column(c)) for c in range(plain, len(columns)))
+        leads = more[0] if every else None
         n, pos = place >> 32, place & 0xFFFFFFFF
         new = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         starts = np.flatnonzero(np.concatenate([[True], new]))
-        xs, ys, held = [], [], 0
+        held = 0
         for a, z in zip(starts, np.append(starts[1:], len(token)), strict=True):
             s, m, k, bits, rest = sig[a:z], n[a:z], comp[a:z], mask[a:z], n[a:z] - pos[a:z]
             if every:
@@ -446,26 +488,25 @@ def candidates(rows: DataFrame, every: bool, seed: int) -> DataFrame:
                 xs.append(s[fit])
                 ys.append(s[partner[fit]])
                 held += int(fit.sum())
-            if held >= 1 << 20:
-                yield distinct(xs, ys)
-                xs, ys, held = [], [], 0
-        yield distinct(xs, ys)
+        return held
 
     def distinct(xs: list[np.ndarray], ys: list[np.ndarray]) -> pa.RecordBatch:
         x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (xs, ys))
         pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
         return _batch(schema, pair[:, 0], pair[:, 1])
 
-    large = rows.groupBy("token").agg(F.count("*").alias("_rows")).where(F.col("_rows") > RUN_ROWS)
-    dealt = rows.join(large.select("token", F.ceil(F.col("_rows") / RUN_ROWS).alias("_k")), "token", "left")
+    large = stored(rows.groupBy("token").agg(F.count("*").alias("_rows")).where(F.col("_rows") > RUN_ROWS).withColumn("_k", F.ceil(F.col("_rows") / RUN_ROWS)))
+    n_rows = rows.count() + (large.agg(F.coalesce(F.sum(F.col("_rows") * F.col("_k")), F.lit(0))).first()[0] if every else 0)
+    dealt = rows.join(large.select("token", "_k"), "token", "left")
     dealt = dealt.withColumn("_k", F.coalesce("_k", F.lit(1))).withColumn("part", F.pmod("sig", F.col("_k")))
     if every:
         dealt = dealt.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
         dealt = dealt.withColumns({"i": F.least("part", "_t"), "j": F.greatest("part", "_t")})
     else:
         dealt = dealt.withColumns({"i": F.col("part"), "j": F.col("part")})
-    n_parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    return dealt.select(*columns).repartition(n_parts, "token", "i", "j").mapInArrow(run, "x long, y long").distinct()
+    n_parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // PART_ROWS))
+    runs = dealt.select(*columns).repartition(n_parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", F.shiftright("place", 32), "sig")
+    return runs.mapInArrow(run, "x long, y long").distinct()
 
 
 def _fixed(column: pa.Array) -> np.ndarray:

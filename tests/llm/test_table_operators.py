@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,42 @@ def test_ngram_join_against_every_pair(spark, monkeypatch, frequent, run_rows):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
+def test_runs_longer_than_a_batch_meet_every_pair(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "5")
+    try:
+        rows = corpus()
+        sizes, links = jaccard_links(rows)
+        got = {r.doc_id: r.component_id for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string, sig string")).collect()}
+        assert got == least_labels(sizes, links)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_batches_are_cut_between_runs():
+    rng = random.Random(9)
+    for _ in range(200):
+        keys = sorted((rng.randrange(4), rng.randrange(3)) for _ in range(rng.randrange(30)))
+        whole = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=["a", "b"])
+        batches, at = [], 0
+        while at < len(keys):
+            size = rng.randrange(4)
+            batches.append(whole.slice(at, size))
+            at += size
+        got = [list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)) for b in ngram_join._whole_runs(iter(batches), (0, 1))]
+        assert [k for b in got for k in b] == keys and all(got)
+        assert all(x[-1] != y[0] for x, y in zip(got, got[1:], strict=False))
+
+
+def test_sets_of_repeated_rows_are_fetched_once(spark):
+    texts = ["a b c d e f g h", "other words that stand in this text here"]
+    d = spark.createDataFrame([(None, t) for t in texts] * 16, "doc_id long, text string").repartition(16).withColumn("key", F.xxhash64("doc_id", "text"))
+    wanted = ngram_join.classes(d.withColumn("mark", F.lit(0).cast("long")))[0].groupBy("sig").agg(F.min("key").alias("key"))
+    got = ngram_join.token_sets(d, wanted, "text").collect()
+    assert sorted(len(r.tokens) // 8 for r in got) == [4, 4] and len({r.sig for r in got}) == 2
+
+
 def test_ngram_join_of_nothing_and_of_rows_without_id(spark):
     assert ngram_join.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     d = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (9, "A b c d e f"), (9, "A b c d e f"), (None, None), (5, "other")], "doc_id long, text string")
