@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -23,7 +23,6 @@ MIN_REVISIT = 100
 #: Compressed bytes after which a writer begins the next file; a reader's task is one file.
 FILE_BYTES = 64 << 20
 _CHUNK = 1 << 16
-_MAX_HEADER = 1 << 20
 SCHEMA = "record_id string, record_type string, target_uri string, page_id long, refers_to long, payload_digest string, payload_bytes long, payload binary"
 _COLUMNS = ("record_id", "record_type", "target_uri", "page_id", "refers_to", "payload_digest", "payload_bytes")
 
@@ -98,8 +97,8 @@ def members(stream: io.RawIOBase) -> Iterator[tuple[int, bytes]]:
 
 
 def parse(data: bytes) -> dict:
-    """The record of one member: headers, framing by Content-Length, digests verified."""
-    at = data.find(b"\r\n\r\n", 0, _MAX_HEADER)
+    """The record of one member: headers up to the blank line, framing by Content-Length, digests verified."""
+    at = data.find(b"\r\n\r\n")
     if at < 0 or not data.startswith(b"WARC/1."):
         raise BadRecord("no WARC header")
     lines = data[:at].decode("utf-8").split("\r\n")[1:]
@@ -175,14 +174,15 @@ class WarcReader(DataSourceReader):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task attempt writes files of its own, hidden until the job commits: lost attempts leave nothing behind."""
+    """Task attempts write files of their own into a folder of this write, hidden until it commits: lost attempts leave nothing behind, and writes to one folder at a time don't meet."""
 
     def __init__(self, uri: str, file_bytes: int) -> None:
         self.uri, self.file_bytes = uri, file_bytes
+        self.attempts = f".attempts-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, path = pafs.FileSystem.from_uri(self.uri)
-        fs.create_dir(f"{path}/.attempts", recursive=True)
+        fs.create_dir(f"{path}/{self.attempts}", recursive=True)
         files: list[tuple[str, str]] = []
         out = None
         written = 0
@@ -190,7 +190,7 @@ class WarcWriter(DataSourceArrowWriter):
             for row in batch.to_pylist():
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
-                    files.append((f"{path}/.attempts/{name}", f"{path}/{name}"))
+                    files.append((f"{path}/{self.attempts}/{name}", f"{path}/{name}"))
                     out, written = fs.open_output_stream(files[-1][0], compression=None), 0
                 data = record(row)
                 out.write(data)
@@ -212,10 +212,9 @@ class WarcWriter(DataSourceArrowWriter):
     def abort(self, messages: list[Written | None]) -> None:
         self._clear(*pafs.FileSystem.from_uri(self.uri))
 
-    @staticmethod
-    def _clear(fs: pafs.FileSystem, path: str) -> None:
-        if fs.get_file_info(f"{path}/.attempts").type != pafs.FileType.NotFound:
-            fs.delete_dir(f"{path}/.attempts")
+    def _clear(self, fs: pafs.FileSystem, path: str) -> None:
+        if fs.get_file_info(f"{path}/{self.attempts}").type != pafs.FileType.NotFound:
+            fs.delete_dir(f"{path}/{self.attempts}")
 
 
 class WarcSource(DataSource):
@@ -245,29 +244,45 @@ def records(pages: DataFrame) -> DataFrame:
     """The records of ``pages(page_id, url, html)``: responses, and revisits of equal payloads.
 
     Of equal payloads of MIN_REVISIT bytes or more, the row with the smallest
-    page_id is the response and the others refer to it; rows that repeat that
-    page_id with that payload are responses too, and with no page_id at all
-    among them all are.  A null html is an empty payload.  Only digests that
-    stand more than once are joined back, so a digest that a third of the rows
-    share is a large side that the engine can split, against one row.
+    page_id is the response and all others refer to it; of rows that repeat that
+    page_id with that payload the one with the smallest url is (null last), and
+    of rows equal in all three one.  With no page_id among them all are
+    responses.  A null html is an empty payload.  Only digests that stand more
+    than once are joined back, so a digest that a third of the rows share is a
+    large side that the engine can split, against one row.  Rows equal to a
+    response are few or one page's: they are kept once and written as often as
+    they stood.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.col("url").alias("target_uri"), html.alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    again = rows.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy(F.col("payload_digest").alias("_digest"))
-    first = stored(again.agg(F.count("*").alias("_n"), F.min("page_id").alias("_first")).where("_n > 1").drop("_n"))
+    place = F.struct(F.col("page_id"), F.col("target_uri").isNull().alias("no_uri"), "target_uri")
+    long_enough = rows.where((F.col("payload_bytes") >= MIN_REVISIT) & F.col("page_id").isNotNull())
+    everyone = rows.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy(F.col("payload_digest").alias("_digest")).agg(F.count("*").alias("_n"), F.min("page_id").alias("_first"))
+    where = long_enough.groupBy(F.col("payload_digest").alias("_digest"), place.alias("_place")).agg(F.count("*").alias("_same"))
+    least = where.groupBy("_digest").agg(F.min(F.struct("_place", "_same")).alias("_least"))
+    first = stored(everyone.where("_n > 1 and _first is not null").join(least, "_digest").select("_digest", "_first", F.col("_least._place.target_uri").alias("_uri"), F.col("_least._same").alias("_same")))
     met = rows.join(first, F.col("payload_digest") == F.col("_digest"), "left")
-    revisit = F.col("_first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("_first")))
-    return met.select(
-        F.uuid().alias("record_id"),
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        "target_uri",
-        "page_id",
-        F.when(revisit, F.col("_first")).alias("refers_to"),
-        "payload_digest",
-        "payload_bytes",
-        F.when(~revisit, F.col("payload")).alias("payload"),
-    )
+    leads = (F.col("page_id") == F.col("_first")) & F.col("target_uri").eqNullSafe(F.col("_uri"))
+
+    def as_records(part: DataFrame, revisit: Column) -> DataFrame:
+        return part.select(
+            F.uuid().alias("record_id"),
+            F.when(revisit, "revisit").otherwise("response").alias("record_type"),
+            "target_uri",
+            "page_id",
+            F.when(revisit, F.col("_first")).alias("refers_to"),
+            "payload_digest",
+            "payload_bytes",
+            F.when(~revisit, F.col("payload")).alias("payload"),
+        )
+
+    equal = F.coalesce(leads & (F.col("_same") > 1), F.lit(False))
+    plain = as_records(met.where(~equal), F.col("_first").isNotNull() & ~F.coalesce(leads, F.lit(False)))
+    if first.where("_same > 1").isEmpty():
+        return plain
+    once = met.where(equal).dropDuplicates(["payload_digest"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_same"))))
+    return plain.unionByName(as_records(once, F.col("_copy") > 1))
 
 
 def write(recs: DataFrame, uri: str) -> None:
@@ -287,9 +302,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-f AS (SELECT payload_digest, min(page_id) AS page FROM d WHERE payload_bytes >= {MIN_REVISIT} GROUP BY payload_digest HAVING count(*) > 1)
-SELECT d.page_id, d.payload_bytes, d.payload_digest,
-       CASE WHEN d.page_id > f.page THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN d.page_id > f.page THEN f.page END AS refers_to
-FROM d LEFT JOIN f USING (payload_digest)"""
+WITH d AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, payload_bytes >= {MIN_REVISIT} AND min(page_id) OVER (PARTITION BY payload_digest) IS NOT NULL
+                AND row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS LAST) > 1 AS again,
+             min(page_id) OVER (PARTITION BY payload_digest) AS page FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN page END AS refers_to
+FROM f"""

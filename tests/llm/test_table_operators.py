@@ -232,12 +232,42 @@ def test_archives_hold_what_was_written(spark):
     want = {p: (h or "").encode() for p, _, h in pages()}
     for r in got:
         assert r.payload_digest == hashlib.sha256(want[r.page_id]).hexdigest() and r.payload_bytes == len(want[r.page_id])
-        assert (r.record_type, r.refers_to) == (("revisit", 1) if r.page_id in (3, 7) else ("response", None))
+        assert (r.record_type, r.refers_to) == (("revisit", 1) if r.page_id in (3, 7) or r.target_uri == pages()[1][1] else ("response", None))
         assert r.payload == (None if r.record_type == "revisit" else want[r.page_id])
     assert {(r.page_id, r.target_uri) for r in got} == {(p, u) for p, u, _ in pages()}
     assert warc.read(spark, shared.shared_dir(spark)).count() == 0
 
 
+def test_one_response_for_each_digest(spark):
+    big, other = "x" * 200, "y" * 200
+    rows = [(4, "u", big)] * 6 + [(4, None, big), (9, "a", big), (None, "a", big)] + [(None, "n", other)] * 3 + [(2, None, "z" * 200)] * 2
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = warc.records(d).collect()
+    kinds = lambda page: sorted((r.record_type, r.refers_to, r.payload is None) for r in got if r.payload_digest == hashlib.sha256(page.encode()).hexdigest())
+    assert kinds(big) == [("response", None, False)] + [("revisit", 4, True)] * 8
+    assert kinds(other) == [("response", None, False)] * 3
+    assert kinds("z" * 200) == [("response", None, False), ("revisit", 2, True)]
+    assert len({r.record_id for r in got}) == len(rows) and [r.page_id for r in got if r.record_type == "response" and r.refers_to is None and r.page_id == 4] == [4]
+
+
+def test_headers_of_any_length_and_writes_side_by_side(spark, tmp_path):
+    uri = shared.shared_dir(spark) + "/archives"
+    long = spark.createDataFrame([(1, "http://a/" + "x" * 1_200_000, "short")], "page_id long, url string, html string")
+    warc.write(warc.records(long), uri)
+    one, two = warc.WarcWriter(f"file://{tmp_path}", 1 << 20), warc.WarcWriter(f"file://{tmp_path}", 1 << 20)
+    batch = pa.RecordBatch.from_pylist([row()])
+    first, second = one.write(iter([batch])), two.write(iter([batch]))
+    lost = one.write(iter([batch]))
+    assert lost.files != first.files
+    one.commit([first])
+    two.commit([second, None])
+    assert warc.read(spark, f"file://{tmp_path}").count() == 2 and sorted(x.name for x in tmp_path.iterdir()) == sorted(f.rsplit("/", 1)[1] for m in (first, second) for _, f in m.files)
+    (r,) = warc.read(spark, uri).collect()
+    assert len(r.target_uri) == 1_200_009 and r.payload == b"short"
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.records(empty).count() == 0
+
+
 def row(payload=b"data"):
     return {"record_id": "x", "record_type": "response", "target_uri": "u", "page_id": 1, "refers_to": None, "payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
 
@@ -321,7 +351,8 @@ def test_mix_against_a_plain_one(spark):
     rng = random.Random(12)
     rows = [(i, rng.choice("aab") if i % 9 else None, rng.randint(0, 40), rng.choice([0.05, 0.3, 1.0])) for i in range(900)]
     d = spark.createDataFrame(rows, "doc_id long, source string, size long, quality_weight double")
-    keyed = d.select("doc_id", ((F.pmod(F.xxhash64("doc_id", "size", F.lit(17)), F.lit(1 << 52)) + 0.5) / float(1 << 52)).alias("u")).collect()
+    name = F.xxhash64("doc_id", "source", "size", "quality_weight")
+    keyed = d.select("doc_id", ((F.pmod(F.xxhash64(name, F.lit(1).cast("long"), F.lit(17)), F.lit(1 << 52)) + 0.5) / float(1 << 52)).alias("u")).collect()
     u = {r.doc_id: r.u for r in keyed}
     total = 1.5 * sum(r[2] for r in rows)
     weight = {"a": 3.0, "b": 1.0, None: 2.0}
@@ -349,6 +380,22 @@ def test_mix_against_a_plain_one(spark):
         mixing.BUCKET_ROWS = before
 
 
+def test_rows_that_look_alike_spread_and_reruns_agree(spark):
+    copies = spark.createDataFrame([(None, "s", 5, 1.0)] * 3000 + [(7, "s", 5, 1.0)] * 3000 + [(i, "t", 5, 1.0) for i in range(3000)], "doc_id long, source string, size long, quality_weight double")
+    d = spark.createDataFrame([(7, f"text {i} x", "s" if i % 3 else None) for i in range(40)] + [(None, "same x y", "s")] * 9, "doc_id long, text string, source string")
+    runs = [sorted(map(str, mixing.stage(d.repartition(k)).collect())) for k in (1, 7)]
+    assert runs[0] == runs[1] and len(runs[0]) > 49
+    got = mixing.mix(copies, weights=(1.0, 3.0)).groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.sum("taken").alias("taken")).collect()
+    of = {r.doc_id: r for r in got if r.source == "s"}
+    assert sum(r.n for r in got) == 9000 and 0.8 < of[None].taken / of[7].taken < 1.25 and of[None].taken + of[7].taken == pytest.approx(9000 * 5 * 1.5 - 2 * 3000 * 5, abs=5)  # t stops at its cap, s gets the rest
+
+
+def test_weights_tell_prose_from_noise(spark):
+    texts = ["a plain line of prose that says a few things\nand another line of it", "### $$$ {{}} ||| <<<>>>", "12345 67890 12 34 5678", "SHOUTED WORDS AND NOTHING ELSE", "x" * 300, "again\n" * 30, "", None]
+    got = [r.quality_weight for r in mixing.with_size_and_weight(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")).orderBy("i").collect()]
+    assert got[0] == 1.0 and got[6] == got[7] == 1.0 and all(0.05 <= w < 0.75 for w in got[1:6])
+
+
 def test_better_documents_are_likelier(spark):
     rows = [(i, "s", 10, 1.0 if i % 2 else 0.1) for i in range(2000)] + [(10_000 + i, "t", 10, 1.0) for i in range(20_000)]
     d = spark.createDataFrame(rows, "doc_id long, source string, size long, quality_weight double")
