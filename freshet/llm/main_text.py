@@ -34,7 +34,9 @@ CLOSES = {
     "p": frozenset({"p"}), "li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}),
     "tr": frozenset({"tr", "td", "th", "p"}), "td": frozenset({"td", "th", "p"}), "th": frozenset({"td", "th", "p"}), "option": frozenset({"option"}),
 }
-FURNITURE_TAGS = frozenset("head nav footer aside form button dialog menu object canvas audio video map label fieldset".split())
+FURNITURE_TAGS = frozenset("head nav footer aside button dialog menu object canvas audio video map".split())
+#: Elements that are furniture unless they hold the page's article.
+DOUBTFUL_TAGS = frozenset("form label fieldset".split())
 FURNITURE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner billboard sponsor sponsored promo promotion navigation nav navbar menu breadcrumb breadcrumbs pagination pager toolbar"
     " sidebar aside widget footer header masthead topbar cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login search"
@@ -49,13 +51,18 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PIECES = HEADINGS | frozenset("p li pre blockquote ul ol table".split())
 
 
+#: Elements that in an article are furniture by a strong name only.
+CAPTIONED = HEADINGS | {"figure", "figcaption"}
+
+#: An element of a doubtful tag or name that holds this share of the page's path weight is no furniture.
+HELD = 0.8
 #: A path whose fused ratio is below this share of the ratios' deviation is no content of its own.
 SPREAD = 0.5
 
 
 @dataclass
 class Element:
-    """An element of a page: its parent (-1: none), depth, tag, tag path, whether it or one around it is furniture, whether it says that it is content, and the depth of the innermost one that says so."""
+    """An element of a page: its parent (-1: none), depth, tag, tag path, whether it or one around it is furniture, whether it says that it is content, the depth of the innermost one that says so, and the innermost element that may be furniture (-1: none)."""
 
     parent: int
     depth: int
@@ -64,6 +71,7 @@ class Element:
     furniture: bool
     content: bool
     content_depth: int
+    doubt: int = -1
 
 
 @dataclass
@@ -91,8 +99,8 @@ def _names(attrs: str) -> list[list[str]]:
     return [[w.lower() for w in _PART.findall(name)] for m in _NAMED.findall(attrs) for name in " ".join(m).split()]
 
 
-def _is_furniture(names: list[list[str]]) -> bool:
-    """Whether an element is called by a furniture name.
+def _furniture_names(names: list[list[str]]) -> set[str]:
+    """The furniture names that an element is called by.
 
     ``has-sidebar`` and ``sidebar-right`` say how a page is laid out, and
     ``entry-header`` holds an article's title; neither counts.  A content name
@@ -101,7 +109,8 @@ def _is_furniture(names: list[list[str]]) -> bool:
     called = [set(w) for w in names if w and not FURNITURE_NAMES.isdisjoint(w) and w[0] not in ("has", "with", "no", "is") and w[-1] not in ("left", "right", "layout")]
     called = [w for w in called if not ("header" in w and w & CONTENT_NAMES)]
     content = any(w and not CONTENT_NAMES.isdisjoint(w) and FURNITURE_NAMES.isdisjoint(w) for w in names)
-    return bool(called) and (not content or any(w & STRONG_NAMES for w in called))
+    found = {x for w in called for x in w if x in FURNITURE_NAMES}
+    return found & STRONG_NAMES if content else found
 
 
 def _is_hidden(attrs: str) -> bool:
@@ -128,7 +137,9 @@ def parse(page: str) -> Page:
 
     Elements know their parent and whether furniture is around them, and open
     tags are counted, so the work is in proportion to the page however deep it
-    is nested.
+    is nested.  A label in a paragraph outside any form is inline.  Elements of
+    a strong name or a furniture tag are furniture; those of a doubtful tag or
+    of another furniture name are in doubt.
     """
     out = Page([], [], [])
     named: dict[tuple[int, str], int] = {}
@@ -164,7 +175,12 @@ def parse(page: str) -> Page:
         if not tag:
             parts.append(" " if m["raw"] else "")
             continue
-        if tag in INLINE:
+        if tag == "label":
+            within = out.elements[stack[-1]].tag in PIECES if stack else False
+            inline = not open_tags["label"] and (bool(m["end"]) or (within and not open_tags["form"]))
+        else:
+            inline = tag in INLINE
+        if inline:
             if tag == "a":
                 link_depth = max(0, link_depth + (-1 if m["end"] else 1))
             elif tag == "br":
@@ -183,20 +199,23 @@ def parse(page: str) -> Page:
             close()
         attrs = m["attrs"]
         names = _names(attrs)
-        inside = any(open_tags[t] for t in CONTENT_TAGS)
-        called = tag not in ("html", "body") and _is_furniture(names)
-        if called and tag in CONTENT_TAGS:  # an article called by a furniture name is one only as a comment
-            called = any(not {"comment", "comments", "reply", "replies"}.isdisjoint(w) for w in names)
-        furniture = tag in FURNITURE_TAGS or (tag == "header" and not inside) or called or _is_hidden(attrs)
         parent, content, depth = stack[-1] if stack else -1, _is_content(tag, names), len(stack)
         around = out.elements[parent] if stack else Element(-1, -1, "", -1, False, False, -1)
+        inside = any(open_tags[t] for t in CONTENT_TAGS)
+        called = _furniture_names(names) if tag not in ("html", "body") else set()
+        if tag in CAPTIONED and (inside or around.content_depth >= 0):
+            called &= STRONG_NAMES
+        if called and tag in CONTENT_TAGS:  # an article called by a furniture name is one only as a comment
+            called &= {"comment", "comments", "reply", "replies"}
+        furniture = tag in FURNITURE_TAGS or (tag == "header" and not inside) or bool(called & STRONG_NAMES) or _is_hidden(attrs)
+        doubt = len(out.elements) if called or tag in DOUBTFUL_TAGS else around.doubt
         label = (around.path, ".".join([tag, *sorted({w for n in names for w in n})]))
         if label not in named:
             named[label] = len(out.paths)
             out.paths.append(label)
         stack.append(len(out.elements))
         open_tags[tag] += 1
-        out.elements.append(Element(parent, depth, tag, named[label], furniture or around.furniture, content, depth if content else around.content_depth))
+        out.elements.append(Element(parent, depth, tag, named[label], furniture or around.furniture, content, depth if content else around.content_depth, doubt))
     add(page[at:])
     flush()
     return out
@@ -233,22 +252,58 @@ def path_weights(page: Page, blocks: list[Block]) -> tuple[list[float], list[flo
     return [w if w >= least else 0.0 for w in weights], [plain[key(b)] for b in blocks]
 
 
+def without_furniture(page: Page) -> list[Block]:
+    """The blocks outside furniture.
+
+    An element in doubt is no furniture if it holds most of the weight of all
+    paths outside plain furniture, has an element in it that says that it is
+    content, or two blocks of prose at least, and no such element has text
+    outside those in doubt.
+    """
+    elements = page.elements
+    nodes = [b for b in page.blocks if b.element < 0 or not elements[b.element].furniture]
+    doubt = [elements[b.element].doubt if b.element >= 0 else -1 for b in nodes]
+    if max(doubt, default=-1) < 0:
+        return nodes
+    sure = [b for b, e in zip(nodes, doubt, strict=True) if e < 0]
+    if any(b.element >= 0 and elements[b.element].content_depth >= 0 for b in sure):
+        return sure
+    weight, prose = defaultdict(float), Counter()
+    for b, e, w in zip(nodes, doubt, path_weights(page, nodes)[0], strict=True):
+        weight[e] += w
+        inner = elements[b.element].content_depth if b.element >= 0 else -1
+        said = e >= 0 and inner > elements[e].depth
+        prose[e] += 2 if said else 2 * b.link_chars < len(b.text) and any(x in b.text for x in ".!?;")
+    total = sum(weight.values())
+    for e in range(len(elements) - 1, -1, -1):  # an element stands after the one around it
+        up = elements[elements[e].parent].doubt if elements[e].parent >= 0 else -1
+        if elements[e].doubt == e and up >= 0:
+            weight[up] += weight[e]
+            prose[up] += prose[e]
+    held = {e for e in weight if e < 0 or (weight[e] >= HELD * total and prose[e] >= 2)}
+    return [b for b, e in zip(nodes, doubt, strict=True) if e in held]
+
+
 def main_text(page: str) -> str:
     """The article's blocks in page order, joined by one space.
 
     ``path_weights`` says which tag paths are content; furniture (by element or
-    name) is none whatever its paths weigh.  The element that holds the content
+    name) is none whatever its paths weigh, but a form or an element of a weak
+    furniture name that holds most of the weight is none
+    (``without_furniture``).  The element that holds the content
     paths' weight, from the root down the child with most of it, is the
     content's.  The way down ends at the first article, main or element with a
     content name.  From where it ended it goes back up to the outermost element
     whose other children hold blocks like the content (past a content element
     only other content elements count).  Below it every block is kept but for
     furniture and paths made of links, so that short paragraphs stay; where the
-    content has no element of its own, only content paths stay.
+    content has no element of its own, only content paths stay.  Links inside an
+    element that says that it is content stay where prose other than its main
+    heading comes before them and prose follows, or where a colon announces them.
     """
     tree = parse(page)
     elements = tree.elements
-    nodes = [b for b in tree.blocks if b.element < 0 or not elements[b.element].furniture]
+    nodes = without_furniture(tree)
     if not nodes:
         return ""
     weights, plain = path_weights(tree, nodes)
@@ -299,7 +354,21 @@ def main_text(page: str) -> str:
             depth = up
             break
     a, z = span(depth - 1)
-    kept = [i for i in range(a, z) if not lines[i]] or list(range(a, z))
+    prose = [i for i in range(a, z) if not lines[i]]
+    kept, before = [], -1
+    for i in range(a, z):
+        e = elements[nodes[i].element] if nodes[i].element >= 0 else None
+        if not lines[i]:
+            before = i
+        elif not own or before < 0 or e is None or e.content_depth < 0:
+            continue
+        else:
+            lead = nodes[before]
+            titled = lead.element >= 0 and elements[lead.element].tag == "h1"
+            if titled or not (i < prose[-1] or lead.text.endswith(":")):
+                continue
+        kept.append(i)
+    kept = kept or list(range(a, z))
     if not depth or elements[chain[depth - 1]].tag in ("html", "body"):
         mean = sum(weights[i] for i in kept) / len(kept)
         spread = math.sqrt(sum((weights[i] - mean) ** 2 for i in kept) / len(kept))

@@ -340,6 +340,42 @@ def test_hidden_elements_go(attrs):
     assert main_text.main_text(f"<article><p>One, two; three.</p><div {attrs}><p>Gone, all; of it.</p></div></article>") == "One, two; three."
 
 
+@pytest.mark.parametrize(
+    ("around", "inner"),
+    [
+        ("<form action=/x>{}</form>", "<article>{}</article>"), ("<form>{}</form>", "{}"), ("<form><div class=wrap>{}</div></form>", "<div>{}</div>"), ("{}", "<div class='social-science'>{}</div>"),
+        ("{}", "<section class=legal>{}</section>"), ("<div class='search-results'>{}</div>", "<main>{}</main>"), ("<form>{}</form>", "<div class=legal>{}</div>"), ("<fieldset class=popup>{}</fieldset>", "<div>{}</div>"),
+    ],
+)
+def test_furniture_around_the_whole_article_is_none(around, inner):
+    body, texts = _paragraphs("A", "B", "C")
+    page = f"<html><body><nav><a href=/>Home</a></nav>{around.format(inner.format('<h1>Head</h1>' + body))}<div class=comments><p>Reader, liked; it.</p></div><footer>Me.</footer></body></html>"
+    assert main_text.main_text(page) == " ".join(["Head", *texts])
+
+
+def test_doubtful_elements_beside_the_article_go():
+    body, texts = _paragraphs("A", "B", "C")
+    for beside in ("<form><p>Mail us, now; please. Do.</p><p>Or call, at once. Do.</p></form>", "<div class=legal><p>Rights, all; ours. Yes.</p></div>", "<div class=notice>{}</div>".format("<p>Long, long; notice. Read it.</p>" * 30)):
+        assert main_text.main_text(f"<article>{body}</article>{beside}") == " ".join(texts)
+        assert main_text.main_text(f"<article>{body}{beside}</article>") == " ".join(texts)
+    assert main_text.main_text("<form><label>Name</label><input><p>Fill it in.</p></form>") == ""
+    assert main_text.main_text("<div class=notice><p>We moved.</p></div>") == ""
+
+
+def test_parts_of_an_article_stay():
+    one, two = "<p>One, two; three. Four.</p>", "<p>Five, six; seven. Eight.</p>"
+    says = "One, two; three. Four. {} Five, six; seven. Eight."
+    links = "<ul><li><a href=a>Alpha</a></li><li><a href=b>Beta</a></li></ul>"
+    assert main_text.main_text(f"<article><h1 class='page-header'>Head</h1>{one}{two}</article>") == "Head " + says.format("").replace("  ", " ")
+    assert main_text.main_text(f"<article>{one}{links}{two}</article>") == says.format("Alpha Beta")
+    assert main_text.main_text(f"<article>{one}{two}<p>See:</p>{links}</article>") == says.format("").replace("  ", " ") + " See: Alpha Beta"
+    assert main_text.main_text(f"<article><h1>Head</h1>{links}{one}{two}{links}</article>") == "Head " + says.format("").replace("  ", " ")
+    assert main_text.main_text(f"<article>{one}<figure class='media social-image'><figcaption>A view.</figcaption></figure>{two}</article>") == says.format("A view.")
+    assert main_text.main_text(f"<article>{one}<p>Of <label>inline</label> text.</p>{two}</article>") == says.format("Of inline text.")
+    for gone in ("<h3 class='related-title'>More</h3>", "<figure class=ad><figcaption>Buy.</figcaption></figure>", "<form><p>Your <label>name</label></p></form>"):
+        assert main_text.main_text(f"<article>{one}{gone}{two}</article>") == says.format("").replace("  ", " ")
+
+
 def test_path_weights_against_a_plain_version():
     rng = np.random.default_rng(11)
     for _ in range(60):
