@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.operators.temporal import longest_island
@@ -29,28 +29,27 @@ def queue(alerts: DataFrame, key: str, most: int = 60) -> DataFrame:
     return alerts.orderBy("severity", F.desc("peak"), key).limit(most)
 
 
-def next_state(state: Column, cycles: Column, p: Column, raise_at: float = 0.6, clear_at: float = 0.3) -> Column:
-    """State and cycles after one more cycle with probability p: none, pending or raised; ``event`` says what changed."""
-    new = lambda s, c, e: F.struct(F.lit(s).alias("state"), F.lit(c).cast("int").alias("cycles") if not isinstance(c, Column) else c.cast("int").alias("cycles"), F.lit(e).cast("string").alias("event"))
-    high = F.when(state == "raised", new("raised", cycles + 1, None)).when((state == "pending") & (cycles + 1 >= 2), new("raised", cycles + 1, "raised")).otherwise(new("pending", F.when(state == "pending", cycles + 1).otherwise(F.lit(1)), None))
-    mid = F.when(state == "raised", new("raised", cycles + 1, None)).otherwise(new("none", 0, None))
-    low = F.when(state == "raised", new("none", 0, "cleared")).otherwise(new("none", 0, None))
-    return F.when(p >= raise_at, high).when(p > clear_at, mid).otherwise(low)
+def hysteresis(df: DataFrame, keys: Sequence[str], cycle: str, p: str, gap: int | None = None, raise_at: float = 0.6, clear_at: float = 0.3) -> DataFrame:
+    """State of each key after each of its cycles: none, pending or raised; ``event`` says what changed.
 
-
-def hysteresis(df: DataFrame, keys: Sequence[str], cycle: str, p: str, gap: int | None = None) -> DataFrame:
-    """State of each key after each of its cycles.
-
-    A key's cycles are folded in order (a day has some hundreds).  A step of
-    more than ``gap`` between cycles starts anew.
+    A second cycle in a row at ``raise_at`` or more raises; a cycle at
+    ``clear_at`` or less, or without p, clears; between them only what is raised
+    stays.  A step of more than ``gap`` between cycles starts anew.  Cycles that
+    clear and steps over the gap begin a stretch, and within a stretch the first
+    second cycle in a row tells all, so windows are enough: no key's rows are
+    gathered.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(cycle).alias("c"), F.col(p).cast("double").alias("p"))))
-    start = F.struct(F.lit("none").alias("state"), F.lit(0).alias("cycles"), F.lit(None).cast("long").alias("c"), F.array().cast("array<struct<c:bigint,state:string,cycles:int,event:string>>").alias("all"))
-
-    def step(a: Column, x: Column) -> Column:
-        stale = F.lit(False) if gap is None else F.coalesce(x["c"] - a["c"] > gap, F.lit(False))
-        s = next_state(F.when(stale, "none").otherwise(a["state"]), F.when(stale, 0).otherwise(a["cycles"]), x["p"])
-        return F.struct(s["state"].alias("state"), s["cycles"].alias("cycles"), x["c"].cast("long").alias("c"), F.concat(a["all"], F.array(F.struct(x["c"].cast("long").alias("c"), s["state"].alias("state"), s["cycles"].alias("cycles"), s["event"].alias("event")))).alias("all"))
-
-    folded = df.groupBy(*keys).agg(F.aggregate(rows, start, step, lambda a: a["all"]).alias("_all"))
-    return folded.select(*keys, F.explode("_all").alias("_x")).select(*keys, F.col("_x.c").alias(cycle), "_x.state", "_x.cycles", "_x.event")
+    w, value = Window.partitionBy(*keys).orderBy(cycle, p), F.col(p).cast("double")
+    rows = df.select(*keys, F.col(cycle).cast("long").alias(cycle), value.alias(p))
+    high = F.coalesce(value >= raise_at, F.lit(False))
+    stale = F.lit(False) if gap is None else F.coalesce(F.col(cycle) - F.lag(cycle).over(w) > gap, F.lit(False))
+    rows = rows.withColumns({"_high": high, "_low": ~high & F.coalesce(value <= clear_at, F.lit(True)), "_stale": stale})
+    rows = rows.withColumn("_stretch", F.sum((F.col("_low") | F.col("_stale")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy(*keys, "_stretch").orderBy(cycle, p)
+    rows = rows.withColumns({"_n": F.row_number().over(within), "_again": F.col("_high") & F.lag("_high", 1, False).over(within)})
+    rows = rows.withColumn("_since", F.min(F.when(F.col("_again"), F.col("_n"))).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    state = F.when(F.col("_since").isNotNull(), "raised").when(F.col("_high"), "pending").otherwise("none")
+    rows = rows.withColumns({"state": state, "cycles": F.coalesce(F.col("_n") - F.col("_since") + 2, F.col("_high").cast("int"))})
+    cleared = F.col("_low") & ~F.col("_stale") & (F.lag("state").over(w) == "raised")
+    event = F.when(F.col("_n") == F.col("_since"), "raised").when(cleared, "cleared")
+    return rows.select(*keys, cycle, "state", "cycles", event.alias("event"))

@@ -1,4 +1,4 @@
-"""Calibration: log-linear fits, bias, gauge errors, scale to a target."""
+"""Calibration: log-linear fits, bias, gauge errors, scale to a target, clusters of one column."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freshet.operators.temporal import numbered
+from freshet.sources.storage import materialised
+
 
 def clamp(c: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
@@ -53,3 +56,34 @@ def rmse_and_csi(df: DataFrame, keys: Sequence[str], truth: str, estimate: str,
         F.sqrt(F.avg(F.pow(F.col(truth) - F.col(estimate), 2))).alias("rmse"),
         F.try_divide(F.count_if(t & e).cast("double"), F.count_if(t | e).cast("double")).alias("csi"),
     )
+
+
+def quantiles(values: DataFrame, column: str, at: Sequence[float]) -> list[float]:
+    """Interpolated quantiles of a whole column, exact: rows are numbered by ranges, and only those beside a quantile reach the driver."""
+    tied = materialised(values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"), F.monotonically_increasing_id().alias("tie")))
+    n = tied.count()
+    if not n:
+        return []
+    places = [(n - 1) * q for q in at]
+    wanted = sorted({int(p) + k for p in places for k in (1, 2)} & set(range(1, n + 1)))
+    value = {x.n: x.v for x in numbered(tied, [], ["v", "tie"]).where(F.col("n").isin(wanted)).select("n", "v").collect()}
+    return [value[int(p) + 1] + (p - int(p)) * (value[min(int(p) + 2, n)] - value[int(p) + 1]) for p in places]
+
+
+def clusters(df: DataFrame, column: str, k: int, most: int = 100, within: float = 0.01) -> DataFrame:
+    """(cluster, centre) of ``k`` centres on a line: from the quantiles, moved to the means of what is nearest until none moves by ``within``.
+
+    Nulls take no part; a centre that nothing is nearest to stays, of equally
+    near ones the lowest takes a value; without values there are no rows.  The
+    column is written once; only the centres are on the driver.
+    """
+    v = materialised(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")))
+    centres = quantiles(v, "v", [(i + 0.5) / k for i in range(k)])
+    for _ in range(most if centres else 0):
+        nearest = F.array_min(F.array(*[F.struct(F.abs(F.col("v") - c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))["i"]
+        means = {x.i: x.m for x in v.groupBy(nearest.alias("i")).agg(F.avg("v").alias("m")).collect()}
+        moved = [means.get(i, c) for i, c in enumerate(centres)]
+        if max(abs(a - b) for a, b in zip(moved, centres, strict=True)) < within:
+            break
+        centres = moved
+    return df.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(centres)], "cluster int, centre double")

@@ -122,7 +122,8 @@ def partitioned_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {EVENTS}, h AS (SELECT user_id, hour, max(value) AS d, avg(CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0.0 END) AS p FROM e GROUP BY 1, 2)
+SELECT user_id, CAST(to_json(list(struct_pack(step := hour, depth_cm := round(d, 1), p := round(p, 2)) ORDER BY hour)) AS VARCHAR) AS series FROM h GROUP BY 1 HAVING max(d) >= 50""")
 def wet_series_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = events(spark, sf_dir).groupBy("user_id", "hour").agg(F.max("value").alias("d"), F.avg((F.col("value") > 50).cast("double")).alias("p"))
     return feeds.wet_json(h, "user_id", "hour", "d", "p", 50.0)

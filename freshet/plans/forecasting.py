@@ -143,15 +143,17 @@ def curve_number_runoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("l_suppkey").agg(r(F.sum("runoff"), 4).alias("runoff"))
 
 
-@query("""WITH g AS (SELECT x::DOUBLE * 500 AS x, y::DOUBLE * 500 AS y, t::DOUBLE AS t FROM range(20) a(x), range(20) b(y), range(0, 60, 5) c(t)),
-c(birth, life, x0, y0, vx, vy, sigma, peak) AS (VALUES (0.0::DOUBLE, 40.0::DOUBLE, 2000.0::DOUBLE, 3000.0::DOUBLE, 60.0::DOUBLE, -20.0::DOUBLE, 1500.0::DOUBLE, 80.0::DOUBLE), (10.0, 45.0, 6000.0, 6000.0, -50.0, 10.0, 1000.0, 50.0))
-SELECT x, y, t, round(2 + coalesce(sum(peak * sin(pi() * (t - birth) / life) * exp(-(pow(x - x0 - vx * (t - birth), 2) + pow(y - y0 - vy * (t - birth), 2)) / (2 * pow(sigma, 2)))), 0), 8) AS rain
-FROM g LEFT JOIN c ON t >= birth AND t <= birth + life GROUP BY 1, 2, 3""")
+@query(f"""WITH {EVENTS}, g AS (SELECT DISTINCT user_id, value AS x, (hour % 24)::DOUBLE * 10 AS y, us / 60000000.0::DOUBLE AS t FROM e),
+c AS (SELECT user_id, us / 60000000.0::DOUBLE AS birth, 2880.0::DOUBLE AS life, value AS x0, 100.0::DOUBLE AS y0, 0.02::DOUBLE AS vx, -0.01::DOUBLE AS vy, 60.0::DOUBLE AS sigma, value / 5 AS peak FROM e WHERE event_type = 'purchase')
+SELECT g.user_id, x, y, t, round(2 + coalesce(sum(peak * sin(pi() * (t - birth) / life) * exp(-(pow(x - x0 - vx * (t - birth), 2) + pow(y - y0 - vy * (t - birth), 2)) / (2 * pow(sigma, 2)))), 0), 6) AS rain
+FROM g LEFT JOIN c ON g.user_id = c.user_id AND t >= birth AND t <= birth + life GROUP BY 1, 2, 3, 4""")
 def storm_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axis = lambda n, end, step=1: spark.range(0, end, step).select(F.col("id").cast("double").alias(n))
-    grid = axis("gx", 20).join(axis("gy", 20)).join(axis("t", 60, 5)).select((F.col("gx") * 500).alias("x"), (F.col("gy") * 500).alias("y"), "t")
-    cells = spark.createDataFrame([(0.0, 40.0, 2000.0, 3000.0, 60.0, -20.0, 1500.0, 80.0), (10.0, 45.0, 6000.0, 6000.0, -50.0, 10.0, 1000.0, 50.0)], "birth double, life double, x0 double, y0 double, vx double, vy double, sigma double, peak double")
-    return recurrence.storm_field(grid, cells, "x", "y", "t", 2.0).withColumn("rain", r("rain"))
+    """Rain at every reading's place and minute under the cells that its gauge's purchases stand for."""
+    e = events(spark, sf_dir).withColumn("t", F.col("us") / 60_000_000.0)
+    grid = e.select("user_id", F.col("value").alias("x"), ((F.col("hour") % 24).cast("double") * 10).alias("y"), "t").distinct()
+    design = {"life": 2880.0, "y0": 100.0, "vx": 0.02, "vy": -0.01, "sigma": 60.0}
+    cells = e.where("event_type = 'purchase'").select("user_id", F.col("t").alias("birth"), F.col("value").alias("x0"), (F.col("value") / 5).alias("peak"), *[F.lit(v).alias(k) for k, v in design.items()])
+    return recurrence.storm_field(grid, cells, "x", "y", "t", 2.0, ["user_id"]).withColumn("rain", r("rain", 6))
 
 
 @query("""WITH RECURSIVE x AS (SELECT DISTINCT l_suppkey AS s, l_partkey + 1000000 AS p FROM lineitem), ed AS (SELECT s AS src, p AS dst FROM x UNION SELECT p, s FROM x),

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freshet.functions import scalar
-from freshet.operators import calibrate, graph, recurrence, spatial, temporal
+from freshet.operators import calibrate, graph, hulls, recurrence, spatial, temporal
 from freshet.plans.catalog import EVENTS, events, query, r, table
 
 
-@query("""WITH x AS (SELECT k AS i, CASE WHEN (k + 0.5) * 5 < 24 THEN (24 - (k + 0.5) * 5)::DOUBLE / 0.4 ELSE ((k + 0.5) * 5 - 24)::DOUBLE / 0.6 END AS x FROM range(12) t(k)), w AS (SELECT i, (0.2::DOUBLE * x + 10) / pow(x + 10, 1.8::DOUBLE) AS w FROM x)
-SELECT i AS block, round(720 * w / (SELECT sum(w) FROM w), 8) AS mm_h FROM w""")
+@query(f"""WITH {EVENTS}, x AS (SELECT k AS i, CASE WHEN (k + 0.5) * 5 < 24 THEN (24 - (k + 0.5) * 5)::DOUBLE / 0.4 ELSE ((k + 0.5) * 5 - 24)::DOUBLE / 0.6 END AS x FROM range(12) t(k)), w AS (SELECT i, (0.2::DOUBLE * x + 10) / pow(x + 10, 1.8::DOUBLE) AS w FROM x),
+d AS (SELECT user_id, CAST(floor(hour / 24.0) AS BIGINT) AS day, sum(value) AS depth FROM e GROUP BY 1, 2) SELECT user_id, day, CAST(i AS INTEGER) AS block, round(12 * depth * w / (SELECT sum(w) FROM w), 6) AS mm_h FROM d CROSS JOIN w""")
 def design_storm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = recurrence.hyetograph(12, 5, 60.0)
-    return spark.createDataFrame(list(enumerate(blocks)), "block long, mm_h double").withColumn("mm_h", r("mm_h"))
+    """Every gauge's rain of a day as a design storm of an hour."""
+    days = events(spark, sf_dir).groupBy("user_id", F.floor(F.col("hour") / 24).alias("day")).agg(F.sum("value").alias("depth"))
+    return recurrence.design_storms(days, "depth", 12, 5).select("user_id", "day", "block", r("mm_h", 6).alias("mm_h"))
 
 
 @query(f"""WITH {EVENTS}, z AS (SELECT event_id, CASE WHEN value > 0 THEN 10 * log10(200 * pow(value, 1.6)) END AS dbz FROM e) SELECT event_id, round(dbz, 8) AS dbz, CAST(floor(dbz / 5) * 5 AS BIGINT) AS class, round(pow(pow(10, dbz / 10) / 200, 1 / 1.6), 6) AS back FROM z""")
@@ -278,14 +279,12 @@ def exposure_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def one_dimensional_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four centres over prices: from the quantiles, moved to their means until none moves; only the centres are on the driver."""
-    v = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("v"))
-    centres = v.agg(F.percentile("v", F.array(*[F.lit((i + 0.5) / 4) for i in range(4)]))).first()[0]
-    for _ in range(100):
-        nearest = F.array_min(F.array(*[F.struct(F.abs(F.col("v") - c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))["i"]
-        means = {x.i: x.m for x in v.groupBy(nearest.alias("i")).agg(F.avg("v").alias("m")).collect()}
-        moved = [means.get(i, c) for i, c in enumerate(centres)]
-        if max(abs(a - b) for a, b in zip(moved, centres, strict=True)) < 0.01:
-            break
-        centres = moved
-    return spark.createDataFrame([(i, float(c)) for i, c in enumerate(centres)], "cluster int, centre double")
+    """Four centres over prices; the tests hold them against a plain version."""
+    return calibrate.clusters(table(spark, sf_dir, "orders"), "o_totalprice", 4)
+
+
+@query()
+def reach_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hull of what each kind of line reaches in quantity and price; the tests hold it against a plain version."""
+    hull = hulls.convex_hulls(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "l_extendedprice")
+    return hull.select("l_returnflag", "l_linestatus", "n_points", "n_corners", r("area", 4).alias("area"))

@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions import scalar
-from freshet.operators import alerts, assign, calibrate, ensemble, graph, quality, recurrence, spatial, temporal, verify
+from freshet.operators import alerts, assign, calibrate, ensemble, graph, hulls, quality, recurrence, spatial, temporal, verify
 
 
 def dicts(df, *order):
@@ -75,6 +76,77 @@ def test_hysteresis_forgets_after_a_gap(spark):
     assert [r["state"] for r in dicts(alerts.hysteresis(df, ["k"], "c", "p", gap=60), "c")] == ["pending", "raised", "none"]
 
 
+def test_hysteresis_against_a_plain_fold(spark):
+    rng = random.Random(8)
+    rows = [(k, c, rng.choice([0.1, 0.3, 0.5, 0.6, 0.9, 0.9, 0.9, None, float("nan")])) for k in ("a", "b", None) for c in sorted(rng.sample(range(400), 120))]
+    for gap in (None, 5):
+        want, state, cycles, last = [], {}, {}, {}
+        for k, c, p in rows:
+            if gap is not None and k in last and c - last[k] > gap:
+                state[k] = "none"
+            s, event = state.get(k, "none"), None
+            if p is not None and not p < 0.6:
+                new = "raised" if s in ("pending", "raised") else "pending"
+                n = cycles[k] + 1 if s != "none" else 1
+                event = "raised" if s == "pending" else None
+            elif p is not None and p > 0.3 and s == "raised":
+                new, n = "raised", cycles[k] + 1
+            else:
+                new, n, event = "none", 0, "cleared" if s == "raised" and (p is None or p <= 0.3) else None
+            state[k], cycles[k], last[k] = new, n, c
+            want.append((k, c, new, n, event))
+        df = spark.createDataFrame(rows, "k string, c long, p double").repartition(3)
+        got = [(x.k, x.c, x.state, x.cycles, x.event) for x in alerts.hysteresis(df, ["k"], "c", "p", gap=gap).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_clusters_against_a_plain_version(spark):
+    rng = np.random.default_rng(5)
+    for values in (rng.normal(0, 50, 300).round(1), np.repeat([1.0, 1.0, 9.0], 7), np.array([4.0]), np.array([])):
+        centres = [float(np.quantile(values, (i + 0.5) / 3)) for i in range(3)] if len(values) else []
+        for _ in range(100 if len(values) else 0):
+            near = np.abs(values[:, None] - np.array(centres)[None]).argmin(axis=1)
+            moved = [values[near == i].mean() if (near == i).any() else c for i, c in enumerate(centres)]
+            if max(abs(a - b) for a, b in zip(moved, centres)) < 0.01:
+                break
+            centres = moved
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3)
+        assert [x.centre for x in calibrate.clusters(df, "v", 3).orderBy("cluster").collect()] == pytest.approx(centres)
+
+
+def test_hulls_against_every_line(spark):
+    rng = np.random.default_rng(9)
+    sets = {"many": rng.integers(0, 30, (200, 2)), "line": np.array([[i, 2 * i] for i in range(9)]), "upright": np.array([[3, i] for i in range(4)]), "one": np.array([[1, 1]] * 3), None: rng.integers(0, 5, (40, 2))}
+    rows = [(k, float(a), float(b)) for k, p in sets.items() for a, b in p]
+    df = spark.createDataFrame([*rows, ("bad", None, 1.0), ("bad", float("nan"), 1.0), ("bad", float("inf"), 1.0)], "k string, x double, y double").repartition(5)
+    got = {x.k: x for x in hulls.convex_hulls(df, ["k"], "x", "y").collect()}
+    assert set(got) == set(sets)
+    for k, p in sets.items():
+        p = np.unique(p, axis=0).astype(float)
+        edges = []  # directed lines with no point on the right
+        for a in p:
+            for b in p:
+                cross = (b[0] - a[0]) * (p[:, 1] - a[1]) - (b[1] - a[1]) * (p[:, 0] - a[0])
+                on = p[cross == 0]
+                if (a != b).any() and (cross >= 0).all() and np.hypot(*(b - a)) == max(np.hypot(*(u - v)) for u in on for v in on):
+                    edges.append((tuple(a), tuple(b)))
+        corners = {a for a, _ in edges} or {tuple(p[0])}
+        assert got[k].n_points == len(sets[k]) and {tuple(c) for c in got[k].corners} == corners and got[k].n_corners == len(corners)
+        assert got[k].area == pytest.approx(abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in edges)) / 2, abs=1e-9)
+    assert hulls.convex_hulls(df.limit(0), ["k"], "x", "y").count() == 0
+
+
+def test_design_storms_and_keyed_cells(spark):
+    d = spark.createDataFrame([("a", 60.0), ("b", 0.0), ("c", None)], "k string, depth double")
+    got = recurrence.design_storms(d, "depth", 12, 5).collect()
+    assert len(got) == 36 and [x.mm_h for x in got if x.k == "a"] == pytest.approx(recurrence.hyetograph(12, 5, 60.0))
+    assert all(x.mm_h == 0 for x in got if x.k == "b") and all(x.mm_h is None for x in got if x.k == "c")
+    cells = spark.createDataFrame([("a", 0.0, 10.0, 0.0, 0.0, 0.0, 0.0, 1.0, 8.0), ("b", 4.0, 3.0, 0.0, 0.0, 0.0, 0.0, 1.0, 6.0)], "k string, birth double, life double, x0 double, y0 double, vx double, vy double, sigma double, peak double")
+    grid = spark.createDataFrame([("a", 0.0, 0.0, 5.0), ("b", 0.0, 0.0, 5.5), ("c", 0.0, 0.0, 5.0)], "k string, x double, y double, t double")
+    rain = {x.k: x.rain for x in recurrence.storm_field(grid, cells, "x", "y", "t", 2.0, ["k"]).collect()}
+    assert rain == pytest.approx({"a": 10.0, "b": 8.0, "c": 2.0})
+
+
 def test_anomaly_needs_every_scored_row(spark):
     rows = [("low", t, 40.0) for t in range(12)] + [("low", 12, 1.0), ("low", 13, 2.0)] + [("half", t, 40.0) for t in range(13)] + [("half", 13, 1.0)] + [("once", t, 40.0) for t in range(12)] + [("once", 13, 1.0)]
     df = spark.createDataFrame([(*r, 40.0) for r in rows], "k string, t long, v double, b double")
