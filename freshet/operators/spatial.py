@@ -16,23 +16,43 @@ def _cells(df: DataFrame, x: str, y: str, size: float, spread: int) -> DataFrame
     return df.withColumn("_cx", F.explode(F.transform(around, lambda d: cx + d))).withColumn("_cy", F.explode(F.transform(around, lambda d: cy + d)))
 
 
-def radius_join(left: DataFrame, right: DataFrame, x: str, y: str, rx: str, ry: str, radius: float) -> DataFrame:
-    """All pairs within ``radius`` (inclusive), with their distance.
+def _dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt over all shuffle partitions: few bytes that make many pairs would else be put together into a task or two."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
-    The side to be passed as ``left`` is the smaller: its rows go to the nine
-    cells around them, the others to their own.
+
+def near_places(left: DataFrame, right: DataFrame, x: str, y: str, rx: str, ry: str, radius: float) -> DataFrame:
+    """(x, y, rx, ry, distance): the places of both sides within ``radius`` (inclusive) of each other, each pair of places once however many rows stand there.
+
+    The side to be passed as ``left`` has fewer places: they go to the nine cells
+    around them, the others to their own.
     """
-    l_rows = _cells(left, x, y, radius, 1)
-    r_rows = _cells(right, rx, ry, radius, 0).withColumnsRenamed({"_cx": "_rcx", "_cy": "_rcy"})
-    d = F.sqrt(F.pow(F.col(x) - F.col(rx), 2) + F.pow(F.col(y) - F.col(ry), 2))
-    met = l_rows.join(r_rows, (F.col("_cx") == F.col("_rcx")) & (F.col("_cy") == F.col("_rcy")))
-    return met.withColumn("distance", d).where(F.col("distance") <= radius).drop("_cx", "_cy", "_rcx", "_rcy")
+    l_at = _dealt(_cells(left.select(x, y).distinct(), x, y, radius, 1), "_cx", "_cy")
+    r_at = _dealt(_cells(right.select(rx, ry).distinct(), rx, ry, radius, 0).withColumnsRenamed({"_cx": "_rcx", "_cy": "_rcy"}), "_rcx", "_rcy")
+    dx, dy = F.col(x) - F.col(rx), F.col(y) - F.col(ry)
+    met = l_at.join(r_at, (F.col("_cx") == F.col("_rcx")) & (F.col("_cy") == F.col("_rcy")))
+    return met.withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") <= radius).select(x, y, rx, ry, "distance")
+
+
+def radius_join(left: DataFrame, right: DataFrame, x: str, y: str, rx: str, ry: str, radius: float, digits: int | None = None) -> DataFrame:
+    """All pairs within ``radius`` (inclusive), with their distance, to ``digits`` if given.
+
+    Pairs of places come first (see ``near_places``), so that rows at one place
+    are measured, and rounded, once.
+    """
+    near = near_places(left, right, x, y, rx, ry, radius)
+    if digits is not None:
+        near = near.withColumn("distance", F.round("distance", digits))
+    met = _dealt(near, x, y).join(left, [x, y]).join(right, [rx, ry])
+    return met.select(*left.columns, *right.columns, "distance")
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, x: str, y: str, rkey: str, rx: str, ry: str, cutoff: float) -> DataFrame:
     """Each left key's nearest right row within ``cutoff``, ties by right key; keys without one have nulls."""
-    near = radius_join(left.select(key, x, y), right.select(rkey, rx, ry), x, y, rx, ry, cutoff)
-    best = near.groupBy(key).agg(F.min(F.struct("distance", rkey)).alias("_b"))
+    first = right.groupBy(rx, ry).agg(F.min(rkey).alias(rkey))
+    near = near_places(left, right, x, y, rx, ry, cutoff).join(first, [rx, ry])
+    place = near.groupBy(x, y).agg(F.min(F.struct("distance", rkey)).alias("_b"))
+    best = left.select(key, x, y).join(place, [x, y]).groupBy(key).agg(F.min("_b").alias("_b"))
     return left.join(best.select(key, F.col(f"_b.{rkey}").alias(rkey), F.col("_b.distance").alias("distance")), key, "left")
 
 
@@ -59,12 +79,15 @@ def overlap_share(near: DataFrame, points: DataFrame, key: str) -> DataFrame:
 def idw(cells: DataFrame, anchors: DataFrame, key: str, x: str, y: str, ax: str, ay: str, residual: str, radius: float, power: float = 2.0, least: float = 1.0) -> DataFrame:
     """Inverse-distance weighted residual per cell: weight ((R - d) / (R d))^p, and a prior of value 0 and weight R^-p.
 
-    Only anchors within the radius weigh anything, so it is a radius join.
+    Only anchors within the radius weigh anything, so it is a radius join; the
+    anchors of a place are added up before it, and cells at one place share its sum.
     """
-    near = radius_join(anchors, cells, ax, ay, x, y, radius)
+    at = anchors.groupBy(ax, ay).agg(F.sum(residual).alias("_r"), F.count("*").alias("_n"))
+    near = near_places(anchors, cells, ax, ay, x, y, radius).join(at, [ax, ay])
     d = F.greatest(F.col("distance"), F.lit(least))
     w = F.pow(F.greatest(F.lit(0.0), (radius - d) / (radius * d)), F.lit(power))
-    got = near.groupBy(key).agg(F.sum(w * F.col(residual)).alias("_wr"), F.sum(w).alias("_w"))
+    place = near.groupBy(x, y).agg(F.sum(w * F.col("_r")).alias("_wr"), F.sum(w * F.col("_n")).alias("_w"))
+    got = cells.select(key, x, y).join(place, [x, y]).groupBy(key).agg(F.sum("_wr").alias("_wr"), F.sum("_w").alias("_w"))
     return cells.join(got, key, "left").withColumn("correction", F.coalesce(F.col("_wr") / (F.col("_w") + radius**-power), F.lit(0.0))).drop("_wr", "_w")
 
 
@@ -77,21 +100,32 @@ def bilinear(points: DataFrame, grid: DataFrame, x: str, y: str, row: str, col:
     return met.groupBy(key).agg((F.sum(F.col(value) * w) / F.nullif(F.sum(w), F.lit(0.0))).alias("sampled"))
 
 
-def near_segments(points: DataFrame, segments: DataFrame, key: str, segment: str, x: str, y: str, radius: float, size: float) -> DataFrame:
-    """(segment, key, distance): points within ``radius`` of a segment from (x1, y1) to (x2, y2), by the distance to its nearest point.
+def near_segments(points: DataFrame, segments: DataFrame, key: str, segment: str, x: str, y: str, radius: float, size: float, digits: int | None = None) -> DataFrame:
+    """(segment, key, distance): points within ``radius`` of a segment from (x1, y1) to (x2, y2), by the distance to its nearest point, to ``digits`` if given.
 
-    A segment goes to the cells of ``size`` that its box, widened by the radius,
-    touches; points to their own.
+    A segment goes to the cells of ``size`` that it comes within the radius of;
+    places of points to their own, once however many points stand there.
     """
     cell = lambda c: F.floor(c / size)
     low, high = lambda a, b: cell(F.least(a, b) - radius), lambda a, b: cell(F.greatest(a, b) + radius)
     wide = segments.withColumn("_sx", F.explode(F.sequence(low("x1", "x2"), high("x1", "x2")))).withColumn("_sy", F.explode(F.sequence(low("y1", "y2"), high("y1", "y2"))))
-    met = points.withColumns({"_px": cell(F.col(x)), "_py": cell(F.col(y))}).join(wide, (F.col("_px") == F.col("_sx")) & (F.col("_py") == F.col("_sy")))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    along = ((F.col(x) - F.col("x1")) * dx + (F.col(y) - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
-    d = F.sqrt(F.pow(F.col(x) - F.col("x1") - t * dx, F.lit(2)) + F.pow(F.col(y) - F.col("y1") - t * dy, F.lit(2)))
-    return met.withColumn("distance", d).where(F.col("distance") <= radius).select(segment, key, "distance")
+
+    def square(px: Column, py: Column) -> Column:
+        along = ((px - F.col("x1")) * dx + (py - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
+        ex, ey = px - F.col("x1") - t * dx, py - F.col("y1") - t * dy
+        return ex * ex + ey * ey
+
+    # no point of a cell is farther than half its diagonal from its centre
+    reach = radius + size * 0.7072
+    wide = wide.where(square((F.col("_sx") + 0.5) * size, (F.col("_sy") + 0.5) * size) <= reach * reach)
+    wide = _dealt(wide, "_sx", "_sy")
+    places = _dealt(points.select(x, y).distinct().withColumns({"_px": cell(F.col(x)), "_py": cell(F.col(y))}), "_px", "_py")
+    met = places.join(wide, (F.col("_px") == F.col("_sx")) & (F.col("_py") == F.col("_sy")))
+    d = F.sqrt(square(F.col(x), F.col(y)))
+    near = met.withColumn("distance", d).where(F.col("distance") <= radius).select(segment, x, y, (F.col("distance") if digits is None else F.round("distance", digits)).alias("distance"))
+    return near.join(points.select(key, x, y), [x, y]).select(segment, key, "distance")
 
 
 def leaders(df: DataFrame, order: Sequence[str], x: str, y: str, t: str, radius: float, within: int, area: str) -> DataFrame:
