@@ -25,3 +25,11 @@ def test_pairs_of_places_stand_once(spark, crowds):
     few = spatial.radius_join(b.limit(3), a.limit(4), "gx", "gy", "x", "y", 5.0, 8)
     assert few.columns == ["g", "gx", "gy", "res", "k", "x", "y", "distance"] and few.count() == 12
     assert spatial.near_places(b, a, "gx", "gy", "x", "y", 4.9).isEmpty()
+
+
+def test_idw_of_crowds(spark, crowds):
+    began = time.monotonic()
+    got = spatial.idw(*crowds, "k", "x", "y", "gx", "gy", "res", 10.0).agg(F.count("*"), F.min("correction"), F.max("correction")).first()
+    w = 0.1**2
+    assert got[0] == COPIES and got[1] == got[2] == pytest.approx(COPIES * w * 2 / (COPIES * w + 0.01))
+    assert time.monotonic() - began < 45  # all pairs take minutes
