@@ -33,3 +33,10 @@ def test_idw_of_crowds(spark, crowds):
     w = 0.1**2
     assert got[0] == COPIES and got[1] == got[2] == pytest.approx(COPIES * w * 2 / (COPIES * w + 0.01))
     assert time.monotonic() - began < 45  # all pairs take minutes
+
+
+def test_nearest_of_crowds(spark, crowds):
+    began = time.monotonic()
+    got = spatial.nearest(*crowds, "k", "x", "y", "g", "gx", "gy", 5.0).groupBy("g", "distance").count().collect()
+    assert [tuple(r) for r in got] == [(7, 5.0, COPIES)]
+    assert time.monotonic() - began < 45  # all pairs take minutes
