@@ -87,8 +87,9 @@ def valid_time_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH a AS (SELECT c_nationkey AS hotspot, c_custkey % 100 AS cell, c_acctbal AS weight FROM customer), b AS (SELECT DISTINCT s_suppkey AS segment, s_suppkey % 100 AS cell FROM supplier) SELECT segment, hotspot, count(*) AS cells, round(max(weight), 4) AS weight FROM a JOIN b USING (cell) GROUP BY 1, 2""")
 def shared_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("hotspot"), (F.col("c_custkey") % 100).alias("cell"), F.col("c_acctbal").alias("weight"))
-    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("segment"), (F.col("s_suppkey") % 100).alias("cell"))
-    return a.join(b, "cell").groupBy("segment", "hotspot").agg(F.count("*").alias("cells"), r(F.max("weight"), 4).alias("weight"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("segment"), (F.col("s_suppkey") % 100).alias("cell")).distinct()
+    one = a.groupBy("hotspot", "cell").agg(F.count("*").alias("n"), F.max("weight").alias("weight"))  # a hotspot's rows of a cell meet a segment as one
+    return one.join(b, "cell").groupBy("segment", "hotspot").agg(F.sum("n").alias("cells"), r(F.max("weight"), 4).alias("weight"))
 
 
 @query(f"""WITH {EVENTS}, a AS (SELECT DISTINCT user_id, hour AS cycle FROM e WHERE value > 60)

@@ -40,3 +40,9 @@ def test_nearest_of_crowds(spark, crowds):
     got = spatial.nearest(*crowds, "k", "x", "y", "g", "gx", "gy", 5.0).groupBy("g", "distance").count().collect()
     assert [tuple(r) for r in got] == [(7, 5.0, COPIES)]
     assert time.monotonic() - began < 45  # all pairs take minutes
+
+
+def test_repeated_suppliers_share_a_cell_once(spark, tmp_path):
+    spark.createDataFrame([(1, 3, 5.0), (101, 3, 7.0), (2, 3, 9.0)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(201,), (201,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert [tuple(r) for r in REGISTRY["shared_cells"].run(spark, str(tmp_path)).collect()] == [(201, 3, 2, 7.0)]
