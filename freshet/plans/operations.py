@@ -140,7 +140,8 @@ def register_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda k, m: (F.col(k) * m % 5000).cast("double")
     p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), at("c_custkey", 7919).alias("x"), at("c_custkey", 104_729).alias("y"))
     g = table(spark, sf_dir, "supplier").select(at("s_suppkey", 6101).alias("gx"), at("s_suppkey", 3571).alias("gy"))
-    return spatial.overlap_share(spatial.radius_join(g, p, "gx", "gy", "x", "y", 200.0), p, "k").withColumn("share", r("share"))
+    near = spatial.near_places(g, p, "gx", "gy", "x", "y", 200.0).select("x", "y").distinct()
+    return spatial.overlap_share(p.join(near, ["x", "y"]), p, "k").withColumn("share", r("share"))
 
 
 @query(f"""WITH {EVENTS}, s AS (SELECT user_id, event_type AS stage, sum(value) AS ms FROM e GROUP BY 1, 2) SELECT user_id, round(sum(ms) FILTER (stage NOT LIKE '%.%' AND stage <> 'view'), 4) AS total_ms, count(*) AS stages FROM s GROUP BY 1""")

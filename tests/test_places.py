@@ -42,6 +42,16 @@ def test_nearest_of_crowds(spark, crowds):
     assert time.monotonic() - began < 45  # all pairs take minutes
 
 
+def test_register_of_crowds(spark, tmp_path):
+    began = time.monotonic()
+    at = F.col("id") * 5000 + 1
+    spark.range(COPIES).select(at.alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(COPIES).select(at.alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = REGISTRY["register_overlap"].run(spark, str(tmp_path)).first()
+    assert got.points == COPIES and got.share in (0.0, 1.0)
+    assert time.monotonic() - began < 45  # all pairs take minutes
+
+
 def test_repeated_suppliers_share_a_cell_once(spark, tmp_path):
     spark.createDataFrame([(1, 3, 5.0), (101, 3, 7.0), (2, 3, 9.0)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
     spark.createDataFrame([(201,), (201,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
