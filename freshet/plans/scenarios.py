@@ -134,7 +134,7 @@ def segment_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cell"), at("p_partkey", 37, 997).alias("x"), at("p_partkey", 53, 991).alias("y"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("segment"), at("s_suppkey", 71, 997).alias("x1"), at("s_suppkey", 29, 991).alias("y1"))
     s = s.withColumns({"x2": F.col("x1") + F.col("segment") % 9 * 12, "y2": F.col("y1") + F.col("segment") % 7 * 12})
-    return spatial.near_segments(c, s, "cell", "segment", "x", "y", 15.0, 30.0).withColumn("distance", r("distance"))
+    return spatial.near_segments(c, s, "cell", "segment", "x", "y", 15.0, 30.0, 8)
 
 
 @query(f"""WITH {EVENTS}, g AS (SELECT event_type, us < lag(us) OVER (PARTITION BY event_type ORDER BY event_id) AS back FROM e), f AS (SELECT 'members' AS rule, 'error' AS level, 'gauge' AS subject, 1 AS n

@@ -52,6 +52,16 @@ def test_register_of_crowds(spark, tmp_path):
     assert time.monotonic() - began < 45  # all pairs take minutes
 
 
+def test_cells_of_crowds_and_bent_ways(spark):
+    began = time.monotonic()
+    points = spark.range(COPIES).select(F.col("id").alias("cell"), F.lit(50.0).alias("x"), F.lit(61.0).alias("y"))
+    ways = spark.range(COPIES).select(F.col("id").alias("segment"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(100.0).alias("x2"), F.lit(100.0).alias("y2")).withColumn("x1", -F.col("segment").cast("double"))
+    one = spatial.near_segments(points.limit(2), ways.where("segment = 0"), "cell", "segment", "x", "y", 15.0, 30.0, 8).collect()
+    assert {r.distance for r in one} == {round(11 / 2**0.5, 8)} and len(one) == 2
+    assert spatial.near_segments(points, ways, "cell", "segment", "x", "y", 1e-9, 30.0).isEmpty()  # the places are measured once
+    assert time.monotonic() - began < 45
+
+
 def test_repeated_suppliers_share_a_cell_once(spark, tmp_path):
     spark.createDataFrame([(1, 3, 5.0), (101, 3, 7.0), (2, 3, 9.0)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
     spark.createDataFrame([(201,), (201,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
