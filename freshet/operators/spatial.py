@@ -132,20 +132,31 @@ def leaders(df: DataFrame, order: Sequence[str], x: str, y: str, t: str, radius:
     """Leader clustering of reports: each joins the first kept leader within ``radius`` and ``within``, else leads itself.
 
     It depends on order and isn't transitive, so each area is walked in order;
-    an area (a city's district and day) bounds what one task holds.
+    an area (a city's district and day) bounds what one task holds.  Leaders lie
+    in boxes as wide as they reach.  No two of a box are within reach of each
+    other, so that it holds a few at most and a report looks at 27 boxes, however
+    many leaders there are.
     """
     columns = df.columns
     schema = df.select(*columns, F.lit(0).cast("long").alias("leader"), F.lit(0).cast("long").alias("place")).schema
+    # a trifle wider than the reach, so that rounding puts nobody two boxes off
+    size, span = radius * (1 + 1e-9) or 1.0, within or 1
+    around = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
 
     def walk(pdf):  # noqa: ANN001, ANN202
         pdf = pdf.sort_values(list(order), kind="stable").reset_index(drop=True)
-        kept: list[int] = []
+        boxes: dict[tuple, list[int]] = {}
         lead = []
-        xs, ys, ts = pdf[x].to_numpy(), pdf[y].to_numpy(), pdf[t].to_numpy()
-        for i in range(len(pdf)):
-            found = next((k for k in kept if (xs[k] - xs[i]) ** 2 + (ys[k] - ys[i]) ** 2 <= radius**2 and abs(ts[k] - ts[i]) <= within), None)
+        xs, ys, ts = (pdf[c].tolist() for c in (x, y, t))
+        for i, (px, py, pt) in enumerate(zip(xs, ys, ts, strict=True)):
+            if any(v is None or not -1e300 < v < 1e300 for v in (px, py, pt)):
+                lead.append(i)  # nowhere: out of everyone's reach
+                continue
+            p, q, s = px // size, py // size, pt // span
+            near = (k for a, b, c in around for k in boxes.get((p + a, q + b, s + c), ()))
+            found = min((k for k in near if (xs[k] - px) ** 2 + (ys[k] - py) ** 2 <= radius**2 and abs(ts[k] - pt) <= within), default=None)
             if found is None:
-                kept.append(i)
+                boxes.setdefault((p, q, s), []).append(i)
             lead.append(i if found is None else found)
         pdf["leader"], pdf["place"] = lead, range(len(pdf))
         return pdf[[*columns, "leader", "place"]]
