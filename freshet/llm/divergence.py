@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,17 +11,39 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freshet.llm.shared import small_batches, stored, table
+from freshet.llm.shingles import portions
 
 #: Parts that a share is counted in.
 UNITS = 1_000_000_000
-#: Bytes of distinct terms that a task adds up before it hands on their sums.
+#: Bytes of sums that a task keeps when it adds them up; of more it hands them on.
 HELD_BYTES = 24 << 20
 #: Rows of neighbouring terms that are paired at a time.
 PAIRED_ROWS = 100_000
 #: Bits and bytes of one radix round.
 BITS, BYTES = 10, 2
-_TERM = re.compile(rb"[a-z\x80-\xff]+")
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IN_TERM = np.zeros(256, dtype=bool)
+_IN_TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def text_terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All terms of the texts (large strings without nulls) in order, and each text's bounds in them."""
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    a, z = int(offsets[0]), int(offsets[-1])
+    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[a:z] if z > a else np.zeros(0, dtype=np.uint8)
+    inside = _IN_TERM[data]
+    edges = offsets[:-1] - a
+    edges = edges[edges < len(data)]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    first[edges] = inside[edges]  # a term doesn't go on in the next text
+    last[edges - 1] = inside[edges - 1]
+    starts = np.flatnonzero(first)
+    ends = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - starts))
+    terms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(_LOWER[data[inside]]))
+    return terms, np.searchsorted(starts, offsets - a)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -35,30 +56,45 @@ def term_counts(docs: DataFrame) -> DataFrame:
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[tuple, Counter] = defaultdict(Counter)
-        held: dict[tuple, Counter] = defaultdict(Counter)
+        names: dict[tuple, int] = {}
+        held: list[pa.Table] = []
         size = 0
         for batch in batches:
-            for lang, source, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                words = _TERM.findall(text.encode().translate(_LOWER))
-                once, known = set(words), held[lang, source]
-                size += sum(len(w) + 100 for w in once - known.keys())
-                n[lang, source].update(words)
-                known.update(once)
-            if size > HELD_BYTES:
-                yield from out(n, held)
-                n.clear()
-                held.clear()
-                size = 0
-        yield from out(n, held)
-
-    def out(n: dict[tuple, Counter], held: dict[tuple, Counter]) -> Iterator[pa.RecordBatch]:
-        for (lang, source), counts in n.items():
-            terms, k = list(counts), len(counts)
-            for a in range(0, k, 20_000):
-                some = terms[a : a + 20_000]
-                columns = [pa.array([x] * len(some)) for x in (lang, source)] + [pa.array([t.decode() for t in some], pa.string()), pa.array([counts[t] for t in some], pa.int64()), pa.array([held[lang, source][t] for t in some], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+            groups = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            group, at = np.array([names.setdefault(g, len(names)) for g in groups], dtype=np.int64), 0
+            for part in portions(batch.column(2)):
+                held.append(counted(part, group[at : at + len(part)]))
+                at += len(part)
+                size += held[-1].nbytes
+                if size > 2 * HELD_BYTES:
+                    held = [summed(held)]
+                    size = held[0].nbytes
+                    if size > HELD_BYTES:
+                        yield from out(held.pop(), list(names))
+                        size = 0
+        if held:
+            yield from out(summed(held), list(names))
+
+    def counted(texts: pa.Array, group: np.ndarray) -> pa.Table:
+        """(group, term, n, docs) of some texts."""
+        terms, bounds = text_terms(texts)
+        coded = terms.dictionary_encode()
+        k = max(1, len(coded.dictionary))
+        in_text, n = np.unique(np.repeat(np.arange(len(texts)), np.diff(bounds)) * k + coded.indices.to_numpy(), return_counts=True)
+        both, at = np.unique(group[in_text // k] * k + in_text % k, return_inverse=True)
+        total = np.zeros(len(both), dtype=np.int64)
+        np.add.at(total, at, n)
+        return pa.table({"group": both // k, "term": coded.dictionary.take(pa.array(both % k)), "n": total, "docs": np.bincount(at, minlength=len(both))})
+
+    def summed(held: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(held).group_by(["group", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+        return sums.select(["group", "term", "n_sum", "docs_sum"]).rename_columns(["group", "term", "n", "docs"])
+
+    def out(sums: pa.Table, names: list[tuple]) -> Iterator[pa.RecordBatch]:
+        lang, source = (pa.array(c, pa.string()) for c in zip(*names, strict=True))
+        for b in sums.to_batches(max_chunksize=20_000):
+            group = b.column("group")
+            yield pa.RecordBatch.from_arrays([lang.take(group), source.take(group), b.column("term").cast(pa.string()), b.column("n"), b.column("docs")], names=["lang", "source", "term", "n", "docs"])
 
     return named.mapInArrow(run, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,12 @@ def test_radix_top_with_equal_rows_ends(spark):
     same = dv.stored(spark.createDataFrame([("g", 5, "same")] * 20 + [("g", 5, "sam"), ("g", 5, "samey")], "g string, value long, item string"))
     got = dv.radix_top(same, ["g"], "value", "item", 4).orderBy("rank").collect()
     assert [(r.item, r["rank"]) for r in got] == [("sam", 1), ("same", 2), ("same", 3), ("same", 4)]
+
+
+def test_terms_of_many_texts_at_once():
+    texts = ["", "One two-ONE", "é", "x1y", "end", "start", " a\tb", "", "ÀB z", "--", "q"]
+    got, bounds = dv.text_terms(pa.array(texts, pa.large_string()).slice(1))
+    own = [re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts[1:]]
+    assert [got.to_pylist()[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == own
+    none, bounds = dv.text_terms(pa.array(["", ""], pa.large_string()))
+    assert len(none) == 0 and bounds.tolist() == [0, 0, 0]
