@@ -29,7 +29,7 @@ link between different components is missed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm.shared import components, picked, row_mark, small_batches, stored, table
-from freshet.llm.shingles import mix, shingle_sets
+from freshet.llm.shingles import mix, set_portions, sort_parts
 
 PERCENT = 80
 #: A token that so many sets hold is frequent and stands at the end of order A ...
@@ -60,6 +60,8 @@ COUNT_TOKENS = 1_000_000
 SEEN = 200_000
 #: Longest prefix of which a row's bits tell something; those of longer ones let all through.
 MASKED = 24
+#: Longest run whose rows are paired along with those of other runs.
+SHORT_RUN = 48
 #: Bytes of what a set lacks of its reference and has beyond it: 128 bits each, and both sizes.
 DELTA = 48
 #: First tokens of a set's A prefix that its rows bring to the last round.
@@ -67,48 +69,97 @@ LEADS = 16
 _SIGN = np.uint64((1 << 63) - 1)
 
 
-def _signature(s: np.ndarray) -> int:
-    """A set's name: 63 bits that depend on all its tokens; 0 is the empty set's."""
-    if not len(s):
-        return 0
-    with np.errstate(over="ignore"):
-        return int((mix(np.array([mix(s, 21).sum() + np.uint64(len(s))], dtype=np.uint64), 22)[0] & _SIGN) | np.uint64(1))
+def _signatures(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Names of the sets that stand in ``tokens`` between neighbouring bounds: 63 bits that depend on all a set's tokens; 0 is the empty set's."""
+    n = np.diff(bounds)
+    out = np.zeros(len(n), dtype=np.uint64)
+    some = n > 0
+    if some.any():
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat(mix(tokens, 21), bounds[:-1][some]) + n[some].astype(np.uint64)
+        out[some] = (mix(sums, 22) & _SIGN) | np.uint64(1)
+    return out.view(np.int64)
 
 
-def _prefix_length(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+def _prefix_length(n: np.ndarray) -> np.ndarray:
+    return np.minimum(n, n - -(-PERCENT * n // 100) + 1)
 
 
-def _prefix(s: np.ndarray, seed: int, last: np.ndarray | None = None) -> np.ndarray:
-    """The first tokens of a set in the order of that seed; tokens of ``last`` (sorted) stand at the end."""
-    key = mix(s, seed) >> np.uint64(1)
-    if last is not None and len(last):
-        at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-        key |= (last[at] == s).astype(np.uint64) << np.uint64(63)
-    p = _prefix_length(len(s))
-    first = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
-    return s[first[np.argsort(key[first])]]
+def _parts(tokens: np.ndarray, bounds: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets for which ``keep`` is true, as tokens and bounds."""
+    n = np.diff(bounds)
+    return tokens[np.repeat(keep, n)], np.append(0, np.cumsum(n[keep]))
+
+
+def _places(bounds: np.ndarray) -> np.ndarray:
+    """Each token's place in its set."""
+    return np.arange(bounds[-1]) - np.repeat(bounds[:-1], np.diff(bounds))
+
+
+def _prefix_keys(tokens: np.ndarray, bounds: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all sets' prefixes under the order of that seed, sorted, and their bounds."""
+    n = np.diff(bounds)
+    p = _prefix_length(n)
+    keys = sort_parts(mix(tokens, seed), bounds)
+    return keys[_places(bounds) < np.repeat(p, n)], np.append(0, np.cumsum(p))
+
+
+def _prefixes(tokens: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order A's prefixes of sets whose tokens are sorted, as (token, place, number of the set): the order of tokens, those marked ``frequent`` last."""
+    n = np.diff(bounds)
+    place = _places(bounds)
+    rare = np.append(0, np.cumsum(~frequent))
+    before = rare[:-1] - np.repeat(rare[bounds[:-1]], n)  # rare tokens of the set ahead of this one
+    place = np.where(frequent, np.repeat(rare[bounds[1:]] - rare[bounds[:-1]], n) + place - before, before)
+    taken = np.flatnonzero(place < np.repeat(_prefix_length(n), n))
+    return tokens[taken], place[taken], np.repeat(np.arange(len(n)), n)[taken]
+
+
+def _sketches(tokens: np.ndarray, bounds: np.ndarray, seed: int) -> list[bytes]:
+    """The keys of each set's prefix under the order of that seed, cut to 16 bits, sorted."""
+    keys, at = _prefix_keys(tokens, bounds, seed)
+    data = (keys >> np.uint64(48)).astype(np.uint16).tobytes()
+    return [data[2 * a : 2 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def _sketch(s: np.ndarray, seed: int) -> bytes:
-    """The keys of a set's prefix under the order of that seed, cut to 16 bits, sorted."""
-    key = mix(s, seed)
-    p = _prefix_length(len(s))
-    key = key[np.argpartition(key, p - 1)[:p]] if p < len(s) else key
-    return np.sort(key >> np.uint64(48)).astype(np.uint16).tobytes()
+    return _sketches(s, np.array([0, len(s)]), seed)[0]
+
+
+def _masks(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set 32 bits that the tokens of its B prefix set, and 32 of its C prefix; linked sets have bits of both in common."""
+    n = np.diff(bounds)
+    out = np.full(len(n), -1, dtype=np.int64)
+    told = (n > 0) & (_prefix_length(n) <= MASKED)
+    if told.any():
+        some, at = _parts(tokens, bounds, told)
+        halves = []
+        for seed in (2, 3):
+            keys, of = _prefix_keys(some, at, seed)
+            halves.append(np.bitwise_or.reduceat(np.uint64(1) << (keys & np.uint64(31)), of[:-1]))
+        out[told] = (halves[0] | halves[1] << np.uint64(32)).view(np.int64)
+    return out
 
 
 def _mask(s: np.ndarray) -> int:
-    """32 bits that the tokens of a set's B prefix set, and 32 of its C prefix; linked sets have bits of both in common."""
-    p = _prefix_length(len(s))
-    if p > MASKED:
-        return -1
-    out = 0
-    for half, seed in ((0, 2), (32, 3)):
-        key = mix(s, seed)
-        key = key[np.argpartition(key, p - 1)[:p]] if p < len(s) else key
-        out |= int(np.bitwise_or.reduce(np.uint64(1) << (key & np.uint64(31)))) << half
-    return out - (1 << 64) if out >> 63 else out
+    return int(_masks(s, np.array([0, len(s)]))[0])
+
+
+class _New:
+    """Names not met before in this task; beyond SEEN of them it starts anew."""
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+
+    def __call__(self, names: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(names), dtype=bool)
+        for i, name in enumerate(names.tolist()):
+            if name not in self.seen:
+                if len(self.seen) >= SEEN:
+                    self.seen.clear()
+                self.seen.add(name)
+                out[i] = True
+        return out
 
 
 def _bits(tokens: np.ndarray) -> np.ndarray:
@@ -117,17 +168,18 @@ def _bits(tokens: np.ndarray) -> np.ndarray:
     return np.array([np.bitwise_or.reduce(np.uint64(1) << (at[at >> np.uint64(6) == w] & np.uint64(63)), initial=np.uint64(0)) for w in (0, 1)], dtype=np.uint64)
 
 
-def most_common(x: np.ndarray, n: int, others: np.ndarray) -> np.ndarray:
-    """The largest overlap that a set of ``n`` tokens can have with each of the others, from what they lack of one reference and have beyond it.
+def most_common(x: np.ndarray, n: int | np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The largest overlap that a set of ``n`` tokens can have with each of the others, from what they lack of one reference and have beyond it; or, with as many rows of ``x``, that each set can have with the other of its row.
 
     ``x`` and the rows of ``others``: bits lacked (2), bits beyond (2), tokens
     lacked, tokens beyond.  The reference's tokens that either set lacks are not
     common; of those beyond it, tokens whose bit the other has not set aren't.
     """
     ones = lambda b: np.bitwise_count(b).sum(axis=-1).astype(np.int64)
-    lacked = np.maximum(ones(others[:, :2] | x[:2]), np.maximum(others[:, 4].astype(np.int64), int(x[4])))
-    beyond = np.minimum(int(x[5]) - ones(x[2:4] & ~others[:, 2:4]), others[:, 5].astype(np.int64) - ones(others[:, 2:4] & ~x[2:4]))
-    return n + int(x[4]) - int(x[5]) - lacked + beyond
+    sizes, x_sizes = others[:, 4:].astype(np.int64), x[..., 4:].astype(np.int64)
+    lacked = np.maximum(ones(others[:, :2] | x[..., :2]), np.maximum(sizes[:, 0], x_sizes[..., 0]))
+    beyond = np.minimum(x_sizes[..., 1] - ones(x[..., 2:4] & ~others[:, 2:4]), sizes[:, 1] - ones(others[:, 2:4] & ~x[..., 2:4]))
+    return n + x_sizes[..., 0] - x_sizes[..., 1] - lacked + beyond
 
 
 def may_link(bx: np.ndarray, nx: int, by: np.ndarray, ny: int) -> bool:
@@ -186,7 +238,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     schema = [("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("b", pa.binary()), ("c", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        new_names = _New()
         held: list[np.ndarray] = []
         size = 0
 
@@ -202,18 +254,17 @@ def classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
         for batch in batches:
             sigs, sizes, bs, cs = [], [], [], []
-            for s in shingle_sets(batch.column(1)):
-                sigs.append(_signature(s))
-                sizes.append(len(s))
-                new = len(s) > 0 and sigs[-1] not in seen
-                bs.append(_sketch(s, 2) if new else None)
-                cs.append(_sketch(s, 3) if new else None)
-                if new:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(sigs[-1])
-                    held.append(s)
-                    size += len(s)
+            for tokens, bounds in set_portions(batch.column(1)):
+                names = _signatures(tokens, bounds)
+                sigs += names.tolist()
+                sizes += np.diff(bounds).tolist()
+                new = new_names(names) & (names != 0)
+                tokens, bounds = _parts(tokens, bounds, new)
+                for column, seed in ((bs, 2), (cs, 3)):
+                    made = iter(_sketches(tokens, bounds, seed))
+                    column += [next(made) if x else None for x in new]
+                held.append(tokens)
+                size += len(tokens)
                 if size >= COUNT_TOKENS:
                     yield frequent()
                     size = 0
@@ -241,42 +292,37 @@ def shared_tokens(docs: DataFrame, frequent: np.ndarray, text: str) -> DataFrame
     spark = docs.sparkSession
     last = spark.sparkContext.broadcast(frequent)
     out = [("token", pa.int64()), ("sig", pa.int64()), ("place", pa.int64()), ("mask", pa.int64())]
+    low = np.uint64((1 << 20) - 1)
 
-    def is_frequent(token: np.ndarray) -> np.ndarray:
-        if not len(last.value):
-            return np.zeros(len(token), dtype=bool)
-        t = token.view(np.uint64)
-        return last.value[np.minimum(np.searchsorted(last.value, t), len(last.value) - 1)] == t
+    def frequent_test() -> Callable[[np.ndarray], np.ndarray]:
+        of_low_bits = np.zeros(int(low) + 1, dtype=bool)  # most tokens need no search
+        of_low_bits[last.value & low] = True
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        def is_frequent(token: np.ndarray) -> np.ndarray:
+            t = token.view(np.uint64)
+            out = of_low_bits[t & low]
+            some = t[out]
+            if len(some):
+                out[out] = last.value[np.minimum(np.searchsorted(last.value, some), len(last.value) - 1)] == some
+            return out
 
-        def rows(tokens: list[np.ndarray], sigs: list[int], sizes: list[int], masks: list[int]) -> pa.RecordBatch:
-            lengths = [len(t) for t in tokens]
-            token = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
-            sig, n, mask = (np.repeat(np.array(c, np.int64), lengths) for c in (sigs, sizes, masks))
-            pos = np.concatenate([np.arange(k) for k in lengths]) if lengths else np.zeros(0, np.int64)
-            return _batch([*out, ("salt", pa.int64())], token, sig, (n << 32) | pos, mask, np.where(is_frequent(token), sig % SALTS, 0))
+        return is_frequent
 
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_frequent, new_names = frequent_test(), _New()
         for b in batches:
-            held: tuple[list, ...] = ([], [], [], [])
-            size = 0
-            for s in shingle_sets(b.column(0)):
-                sig = _signature(s)
-                if sig and sig not in seen:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(sig)
-                    for column, x in zip(held, (_prefix(s, 1, last.value), sig, len(s), _mask(s)), strict=True):
-                        column.append(x)
-                    size += len(held[0][-1])
-                if size >= 1 << 18:
-                    yield rows(*held)
-                    held, size = ([], [], [], []), 0
-            yield rows(*held)
+            for tokens, bounds in set_portions(b.column(0)):
+                sigs = _signatures(tokens, bounds)
+                new = new_names(sigs) & (sigs != 0)
+                sigs, (tokens, bounds) = sigs[new], _parts(tokens, bounds, new)
+                often = is_frequent(tokens)
+                token, pos, of = _prefixes(tokens, bounds, often)
+                n, mask, sig = np.diff(bounds)[of], _masks(tokens, bounds)[of], sigs[of]
+                token = token.view(np.int64)
+                yield _batch([*out, ("salt", pa.int64())], token, sig, (n << 32) | pos, mask, np.where(is_frequent(token), sig % SALTS, 0))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c for c, _ in out]
+        names, is_frequent = [c for c, _ in out], frequent_test()
         waiting, fitted = None, False  # the last row, and whether it fits the one before it
         for batch in batches:
             batch = batch.select(names)
@@ -318,26 +364,20 @@ def token_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     mask = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        new_keys = _New()
         for batch in batches:
             m = batch.column(2).to_numpy()
             hit = (mask.value[m // 64].view(np.uint64) >> (m % 64).astype(np.uint64)) & np.uint64(1)
             batch = batch.filter(pa.array(hit.astype(bool)))
-            rows: list[tuple] = []
-            size = 0
-            for key, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
-                if key in seen:  # a repeated row
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(key)
-                rows.append((key, _signature(s), s.tobytes()))
-                size += len(s)
-                if size >= COUNT_TOKENS // 4:
-                    yield _batch(schema, *zip(*rows, strict=True))
-                    rows, size = [], 0
-            if rows:
-                yield _batch(schema, *zip(*rows, strict=True))
+            keys, at = batch.column(0).to_numpy(), 0
+            for tokens, bounds in set_portions(batch.column(1)):
+                own = keys[at : at + len(bounds) - 1]
+                at += len(own)
+                new = new_keys(own)  # else a repeated row
+                sigs, data = _signatures(tokens, bounds), tokens.tobytes()
+                sets = [data[8 * bounds[i] : 8 * bounds[i + 1]] for i in np.flatnonzero(new)]
+                for a in range(0, len(sets), 1_000):
+                    yield _batch(schema, own[new][a : a + 1_000], sigs[new][a : a + 1_000], sets[a : a + 1_000])
 
     marked = docs.select("key", text, F.pmod("key", F.lit(FILTER_BITS)).alias("m"))
     met = marked.mapInArrow(run, "key long, sig long, tokens binary").join(wanted, ["key", "sig"])
@@ -427,8 +467,8 @@ def candidates(rows: DataFrame, every: bool, seed: int) -> DataFrame:
     Python holds one run (two parts of it at most) at a time.
     """
     schema = [("x", pa.int64()), ("y", pa.int64())]
-    columns = ("token", "sig", "place", "mask", "comp", "ref", "i", "j", "part", "delta", *(["leads"] if every else []))
-    plain = columns.index("delta")
+    columns = ("token", "sig", "place", "mask", "comp", "ref", "i", "j", "part", *(["delta", "leads"] if every else []))
+    plain = columns.index("part") + 1
 
     def passing(n: np.ndarray, rest: np.ndarray, mask: np.ndarray, m: np.ndarray | int, other_rest: np.ndarray | int, other_mask: np.ndarray | int) -> np.ndarray:
         need = -(-PERCENT * (n + m) // (100 + PERCENT))
@@ -449,47 +489,81 @@ def candidates(rows: DataFrame, every: bool, seed: int) -> DataFrame:
     def met_in(batch: pa.RecordBatch, xs: list[np.ndarray], ys: list[np.ndarray]) -> int:
         """Adds the pairs of whole runs to ``xs`` and ``ys`` and says how many they are."""
         token, sig, place, mask, comp, ref, i, j, part = (batch.column(c).to_numpy() for c in range(plain))
-        delta, *more = (_fixed(batch.column(c)) for c in range(plain, len(columns)))
-        leads = more[0] if every else None
+        delta, leads = (_fixed(batch.column(c)) for c in range(plain, len(columns))) if every else (None, None)
         n, pos = place >> 32, place & 0xFFFFFFFF
         new = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         starts = np.flatnonzero(np.concatenate([[True], new]))
+        rest = n - pos
+        if not every:
+            x, y = partners(np.append(0, np.cumsum(new)), starts, sig, comp, rest)
+            ok = passing(n[x], rest[x], mask[x], n[y], rest[y], mask[y])
+            xs.append(sig[x[ok]])
+            ys.append(sig[y[ok]])
+            return int(ok.sum())
+        ends = np.append(starts[1:], len(token))
         held = 0
-        for a, z in zip(starts, np.append(starts[1:], len(token)), strict=True):
-            s, m, k, bits, rest = sig[a:z], n[a:z], comp[a:z], mask[a:z], n[a:z] - pos[a:z]
-            if every:
-                names, at, counts = np.unique(k, return_inverse=True, return_counts=True)
-                large = at == counts.argmax()  # the others meet it and one another
-                for r in np.flatnonzero(~large):
-                    lo, hi = np.searchsorted(m, -(-PERCENT * m[r] // 100)), np.searchsorted(m, 100 * m[r] // PERCENT, side="right")
-                    met = np.arange(lo, hi)
-                    met = met[(k[met] != k[r]) & (large[met] | (met > r))]
-                    met = met[passing(m[met], rest[met], bits[met], m[r], rest[r], bits[r])]
-                    if i[a] != j[a]:
-                        met = met[part[a + met] != part[a + r]]
-                    if ref[a + r] and len(met):
-                        same = ref[a + met] == ref[a + r]
-                        need = -(-PERCENT * (m[met] + m[r]) // (100 + PERCENT))
-                        met = met[~same | (most_common(delta[a + r], int(m[r]), delta[a + met]) >= need)]
-                    before = leads[a + r, : pos[a + r]]
-                    before = before[before != 0]
-                    if len(before) and len(met):
-                        met = met[~np.isin(leads[a + met], before).any(axis=1)]
-                    xs.append(np.full(len(met), s[r]))
-                    ys.append(s[met])
-                    held += len(met)
-            else:
-                rank = np.lexsort((mix(s.view(np.uint64), seed), -rest))
-                p = rank[0]
-                others = rank[k[rank] != k[p]]
-                q = others[0] if len(others) else p
-                partner = np.where(k == k[p], q, p)
-                fit = (k != k[partner]) & passing(m, rest, bits, m[partner], rest[partner], bits[partner])
-                xs.append(s[fit])
-                ys.append(s[partner[fit]])
-                held += int(fit.sum())
+
+        def bounded(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Of pairs of rows those that no earlier token and no reference rule out."""
+            if len(x):
+                same = np.flatnonzero((ref[x] == ref[y]) & (ref[x] != 0))
+                need = -(-PERCENT * (n[x[same]] + n[y[same]]) // (100 + PERCENT))
+                ok = np.ones(len(x), dtype=bool)
+                ok[same] = most_common(delta[x[same]], n[x[same]], delta[y[same]]) >= need
+                x, y = x[ok], y[ok]
+            if len(x):
+                met = np.zeros(len(x), dtype=bool)
+                for c in range(LEADS):  # a token that both have ahead of this one
+                    lead = np.where(c < pos[x], leads[x, c], 0)
+                    met |= (lead != 0) & (leads[y] == lead[:, None]).any(axis=1)
+                x, y = x[~met], y[~met]
+            return x, y
+
+        # short runs, all at once: each row meets that d places on, as long as the sizes of a run's rows allow it
+        run_end = np.repeat(ends, ends - starts)
+        short = np.repeat(ends - starts <= SHORT_RUN, ends - starts)
+        x = np.flatnonzero(short)
+        for d in range(1, SHORT_RUN):
+            x = x[x + d < run_end[x]]
+            x = x[100 * n[x] >= PERCENT * n[x + d]]
+            if not len(x):
+                break
+            p = x[(comp[x] != comp[x + d]) & ((i[x] == j[x]) | (part[x] != part[x + d]))]
+            p = p[passing(n[p], rest[p], mask[p], n[p + d], rest[p + d], mask[p + d])]
+            p, q = bounded(p, p + d)
+            xs.append(sig[p])
+            ys.append(sig[q])
+            held += len(p)
+        long = ends - starts > SHORT_RUN
+        for a, z in zip(starts[long], ends[long], strict=True):
+            m, k, bits = n[a:z], comp[a:z], mask[a:z]
+            names, at, counts = np.unique(k, return_inverse=True, return_counts=True)
+            large = at == counts.argmax()  # the others meet it and one another
+            for r in np.flatnonzero(~large):
+                lo, hi = np.searchsorted(m, -(-PERCENT * m[r] // 100)), np.searchsorted(m, 100 * m[r] // PERCENT, side="right")
+                met = np.arange(lo, hi)
+                met = met[(k[met] != k[r]) & (large[met] | (met > r))]
+                met = met[passing(m[met], rest[a + met], bits[met], m[r], rest[a + r], bits[r])]
+                if i[a] != j[a]:
+                    met = met[part[a + met] != part[a + r]]
+                x, y = bounded(np.full(len(met), a + r), a + met)
+                xs.append(sig[x])
+                ys.append(sig[y])
+                held += len(x)
         return held
 
+    def partners(run: np.ndarray, starts: np.ndarray, sig: np.ndarray, comp: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and whom they meet in their runs: the pivot, or if they are of its component, the first of another one."""
+        order = np.lexsort((mix(sig.view(np.uint64), seed), -rest, run))
+        pivot = order[starts][run]
+        other = np.flatnonzero(comp[order] != comp[pivot])  # in order, and runs stand where they stood
+        of_run, first = np.unique(run[other], return_index=True)
+        second = np.full(len(starts), -1)
+        second[of_run] = order[other[first]]
+        partner = np.where(comp == comp[pivot], second[run], pivot)
+        x = np.flatnonzero(partner >= 0)
+        return x, partner[x]
+
     def distinct(xs: list[np.ndarray], ys: list[np.ndarray]) -> pa.RecordBatch:
         x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (xs, ys))
         pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)

@@ -34,17 +34,21 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(256, dtype=np.uint64), 77)
+_BYTE = mix(np.arange(256, dtype=np.uint64), 77)[_LOWER]
 _POWERS = np.cumprod(np.full(_SLICE + 1, _MULT, dtype=np.uint64)) * _INV
 _INVERSES = np.cumprod(np.full(_SLICE + 1, _INV, dtype=np.uint64)) * _MULT
 
 
-def _slice_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start positions and hashes of the words of one slice that begins and ends between words."""
-    low = _LOWER[data]
-    word = ~_SPACE[low]
-    edge = np.diff(word.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def _slice_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start positions and hashes of the words of one slice that begins and ends between words; words also end at ``edges``, where a text begins."""
+    word = ~_SPACE[data]
+    edges = edges[edges < len(data)]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    first[edges] = word[edges]
+    last[edges - 1] = word[edges - 1]  # of edge 0 the last byte, which ends a word if it is in one
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     n = len(data)
     if n < len(_POWERS):
         powers, inverses = _POWERS[:n], _INVERSES
@@ -52,7 +56,7 @@ def _slice_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         powers = np.cumprod(np.full(n, _MULT, dtype=np.uint64)) * _INV
         inverses = np.cumprod(np.full(n + 1, _INV, dtype=np.uint64)) * _MULT
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[low] * powers, out=sums[1:])
+    np.cumsum(_BYTE[data] * powers, out=sums[1:])
     values = (sums[ends] - sums[starts]) * inverses[starts]
     return starts, mix(values + (ends - starts).astype(np.uint64))
 
@@ -77,19 +81,29 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     buffers = texts.buffers()
     offsets = np.frombuffer(buffers[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] else np.zeros(0, dtype=np.uint8)
-    hashes, counts = [], np.zeros(len(texts), dtype=np.int64)
+    hashes, bounds = [], np.zeros(len(texts) + 1, dtype=np.int64)
+    n = i = 0
     with np.errstate(over="ignore"):
-        for i in range(len(texts)):
-            a, end = int(offsets[i]), int(offsets[i + 1])
-            while a < end:
-                b = min(end, a + _SLICE)
-                while b < end and not _SPACE[data[b]]:  # a slice ends between words
-                    b += 1
-                _, h = _slice_words(data[a:b])
+        while i < len(texts):
+            a = int(offsets[i])
+            k = max(i + 1, int(np.searchsorted(offsets, a + _SLICE, side="right")) - 1)  # texts that fit a slice, or one longer text
+            end = int(offsets[k])
+            if end - a <= _SLICE:
+                starts, h = _slice_words(data[a:end], offsets[i:k] - a)
                 hashes.append(h)
-                counts[i] += len(h)
-                a = b
-    bounds = np.concatenate([[0], np.cumsum(counts)])
+                bounds[i + 1 : k + 1] = n + np.searchsorted(starts, offsets[i + 1 : k + 1] - a)
+                n += len(h)
+            else:
+                while a < end:
+                    b = min(end, a + _SLICE)
+                    while b < end and not _SPACE[data[b]]:  # a slice ends between words
+                        b += 1
+                    _, h = _slice_words(data[a:b], np.zeros(0, dtype=np.int64))
+                    hashes.append(h)
+                    n += len(h)
+                    a = b
+                bounds[k] = n
+            i = k
     return (np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)), bounds
 
 
@@ -99,25 +113,47 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     Fewer than five words make one shingle of the whole sequence; no words make
     an empty set.
     """
+    for tokens, bounds in set_portions(texts):
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield tokens[a:b]
+
+
+def set_portions(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of shingle_sets, those of a portion of the texts in one array, and each text's bounds in it."""
     for part in portions(texts):
-        yield from _portion_sets(part)
+        yield _portion_sets(part)
 
 
-def _portion_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+def sort_parts(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sorts what stands between neighbouring bounds, each part on its own and in place."""
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        values[a:b].sort()
+    return values
+
+
+def _portion_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words, bounds = word_hashes(texts)
+    n_words = np.diff(bounds)
     with np.errstate(over="ignore"):
-        n = len(words) - WIDTH + 1
-        rolled = np.zeros(max(n, 0), dtype=np.uint64)
+        n = max(len(words) - WIDTH + 1, 0)
+        rolled = np.zeros(n, dtype=np.uint64)
         for k in range(WIDTH):
-            rolled = rolled * _MULT + words[k : k + max(n, 0)]
+            rolled = rolled * _MULT + words[k : k + n]
         rolled = mix(rolled, 5)
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if b - a >= WIDTH:
-                yield np.unique(rolled[a : b - WIDTH + 1])
-            elif b > a:
-                h = np.uint64(b - a)
-                for w in words[a:b]:
-                    h = h * _MULT + w
-                yield mix(np.array([h], dtype=np.uint64), 6)
-            else:
-                yield np.zeros(0, dtype=np.uint64)
+        short = np.flatnonzero((n_words > 0) & (n_words < WIDTH))
+        whole = []
+        for i in short:
+            h = np.uint64(n_words[i])
+            for w in words[bounds[i] : bounds[i + 1]]:
+                h = h * _MULT + w
+            whole.append(h)
+        if len(short):  # room for their one shingle, which shares no word with a neighbour's
+            rolled = np.concatenate([rolled, np.zeros(len(words) - n, dtype=np.uint64)])
+            rolled[bounds[short]] = mix(np.array(whole, dtype=np.uint64), 6)
+    sizes = np.where(n_words >= WIDTH, n_words - WIDTH + 1, np.minimum(n_words, 1))
+    inside = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.append(0, np.cumsum(sizes))
+    tokens = sort_parts(rolled[np.arange(at[-1]) - at[inside] + bounds[inside]], at)
+    new = np.ones(len(tokens), dtype=bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (inside[1:] != inside[:-1])
+    return tokens[new], np.append(0, np.cumsum(np.bincount(inside[new], minlength=len(sizes))))

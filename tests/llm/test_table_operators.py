@@ -409,3 +409,25 @@ def test_mix_of_nothing_and_of_empty_texts(spark):
     d = spark.createDataFrame([(1, "a", None), (1, "a", None), (None, None, "")], "doc_id long, source string, text string")
     assert [r.taken for r in mixing.mix(mixing.with_size_and_weight(d)).collect()] == [0, 0, 0]
     assert mixing.stage(d).columns == d.columns
+
+
+def test_many_texts_are_hashed_at_once(monkeypatch):
+    rng = random.Random(11)
+    texts = [None, "", "a", "A b", *[" ".join(rng.choices(["a", "B", "cd", "é"], k=rng.randrange(12))) for _ in range(2000)]]
+    alone = [next(shingles.shingle_sets(pa.array([t], pa.string()))) for t in texts]
+    calls, plain = [], shingles._slice_words
+    monkeypatch.setattr(shingles, "_slice_words", lambda *a: calls.append(1) or plain(*a))
+    together = list(shingles.shingle_sets(pa.array(texts)))
+    assert len(calls) < 5 and all(np.array_equal(a, b) for a, b in zip(alone, together, strict=True))
+
+
+def test_prefixes_put_frequent_tokens_last():
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (7, 1, 40, 130)]
+    bounds = np.append(0, np.cumsum([len(s) for s in sets]))
+    often = rng.random(bounds[-1]) < 0.4
+    token, place, of = ngram_join._prefixes(np.concatenate(sets), bounds, often)
+    for k, s in enumerate(sets):
+        flags = often[bounds[k] : bounds[k + 1]]
+        want = [*s[~flags], *s[flags]][: len(s) - -(-80 * len(s) // 100) + 1]
+        assert [t for _, t in sorted(zip(place[of == k], token[of == k], strict=True))] == want
