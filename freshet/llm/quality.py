@@ -17,6 +17,9 @@ from freshet.llm.shingles import mix, portions, word_hashes
 #: Labelled documents that the regression learns from at most, those with the smallest hash of doc_id; a quarter of them calibrates.
 TRAIN_DOCS = 6_000
 BITS = 16
+#: The regression is fitted in blocks of so many hashed features. Arrays of numbers stay below half a megabyte, so that
+#: the driver's collector frees them with its young objects; larger ones take whole regions, which pile up from pass to pass.
+BLOCK_BITS = 15
 GRAMS = (3, 5)
 #: A document whose calibrated probability of being good is below this goes.
 KEEP_FROM = 0.5
@@ -117,18 +120,30 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, where: s
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", where: str = "true") -> Model:
     """Learns from at most TRAIN_DOCS labelled rows; three quarters give the weights, the rest the calibration.
 
+    Each block of 2^BLOCK_BITS hashed features has a regression of its own, and
+    the margin is the mean of theirs: as linear in all features as one fit.
     With labels of one class only, or none, every document gets the share of
     good labels (1 without any) as its probability.
     """
 
+    blocks = [f"block{k}" for k in range((2 << BITS) >> BLOCK_BITS)]
+
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, (grams, tokens) in enumerate(hashed(b.column(0))):  # a row at a time: vectors of long texts are large
                 both = [np.unique(x, return_counts=True) for x in (grams, tokens)]
-                index = pa.array([np.concatenate([i for i, _ in both])], pa.list_(pa.int32()))
-                value = pa.array([np.concatenate([_SCALE * c / max(1, c.sum()) for _, c in both])], pa.list_(pa.float64()))
-                sparse = pa.StructArray.from_arrays([pa.array([0], pa.int8()), pa.array([2 << BITS], pa.int32()), index, value], names=["type", "size", "indices", "values"])
-                yield pa.RecordBatch.from_arrays([sparse, b.column(1).slice(k, 1), b.column(2).slice(k, 1)], names=["features", "label", "fold"])
+                index = np.concatenate([i for i, _ in both])
+                value = np.concatenate([_SCALE * c / max(1, c.sum()) for _, c in both])
+                cuts = np.searchsorted(index, np.arange(1, len(blocks)) << BLOCK_BITS)
+                parts = zip(np.split(index & ((1 << BLOCK_BITS) - 1), cuts), np.split(value, cuts), strict=True)
+                sparse = [
+                    pa.StructArray.from_arrays(
+                        [pa.array([0], pa.int8()), pa.array([1 << BLOCK_BITS], pa.int32()), pa.array([i], pa.list_(pa.int32())), pa.array([v], pa.list_(pa.float64()))],
+                        names=["type", "size", "indices", "values"],
+                    )
+                    for i, v in parts
+                ]
+                yield pa.RecordBatch.from_arrays([*sparse, b.column(1).slice(k, 1), b.column(2).slice(k, 1)], names=[*blocks, "label", "fold"])
 
     from pyspark.ml.classification import LogisticRegression  # here, so that Python workers don't load it
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -136,16 +151,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", where: str =
 
     small_batches(docs.sparkSession)
     chosen = labelled(docs, labels, label, TRAIN_DOCS, where).select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)).alias("fold"))
-    made = chosen.repartition(12).mapInArrow(vectors, "features struct<type:tinyint,size:int,indices:array<int>,values:array<double>>, label double, fold long")
-    rows = stored(made, as_schema=T.StructType([T.StructField("features", VectorUDT()), *made.schema.fields[1:]]))  # training passes run no Python
+    kinds = "".join(f"{c} struct<type:tinyint,size:int,indices:array<int>,values:array<double>>, " for c in blocks)
+    made = chosen.repartition(12).mapInArrow(vectors, kinds + "label double, fold long")
+    rows = stored(made, as_schema=T.StructType([*(T.StructField(c, VectorUDT()) for c in blocks), *made.schema.fields[len(blocks) :]]))  # training passes run no Python
     n, good = rows.agg(F.count("*"), F.sum("label")).first()
     seen = {r.fold: (r.lo, r.hi) for r in rows.groupBy((F.col("fold") == 3).alias("fold")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).collect()}
     if not n or any(seen.get(f, (0, 0))[0] == seen.get(f, (0, 0))[1] for f in (False, True)):
         share = (good / n) if n else 1.0
         return Model(np.zeros(2 << BITS, np.float32), 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    lr = LogisticRegression(maxIter=40, regParam=2e-4, standardization=False, tol=1e-5).fit(rows.where("fold < 3"))
-    raw = Model(lr.coefficients.toArray().astype(np.float32), float(lr.intercept), 1.0, 0.0)
-    margins = lr.transform(rows.where("fold = 3")).select(F.element_at(vector_to_array("rawPrediction"), 2).alias("margin"), "label")
+    fitted = [LogisticRegression(maxIter=40, regParam=2e-4, standardization=False, tol=1e-5, featuresCol=c).fit(rows.where("fold < 3")) for c in blocks]
+    raw = Model(np.concatenate([m.coefficients.toArray() / len(blocks) for m in fitted]).astype(np.float32), sum(m.intercept for m in fitted) / len(blocks), 1.0, 0.0)
+    margins = rows.where("fold = 3").withColumn("margin", F.lit(0.0))
+    for m in fitted:
+        out = m.setProbabilityCol("").setPredictionCol("").setRawPredictionCol("raw").transform(margins)
+        margins = out.withColumn("margin", F.col("margin") + F.element_at(vector_to_array("raw"), 2) / len(blocks)).drop("raw")
+    margins = stored(margins.select("margin", "label"))  # else each pass of the calibration sends the blocks' models along
     line = LogisticRegression(maxIter=50, standardization=False).fit(margins.select(array_to_vector(F.array("margin")).alias("features"), "label"))
     return Model(raw.weights, raw.bias, float(line.coefficients[0]), float(line.intercept))
 

@@ -160,6 +160,24 @@ def test_quality_learns_and_keeps(spark):
     assert len(odd) == len(TEXTS) and all(r.base_failed and not r.kept for r in odd if r.n_words < 50)
 
 
+def test_quality_is_fitted_in_small_blocks(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    d, labels = labelled_corpus(spark)
+    fitted = []
+    fit = LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, rows: fitted.append(fit(self, rows)) or fitted[-1])
+    model = quality.fit(d, labels)
+    *blocks, line = fitted
+    assert max(m.numFeatures for m in fitted) * 8 < 1 << 19 and sum(m.numFeatures for m in blocks) == 2 << quality.BITS
+    want = np.concatenate([m.coefficients.toArray() for m in blocks]) / len(blocks)
+    assert np.abs(want).max() > 0 and np.allclose(model.weights, want, atol=1e-6)
+    assert np.isclose(model.bias, np.mean([m.intercept for m in blocks])) and model.slope == line.coefficients[0]
+    tops = [np.flatnonzero(m.coefficients.toArray()) for m in blocks]
+    seen = np.unique(np.concatenate([i for r in d.collect() for i in next(quality.hashed(pa.array([r.text])))]))
+    assert set(np.concatenate([t + (k << quality.BLOCK_BITS) for k, t in enumerate(tops)])) <= set(seen)
+
+
 @pytest.mark.parametrize("keep", [[0], []])
 def test_models_without_both_labels(spark, keep):
     d, labels = labelled_corpus(spark)
