@@ -44,18 +44,25 @@ def to_table(stream: DataFrame, mode: str) -> DataFrame:
     """Runs the stream over all that is there and gives its result table.
 
     Append results are added by the file sink, which commits each batch once; in
-    complete mode each batch replaces the table and the last one stays.
+    complete mode each batch replaces the table and the last one stays.  The
+    stream's state has no more partitions than tasks run at once: every batch
+    starts a task, and for keyed state a Python worker, for each of them.
     """
     spark = stream.sparkSession
     root = shared_folder(spark)
     out, log = f"{root}/out", f"{root}/log"
-    if mode == "append":
-        q = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start()
-    else:
-        def replace(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
 
-        q = stream.writeStream.outputMode(mode).foreachBatch(replace).option("checkpointLocation", log).trigger(availableNow=True).start()
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True)
+    writer = writer.format("parquet").option("path", out) if mode == "append" else writer.foreachBatch(replace)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(partitions), spark.sparkContext.defaultParallelism))
+    try:
+        q = writer.start()  # which takes the settings along
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
